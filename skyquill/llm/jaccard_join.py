@@ -29,6 +29,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skyquill.llm import arrays as A
@@ -161,22 +162,33 @@ def prefixes(docs: DataFrame, heavy: np.ndarray, estimate: np.ndarray) -> DataFr
     return docs.select("text").mapInArrow(run, "node long, n int, ell int, prefix array<long>")
 
 
-def _needed_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """(node, tokens) for the documents of ``needed`` (doc_id, node): sets as ascending 64-bit hashes."""
-    spark = docs.sparkSession
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAP))
-    words = needed.select(place("doc_id").alias("p")).groupBy(F.expr("p div 32").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 32 as int)))").alias("b"))
+def _place(id_col: str):
+    return F.pmod(F.xxhash64(id_col), F.lit(BITMAP))
+
+
+def _bitmap(ids: DataFrame, id_col: str):
+    """A broadcast bitmap of BITMAP bits over hashes of the ids: without a bit, an id is not among them."""
+    words = ids.select(_place(id_col).alias("p")).groupBy(F.expr("p div 32").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 32 as int)))").alias("b"))
     got = words.toArrow()  # BITMAP / 32 rows at most
     bits = np.zeros(BITMAP // 32, dtype=np.uint32)
     if got.num_rows:
         bits[got.column("w").to_numpy()] = got.column("b").to_numpy().astype(np.uint32)
-    held = spark.sparkContext.broadcast(bits)
+    return ids.sparkSession.sparkContext.broadcast(bits)
+
+
+def _marked(bits: np.ndarray, places: pa.Array) -> np.ndarray:
+    p = places.to_numpy()
+    return ((bits[p // 32] >> (p % 32).astype(np.uint32)) & 1).astype(bool)
+
+
+def _needed_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """(node, tokens) for the documents of ``needed`` (doc_id, node): sets as ascending 64-bit hashes."""
+    held = _bitmap(needed, "doc_id")
 
     def run(batches):
         bits = held.value
         for batch in batches:
-            p = batch.column(2).to_numpy()
-            take = np.flatnonzero((bits[p // 32] >> (p % 32).astype(np.uint32)) & 1)
+            take = np.flatnonzero(_marked(bits, batch.column(2)))
             if not len(take):
                 continue
             batch = batch.take(pa.array(take))
@@ -186,7 +198,7 @@ def _needed_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), pa.array([raw[a:b] for a, b in zip(cut[:-1], cut[1:])], pa.binary())], names=["doc_id", "tokens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sets = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", place("doc_id").alias("p")).mapInArrow(run, f"doc_id {kind}, tokens binary")
+    sets = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", _place("doc_id").alias("p")).mapInArrow(run, f"doc_id {kind}, tokens binary")
     return sets.join(needed, "doc_id").select("node", "tokens")
 
 
@@ -290,5 +302,36 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs``: of each component the document with the smallest id, once; every row without shingles or id stays.
+
+    Only rows that the bitmap of dropped and repeated ids marks are shuffled; all others are kept where they are.
+    """
+    names = docs.columns
+    result = materialise(join_components(docs, id_col, text_col), "jaccard-result")
+    drop = result.filter("n_shingles > 0 AND component_id <> doc_id").select(F.col("doc_id").alias("_drop")).distinct()
+    again = result.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("doc_id").alias("_drop"))
+    held = _bitmap(drop.union(again), "_drop")
+    schema = docs.schema
+
+    def part(marked: bool):
+        def run(batches):
+            bits = held.value
+            for batch in batches:
+                ids, places = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
+                hit = _marked(bits, places) & ids.to_numpy(zero_copy_only=False)
+                rest = batch.select(list(range(batch.num_columns - 2)))
+                yield rest.filter(pa.array(hit == marked))
+
+        wide = docs.select(*[F.col(f"`{n}`") for n in names], F.col(id_col).isNotNull().alias("_has"), _place(id_col).alias("_place"))
+        return wide.mapInArrow(run, schema)
+
+    maybe = part(True)
+    maybe = maybe.join(drop, maybe[id_col] == drop["_drop"], "left_anti")
+    order = F.row_number().over(W.partitionBy(id_col).orderBy(*[F.col(f"`{n}`") for n in names if n != id_col]))
+    maybe = maybe.withColumn("_rank", order).filter("_rank = 1").select(*[F.col(f"`{n}`") for n in names])
+    return part(False).union(maybe)
+
+
 def op7_adaptive_prefix_join(spark, sf_dir: str) -> DataFrame:
     return join_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

@@ -97,6 +97,13 @@ class Chain:
     models: list[Linear]
     threshold: float
 
+    def known_words(self, chunk: A.Chunk) -> tuple[np.ndarray, np.ndarray]:
+        """(row, hash) of the distinct words that any model of the chain knows."""
+        known = np.unique(np.concatenate([m.words for m in self.models] or [np.zeros(0, np.uint64)]))
+        words = chunk.word_hash()
+        hit = known[np.minimum(np.searchsorted(known, words), len(known) - 1)] == words if len(known) else np.zeros(len(words), bool)
+        return A.row_sets(chunk.row[hit], words[hit], chunk.n_rows)[:2]
+
     def predict(self, rows: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
         """A column of probabilities for each category."""
         out = np.zeros((n, 0))
@@ -160,17 +167,10 @@ def classify(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: st
 
     def run(batches):
         model = held.value
-        known = np.unique(np.concatenate([m.words for m in model.models])) if model.models else np.zeros(0, np.uint64)
         for batch in batches:
             out = np.zeros((batch.num_rows, len(names)))
             for start, end, chunk in A.chunks(A.text_column(batch, text_col), lower=True):
-                words = chunk.word_hash()
-                if len(known):
-                    hit = known[np.minimum(np.searchsorted(known, words), len(known) - 1)] == words
-                else:
-                    hit = np.zeros(len(words), bool)
-                rows, hashes, _ = A.row_sets(chunk.row[hit], words[hit], end - start)
-                out[start:end] = model.predict(rows, hashes, end - start)
+                out[start:end] = model.predict(*model.known_words(chunk), end - start)
             arrays = [pa.array(out[:, k]) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays, pa.array(out[:, -1] >= model.threshold)], names=[id_col, *names, "is_toxic"])
 
@@ -178,6 +178,22 @@ def classify(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: st
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, {schema}, is_toxic boolean")
 
 
+def remove_toxic(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not toxic, with all their columns."""
+    small_batches(docs.sparkSession)
+    held = docs.sparkSession.sparkContext.broadcast(chain)
+
+    def run(batches):
+        model = held.value
+        for batch in batches:
+            toxic = np.zeros(batch.num_rows, bool)
+            for start, end, chunk in A.chunks(A.text_column(batch, text_col), lower=True):
+                toxic[start:end] = model.predict(*model.known_words(chunk), end - start)[:, -1] >= model.threshold
+            yield batch.filter(pa.array(~toxic))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def labelled(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Training rows of the query and of the pipeline: four fifths of the labels, by id."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(fold(F.col("doc_id"), 5) != 0)
