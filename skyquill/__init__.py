@@ -1,0 +1 @@
+"""Search-aware analytics on Spark: search predicates, bucket aggregates, versioned tables, side indexes and streams."""

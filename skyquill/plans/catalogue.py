@@ -1,15 +1,414 @@
-"""Registered queries with their SQL."""
+"""Registered queries, each with its SQL for other engines."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from skyquill.functions import buckets
+from skyquill.functions.ip import ip_key
+from skyquill.operators.search import condition, index_fields, inverted, search, search_inverted, search_sql
+from skyquill.plans.query_language import FieldSpec
+from skyquill.sources.maintenance import compact, drop_partitions
+from skyquill.sources.table import Table
+
+_QUERIES: dict = {}
+_SQL: dict = {}
+TOK = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda t: t <> '')"
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+
+def query(sql: str | None = None):
+    def keep(run):
+        def ready(spark: SparkSession, sf_dir: str) -> DataFrame:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return run(spark, lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+        ready.__name__, ready.__doc__ = run.__name__, run.__doc__
+        _QUERIES[run.__name__] = ready
+        if sql:
+            _SQL[run.__name__] = sql
+        return run
+
+    return keep
 
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(_SQL)
+
+
+def flagship(spark, sf_dir):
+    return _QUERIES["search_group_by"](spark, sf_dir)
+
+
+def money(c, scale=2):
+    """Exact sum of a double that holds decimals."""
+    return F.sum(F.col(c).cast(f"decimal(18,{scale})")).cast("double")
+
+
+def _texts(df, q):
+    return search(df, q, "text", text_fields=["text"])
+
+
+def _shared(spark: SparkSession, name: str) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='skyquill-')}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+# ---- search: one query for each construct of the language
+
+_SEARCHES = {
+    "search_term": ("that", "list_contains({t}, 'that')"),
+    "search_and": ("that AND edonre", "list_contains({t}, 'that') AND list_contains({t}, 'edonre')"),
+    "search_bare_terms": ("the er", "list_contains({t}, 'the') AND list_contains({t}, 'er')"),
+    "search_or": ("moron OR clown", "list_contains({t}, 'moron') OR list_contains({t}, 'clown')"),
+    "search_not": ("that AND NOT with", "list_contains({t}, 'that') AND NOT list_contains({t}, 'with')"),
+    "search_nested": ("(moron OR scum OR die) AND NOT (the OR und)", "(list_contains({t}, 'moron') OR list_contains({t}, 'scum') OR list_contains({t}, 'die')) AND NOT (list_contains({t}, 'the') OR list_contains({t}, 'und'))"),
+    "search_phrase": ('"of the"', "contains(' ' || array_to_string({t}, ' ') || ' ', ' of the ')"),
+    "search_prefix": ("disgu*", "len(list_filter({t}, lambda t: t LIKE 'disgu%')) > 0"),
+    "search_suffix": ("*thless", "len(list_filter({t}, lambda t: t LIKE '%thless')) > 0"),
+    "search_infix": ("pa*tic", "len(list_filter({t}, lambda t: t LIKE 'pa%tic')) > 0"),
+    "search_qmark": ("?tupid", "len(list_filter({t}, lambda t: t LIKE '_tupid')) > 0"),
+    "search_fuzzy1": ("idiots~1", "len(list_filter({t}, lambda t: levenshtein(t, 'idiots') <= 1)) > 0"),
+    "search_fuzzy2": ("disgutin~2", "len(list_filter({t}, lambda t: levenshtein(t, 'disgutin') <= 2)) > 0"),
+    "search_match_all": ("*", "true"),
+}
+
+
+def _add_search(name, text, test):
+    def run(spark, t):
+        return _texts(t("documents"), text).select("doc_id")
+
+    run.__name__, run.__doc__ = name, f"Documents that match: {text}"
+    query(f"SELECT doc_id FROM documents WHERE {test.format(t=TOK)}")(run)
+
+
+for _name, (_text, _test) in _SEARCHES.items():
+    _add_search(_name, _text, _test)
+
+
+@query(f"SELECT doc_id, lang FROM documents WHERE (list_contains({TOK}, 'idiot') OR lang = 'de') AND n_chars >= 1000 AND n_chars < 4000")
+def search_field_qualified(spark, t):
+    return search(t("documents"), "(text:idiot OR lang:de) AND n_chars:[1000 TO 4000}", text_fields=["text"]).select("doc_id", "lang")
+
+
+@query(f"SELECT conv_id, turn FROM conversations WHERE list_contains({TOK}, 'user') OR role = 'user'")
+def search_all_fields(spark, t):
+    return search(t("conversations"), "user", text_fields=["text"]).select("conv_id", "turn")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT'")
+def fieldmatch_exact(spark, t):
+    return search(t("orders"), '"1-URGENT"', "o_orderpriority", "fieldmatch").select("o_orderkey")
+
+
+@query("SELECT p_partkey, p_brand FROM part WHERE p_brand LIKE 'Brand#1%'")
+def fieldmatch_wild(spark, t):
+    return search(t("part"), "p_brand:Brand#1*").select("p_partkey", "p_brand")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity >= 10 AND l_quantity <= 12")
+def range_inclusive(spark, t):
+    return search(t("lineitem"), "l_quantity:[10 TO 12]", max_fields=0).select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity > 10 AND l_quantity < 12")
+def range_exclusive(spark, t):
+    return search(t("lineitem"), "l_quantity:{10 TO 12}", max_fields=0).select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT event_id FROM events WHERE value >= 50 AND user_id > 10 OR ts < TIMESTAMP '2024-01-01 12:00:00'")
+def range_open(spark, t):
+    return search(t("events"), '(value:[50 TO *] AND user_id:>10) OR ts:<"2024-01-01 12:00:00"').select("event_id")
+
+
+@query("SELECT event_id FROM events WHERE CAST(props ->> '$.k' AS DOUBLE) >= 90 AND event_type IS NOT NULL")
+def json_path_filter(spark, t):
+    return search(t("events"), "props.k:>=90 AND event_type:*").select("event_id")
+
+
+@query("SELECT CAST(props ->> '$.k' AS INTEGER) AS k, count(*) AS n FROM events GROUP BY 1")
+def json_path_agg(spark, t):
+    return t("events").groupBy(F.get_json_object("props", "$.k").cast("int").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT doc_id FROM documents WHERE NOT (list_contains({TOK}, 'moron') OR lang = 'en') AND n_chars > 3000")
+def search_mixed_sql(spark, t):
+    """Search and SQL tests in one boolean expression."""
+    d = t("documents")
+    return d.filter(~(condition(d, "moron", "text", text_fields=["text"]) | (F.col("lang") == "en")) & (F.col("n_chars") > 3000)).select("doc_id")
+
+
+@query(f"SELECT toxic, count(*) AS n FROM documents JOIN labels USING (doc_id) WHERE list_contains({TOK}, 'stupid') GROUP BY toxic")
+def search_join_dim(spark, t):
+    return _texts(t("documents"), "stupid").join(t("labels"), "doc_id").groupBy("toxic").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents WHERE list_contains({TOK}, 'that') OR list_contains({TOK}, 'die') GROUP BY lang")
+def search_group_by(spark, t):
+    return _texts(t("documents"), "that OR die").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@query(f"WITH hits AS (SELECT doc_id, source FROM documents WHERE list_contains({TOK}, 'idiot') AND NOT list_contains({TOK}, 'clown')) SELECT source, count(*) AS n FROM hits GROUP BY source")
+def search_cte(spark, t):
+    """Search operators inside SQL text, in a CTE."""
+    d = t("documents")
+    d.createOrReplaceTempView("sq_documents")
+    return search_sql(spark, "WITH hits AS (SELECT doc_id, source FROM sq_documents WHERE text TEXTSEARCH 'idiot AND NOT clown') SELECT source, count(*) AS n FROM hits GROUP BY source", d, text_fields=["text"])
+
+
+@query(f"SELECT doc_id FROM documents WHERE list_contains({TOK}, 'that') AND list_contains({TOK}, 'scum')")
+def search_indexed(spark, t):
+    """Search on a token column that was written once."""
+    df = index_fields(t("documents"), {"text": "text"})
+    return search(df, "that scum", "text").select("doc_id")
+
+
+@query(f"SELECT doc_id FROM documents WHERE list_contains({TOK}, 'trash') AND list_contains({TOK}, 'idiot')")
+def search_inverted_index(spark, t):
+    """Selective terms through the (term, id) side table and a semi-join."""
+    d = t("documents").select("doc_id", "text")
+    return search_inverted(d, inverted(d, "doc_id", "text"), "doc_id", ["trash", "idiot"]).select("doc_id")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey // 256 IN (1, 2, 3)")
+def ip_cidr(spark, t):
+    """A wildcard and a CIDR block on text addresses, through 16-byte keys."""
+    n = F.col("c_custkey")
+    c = t("customer").withColumn("ip", F.concat(F.lit("10."), F.floor(n / 65536).cast("string"), F.lit("."), F.floor(n % 65536 / 256).cast("string"), F.lit("."), (n % 256).cast("string")))
+    c = c.withColumn("key", ip_key("ip", v4_only=True))
+    return search(c, "10.0.1.* OR 10.0.2.0/23", "ip", specs={"ip": FieldSpec("ip", key_column="key")}).select("c_custkey")
+
+
+# ---- buckets
+
+
+@query("SELECT floor(l_extendedprice / 10000) * 10000 AS bucket, count(*) AS doc_count FROM lineitem GROUP BY 1")
+def hist_price(spark, t):
+    return buckets.bucket_counts(t("lineitem"), buckets.histogram("l_extendedprice", 10000))
+
+
+@query("SELECT floor((l_quantity - 3) / 7) * 7 + 3 AS bucket, count(*) AS doc_count FROM lineitem GROUP BY 1 HAVING count(*) >= 100")
+def hist_offset(spark, t):
+    return buckets.bucket_counts(t("lineitem"), buckets.histogram("l_quantity", 7, 3), min_doc_count=100)
+
+
+@query("SELECT floor(l_quantity / 10) * 10 AS bucket, l_returnflag, count(*) AS doc_count, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS total, min(l_discount) AS low, max(l_discount) AS high FROM lineitem GROUP BY 1, 2")
+def hist_sum(spark, t):
+    return buckets.bucket_counts(t("lineitem"), buckets.histogram("l_quantity", 10), money("l_extendedprice").alias("total"), F.min("l_discount").alias("low"), F.max("l_discount").alias("high"), keys=("l_returnflag",))
+
+
+@query("SELECT 5.0::DOUBLE * i AS bucket, count(l_orderkey) AS doc_count FROM range(0, 13) r(i) LEFT JOIN lineitem ON floor(l_quantity / 5) = i GROUP BY 1")
+def hist_fill(spark, t):
+    return buckets.fill_histogram(buckets.bucket_counts(t("lineitem"), buckets.histogram("l_quantity", 5)), 5, bounds=(0, 60))
+
+
+def _add_dates(name, interval, offset, sql_step, sql_offset, keys=()):
+    def run(spark, t):
+        out = buckets.bucket_counts(t("events"), buckets.date_histogram("ts", interval, offset), keys=keys)
+        return out.withColumn("bucket", F.unix_micros("bucket"))
+
+    run.__name__, run.__doc__ = name, f"Events in buckets of {interval}, offset {offset}"
+    key = "".join(f", {k}" for k in keys)
+    query(f"SELECT CAST(floor((epoch_us(ts) - {sql_offset}) / {sql_step}.0) AS BIGINT) * {sql_step} + {sql_offset} AS bucket{key}, count(*) AS doc_count FROM events GROUP BY ALL")(run)
+
+
+_add_dates("date_hist_1h", "1h", "0ms", 3_600_000_000, 0)
+_add_dates("date_hist_1d", "1d", "0ms", 86_400_000_000, 0)
+_add_dates("date_hist_offset", "1d", "6h", 86_400_000_000, 21_600_000_000)
+_add_dates("date_hist_multikey", "15m", "0ms", 900_000_000, 0, ("event_type",))
+
+
+@query("SELECT CASE WHEN o_totalprice < 50000 THEN 'low' WHEN o_totalprice < 200000 THEN 'mid' ELSE 'high' END AS bucket, o_orderstatus, count(*) AS doc_count, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM orders GROUP BY 1, 2")
+def range_bucket_sum(spark, t):
+    return buckets.bucket_counts(t("orders"), buckets.range_bucket("o_totalprice", ("low", None, 50000), ("mid", 50000, 200000), ("high", 200000, None)), money("o_totalprice").alias("total"), keys=("o_orderstatus",))
+
+
+@query("SELECT CASE WHEN o_totalprice >= 1000 AND o_totalprice < 50000 THEN 'a' WHEN o_totalprice >= 60000 AND o_totalprice < 70000 THEN 'b' END AS bucket, count(*) AS doc_count FROM orders WHERE o_totalprice >= 1000 AND o_totalprice < 50000 OR o_totalprice >= 60000 AND o_totalprice < 70000 GROUP BY 1")
+def range_bucket(spark, t):
+    return buckets.bucket_counts(t("orders"), buckets.range_bucket("o_totalprice", ("a", 1000, 50000), ("b", 60000, 70000)))
+
+
+@query("SELECT floor(o_totalprice / 25000.0) * 25000.0 AS bucket, count(*) AS n FROM orders GROUP BY 1")
+def hist_sql_function(spark, t):
+    """The bucket as a SQL function, inlined by Catalyst."""
+    buckets.register(spark)
+    t("orders").createOrReplaceTempView("sq_orders")
+    return spark.sql("SELECT sq_histogram(o_totalprice, 25000.0D) AS bucket, count(*) AS n FROM sq_orders GROUP BY 1")
+
+
+# ---- aggregates, filters, joins, windows, sets: Spark's own operators
+
+
+def same(name, sql, tables, spark_sql=None, doc=None):
+    """A query whose text both engines read."""
+
+    def run(spark, t):
+        for x in tables:
+            t(x).createOrReplaceTempView(f"sq_{x}")
+        text = spark_sql or sql
+        for x in tables:
+            text = text.replace(f"{{{x}}}", f"sq_{x}")
+        return spark.sql(text)
+
+    run.__name__, run.__doc__ = name, doc
+    text = sql
+    for x in tables:
+        text = text.replace(f"{{{x}}}", x)
+    query(text)(run)
+
+
+@query("SELECT count(*) AS n, count(o_orderstatus) AS n_status, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total, min(o_totalprice) AS low, max(o_totalprice) AS high, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS mean, min(o_orderpriority) AS first_priority FROM orders")
+def agg_simple(spark, t):
+    return t("orders").agg(F.count(F.lit(1)).alias("n"), F.count("o_orderstatus").alias("n_status"), money("o_totalprice").alias("total"), F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("high"), (money("o_totalprice") / F.count(F.lit(1))).alias("mean"), F.min("o_orderpriority").alias("first_priority"))
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS quantity, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS price FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY l_returnflag, l_linestatus")
+def agg_group(spark, t):
+    return t("lineitem").filter("l_shipdate <= TIMESTAMP_NTZ '1998-09-02'").groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), money("l_quantity").alias("quantity"), money("l_extendedprice").alias("price"))
+
+
+same("agg_filtered", "SELECT o_orderstatus, count(*) FILTER (WHERE o_totalprice > 100000) AS big, count(DISTINCT o_custkey) AS customers FROM {orders} GROUP BY o_orderstatus", ["orders"])
+same("agg_distinct", "SELECT count(DISTINCT l_suppkey) AS suppliers, count(DISTINCT l_partkey) AS parts FROM {lineitem}", ["lineitem"])
+same("agg_cube", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM {lineitem} GROUP BY CUBE (l_returnflag, l_linestatus)", ["lineitem"])
+same("agg_rollup", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM {orders} GROUP BY ROLLUP (o_orderstatus, o_orderpriority)", ["orders"])
+same("agg_grouping_sets", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM {orders} GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())", ["orders"])
+same("agg_six_keys", "SELECT l_returnflag, l_linestatus, l_linenumber, l_quantity, l_discount, l_tax, count(*) AS n FROM {lineitem} GROUP BY l_returnflag, l_linestatus, l_linenumber, l_quantity, l_discount, l_tax", ["lineitem"])
+same("filter_eq", "SELECT o_orderkey FROM {orders} WHERE o_orderstatus = 'F' AND o_totalprice > 100000", ["orders"])
+same("filter_in", "SELECT c_custkey FROM {customer} WHERE c_nationkey IN (1, 3, 5) AND c_mktsegment IN ('BUILDING', 'MACHINERY')", ["customer"])
+same("filter_nullsafe", "SELECT o_orderkey FROM {orders} WHERE nullif(o_orderstatus, 'O') IS NOT DISTINCT FROM NULL", ["orders"])
+same("filter_like", "SELECT p_partkey FROM {part} WHERE p_type LIKE '%L' OR p_brand LIKE 'Brand#2%' OR p_name LIKE '%an%'", ["part"])
+same("filter_null", "SELECT count(*) AS n FROM {customer} WHERE nullif(c_mktsegment, 'BUILDING') IS NULL OR NOT (c_acctbal IS NOT NULL)", ["customer"])
+same("filter_date", "SELECT o_orderkey FROM {orders} WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1995-01-01' AND DATE '1995-01-31'", ["orders"])
+same("filter_rlike", "SELECT p_partkey FROM {part} WHERE regexp_like(p_brand, '^Brand#[13]')", ["part"], doc="A regular expression")
+_SQL["filter_rlike"] = "SELECT p_partkey FROM part WHERE regexp_matches(p_brand, '^Brand#[13]')"
+same("join_inner", "SELECT o_orderpriority, c_mktsegment, count(*) AS n FROM {orders} JOIN {customer} ON o_custkey = c_custkey GROUP BY o_orderpriority, c_mktsegment", ["orders", "customer"])
+same("join_star", "SELECT r_name, count(*) AS n FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey GROUP BY r_name", ["lineitem", "orders", "customer", "nation", "region"])
+same("join_left", "SELECT n_name, count(s_suppkey) AS n FROM {nation} LEFT JOIN {supplier} ON n_nationkey = s_nationkey AND s_acctbal > 0 GROUP BY n_name", ["nation", "supplier"])
+same("join_full", "SELECT c.k AS ck, s.k AS sk FROM (SELECT DISTINCT c_nationkey AS k FROM {customer} WHERE c_nationkey < 15) c FULL JOIN (SELECT DISTINCT s_nationkey AS k FROM {supplier} WHERE s_nationkey > 10) s ON c.k = s.k", ["customer", "supplier"])
+same("join_semi", "SELECT c_custkey FROM {customer} WHERE EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_totalprice > 300000)", ["customer", "orders"])
+same("join_anti", "SELECT c_custkey FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey)", ["customer", "orders"])
+same("join_cross", "SELECT r_name, n_name FROM {region} CROSS JOIN {nation}", ["region", "nation"], doc="Two tables of fixed size")
+same("join_range", "SELECT n_name, count(*) AS n FROM {nation} JOIN {region} ON n_nationkey BETWEEN r_regionkey * 5 AND r_regionkey * 5 + 6 GROUP BY n_name", ["nation", "region"])
+
+
+@query("SELECT e.event_id, p.ts AS last_purchase FROM (SELECT * FROM events WHERE event_type <> 'purchase') e ASOF LEFT JOIN (SELECT user_id, ts FROM events WHERE event_type = 'purchase') p ON e.user_id = p.user_id AND e.ts >= p.ts")
+def join_asof(spark, t):
+    """The last purchase at or before each event: one sort by user and time instead of a range join."""
+    e = t("events").select("event_id", "user_id", "ts", (F.col("event_type") == "purchase").alias("p"))
+    w = W.partitionBy("user_id").orderBy("ts").rangeBetween(W.unboundedPreceding, 0)
+    return e.withColumn("last_purchase", F.max(F.when(F.col("p"), F.col("ts"))).over(w)).filter("NOT p").select("event_id", "last_purchase")
+
+
+same("win_rank", "SELECT o_orderkey, rank() OVER w AS r, dense_rank() OVER w AS d, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n, ntile(4) OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS q FROM {orders} WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC)", ["orders"], doc="Ranks")
+same("win_lag", "SELECT event_id, lag(value) OVER w AS before, lead(value, 2) OVER w AS after, first_value(value) OVER w AS first FROM {events} WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)", ["events"])
+same("win_frame", "SELECT event_id, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS high, count(*) OVER (PARTITION BY event_type ORDER BY user_id RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS near FROM {events}", ["events"])
+same("topk", "SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC, o_orderkey LIMIT 25", ["orders"])
+same("limit_offset", "SELECT o_orderkey FROM {orders} ORDER BY o_orderkey LIMIT 10 OFFSET 40", ["orders"])
+same("topk_per_group", "SELECT c_nationkey, c_custkey FROM (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS r FROM {customer}) WHERE r <= 3", ["customer"])
+same("setop_union", "SELECT c_nationkey AS k FROM {customer} UNION SELECT s_nationkey FROM {supplier}", ["customer", "supplier"])
+same("setop_union_all", "SELECT k, count(*) AS n FROM (SELECT c_nationkey AS k FROM {customer} UNION ALL SELECT s_nationkey FROM {supplier}) GROUP BY k", ["customer", "supplier"])
+same("setop_intersect", "SELECT c_nationkey AS k FROM {customer} INTERSECT SELECT s_nationkey FROM {supplier}", ["customer", "supplier"])
+same("setop_except", "SELECT o_custkey AS k FROM {orders} EXCEPT SELECT c_custkey FROM {customer} WHERE c_acctbal > 0", ["orders", "customer"])
+same("subquery_scalar", "SELECT p_partkey FROM {part} WHERE p_retailprice > (SELECT avg(p_retailprice) FROM {part})", ["part"])
+
+
+# ---- tables, streams
+
+
+def _written(spark, df, **options) -> Table:
+    table = Table(spark, _shared(spark, "table"))
+    table.write(df, **options)
+    return table
+
+
+@query("SELECT count(*) AS count FROM orders")
+def count_metadata(spark, t):
+    """COUNT(*) from the log of a written table; no data file is read."""
+    return _written(spark, t("orders")).count()
+
+
+@query("SELECT o_orderstatus, CAST(count(*) AS BIGINT) AS count FROM orders GROUP BY o_orderstatus")
+def group_count_metadata(spark, t):
+    return _written(spark, t("orders"), partition_by=["o_orderstatus"]).count(["o_orderstatus"])
+
+
+@query("SELECT * FROM nation")
+def log_snapshot(spark, t):
+    """The first version, read after an append and an overwrite."""
+    table = _written(spark, t("nation"))
+    table.write(t("nation"))
+    table.write(t("nation").limit(1), "overwrite")
+    return table.read(version=0)
+
+
+@query("SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey")
+def compact_preserves(spark, t):
+    table = _written(spark, t("nation").repartition(6))
+    compact(table)
+    return table.read().groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT * FROM nation WHERE n_regionkey <> 2")
+def drop_partition(spark, t):
+    table = _written(spark, t("nation"), partition_by=["n_regionkey"])
+    drop_partitions(table, [("n_regionkey", "=", 2)])
+    return table.read()
+
+
+@query("SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN upper(n_name) ELSE n_name END AS n_name, n_regionkey FROM nation")
+def replace_where(spark, t):
+    table = _written(spark, t("nation"))
+    table.write(t("nation").filter("n_regionkey = 1").withColumn("n_name", F.upper("n_name")), "overwrite", replace_where=[("n_regionkey", "=", 1)])
+    return table.read()
+
+
+@query("SELECT * FROM orders WHERE o_orderkey BETWEEN 100 AND 200")
+def data_skipping(spark, t):
+    table = _written(spark, t("orders").repartitionByRange(8, "o_orderkey"))
+    return table.read([("o_orderkey", ">=", 100), ("o_orderkey", "<=", 200)])
+
+
+@query(f"SELECT doc_id FROM documents WHERE list_contains({TOK}, 'idiot')")
+def companion_search(spark, t):
+    """A side index over Parquet files, synced once and searched alone."""
+    from skyquill.sources.companion import search_index, sync
+
+    source, index = _shared(spark, "source"), _shared(spark, "index")
+    t("documents").select("doc_id", "text").repartition(3).write.parquet(source)
+    sync(spark, source, index, {"text": "text"})
+    return search_index(spark, index, "idiot", "text").select("doc_id")
+
+
+@query("SELECT * FROM nation")
+def stream_append(spark, t):
+    """A stream into a table, run twice: each batch is committed once."""
+    from skyquill.streaming.ingest import write_stream
+
+    source, path, state = _shared(spark, "source"), _shared(spark, "table"), _shared(spark, "state")
+    t("nation").repartition(3).write.parquet(source)
+    for _ in range(2):
+        write_stream(spark.readStream.schema(t("nation").schema).parquet(source), path, state, "nation").awaitTermination()
+    return Table(spark, path).read()
+
+
+@query("SELECT CAST(floor(epoch_us(ts) / 3600000000.0) AS BIGINT) * 3600000000 AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream_window(spark, t):
+    """Hourly windows of a stream, all closed at the end of the run."""
+    from skyquill.streaming.ingest import windowed
+
+    source, out, state = _shared(spark, "source"), _shared(spark, "out"), _shared(spark, "state")
+    events = t("events").select("event_type", F.col("ts").cast("timestamp").alias("ts"))
+    events.write.parquet(source)
+    counts = windowed(spark.readStream.schema(events.schema).parquet(source), "ts", "1 hour", keys=("event_type",))
+    name = f"sq_{uuid.uuid4().hex}"
+    counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    del out
+    return spark.table(name).select(F.unix_micros("start").alias("start"), "event_type", "n")
