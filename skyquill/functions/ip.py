@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _MAPPED = int.from_bytes(b"\x00" * 10 + b"\xff\xff" + b"\x00" * 4, "big")
 
@@ -43,7 +44,7 @@ def key_sql(column_sql: str) -> str:
     return f"CASE WHEN {valid} THEN unhex(concat('00000000000000000000FFFF', {', '.join(octet(i) for i in range(1, 5))})) END"
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _any_key(texts: pd.Series) -> pd.Series:
     def one(text):
         try:
