@@ -19,7 +19,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain does not call toxic; it is fitted on the labelled documents of the stage's input."""
-    chain = toxicity.fit(toxicity.labelled(spark, docs, sf_dir), "doc_id", "text", list(toxicity.CATEGORIES))
+    chain = toxicity.fit(docs, toxicity.training_labels(spark, sf_dir))
     return toxicity.remove_toxic(docs, chain)
 
 

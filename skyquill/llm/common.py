@@ -56,3 +56,20 @@ def unit_interval(*parts: Column) -> Column:
 def fold(column: Column, n: int) -> Column:
     """crc32 of the value as text, modulo n."""
     return F.crc32(column.cast("string")) % n
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_cols: list[str], rows: int, chars: int) -> DataFrame:
+    """(_h, _t, labels): at most ``rows`` documents of at most ``chars`` characters whose labels are all 0 or 1, in the order of a hash.
+
+    The ids are chosen among the labels alone; only chosen documents leave their tasks.
+    """
+    chosen = labels.select(id_col, *label_cols).filter(F.col(id_col).isNotNull())
+    for c in label_cols:
+        chosen = chosen.filter(F.col(c).isin(0, 1))
+    n = chosen.count()
+    place = F.pmod(F.xxhash64(id_col), F.lit(1 << 30))
+    if n > 2 * rows:  # thins the rows before the exact cut below; twice as many as needed are left
+        chosen = chosen.filter(place < int((1 << 30) * 2 * rows / n))
+    chosen = chosen.withColumn("_h", F.xxhash64(id_col)).orderBy("_h", *label_cols).limit(rows)
+    found = docs.filter(F.length(F.coalesce(F.col(text_col), F.lit(""))) <= chars).join(F.broadcast(chosen), id_col)  # ``rows`` ids
+    return found.select("_h", F.coalesce(F.col(text_col), F.lit("")).alias("_t"), *[F.col(c).cast("int").alias(c) for c in label_cols]).orderBy("_h", "_t", *label_cols).limit(rows)

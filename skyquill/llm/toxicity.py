@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyquill.llm import arrays as A
-from skyquill.llm.common import fold, small_batches, table
+from skyquill.llm.common import fold, labelled_sample, small_batches, table
 
 FIT_ROWS = 8000
 FIT_CHARS = 50_000
@@ -140,15 +140,12 @@ def fit_chain(texts: list[str], labels: np.ndarray, names: tuple[str, ...]) -> C
     return Chain(names, models, float(tries[best[len(best) // 2]]))
 
 
-def fit(rows: DataFrame, id_col: str, text_col: str, label_cols: list[str]) -> Chain:
-    """A chain from a bounded sample of the rows whose labels are all 0 or 1."""
-    use = F.length(F.coalesce(F.col(text_col), F.lit(""))) <= FIT_CHARS
-    for c in label_cols:
-        use = use & F.col(c).isin(0, 1)
-    sample = rows.filter(use).select(F.xxhash64(id_col).alias("_h"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"), *[F.col(c).cast("int").alias(c) for c in label_cols])
-    got = sample.orderBy("_h", "_t", *label_cols).limit(FIT_ROWS).toArrow()
-    labels = np.column_stack([got.column(c).to_numpy() for c in label_cols]).astype(float)
-    return fit_chain(got.column("_t").to_pylist(), labels, tuple(label_cols))
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", categories: tuple[str, ...] = CATEGORIES, derive=None) -> Chain:
+    """A chain from a bounded sample. ``derive`` adds the earlier categories to rows with _t and the label (default: with_categories)."""
+    sample = labelled_sample(docs, labels, id_col, text_col, [label_col], FIT_ROWS, FIT_CHARS)
+    got = (derive or with_categories)(sample, "_t", label_col).select("_t", *categories).toArrow()
+    columns = np.column_stack([got.column(c).to_numpy() for c in categories]).astype(float)
+    return fit_chain(got.column("_t").to_pylist(), columns, categories)
 
 
 def with_categories(rows: DataFrame, text_col: str = "text", label_col: str = "toxic") -> DataFrame:
@@ -194,13 +191,11 @@ def remove_toxic(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataF
     return docs.mapInArrow(run, docs.schema)
 
 
-def labelled(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Training rows of the query and of the pipeline: four fifths of the labels, by id."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(fold(F.col("doc_id"), 5) != 0)
-    return with_categories(docs.select("doc_id", "text").join(labels, "doc_id"))
+def training_labels(spark, sf_dir: str) -> DataFrame:
+    """Labels of the query and of the pipeline: four fifths, by id."""
+    return table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(fold(F.col("doc_id"), 5) != 0)
 
 
 def op1_toxicity_chain(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    chain = fit(labelled(spark, docs, sf_dir), "doc_id", "text", list(CATEGORIES))
-    return classify(docs, chain)
+    return classify(docs, fit(docs, training_labels(spark, sf_dir)))
