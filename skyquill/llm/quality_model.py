@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyquill.llm import arrays as A
-from skyquill.llm.common import fold, small_batches, table
+from skyquill.llm.common import fold, labelled_sample, small_batches, table
 
 BUCKETS = 1 << 18
 WIDTH = 12
@@ -99,15 +99,13 @@ def train(texts: list[str], labels: np.ndarray, classes: int = 2, seed: int = 1,
     return {"vectors": vectors, "layer": layer, "bias": bias}
 
 
-def fit(rows: DataFrame, id_col: str, text_col: str, label_col: str) -> dict[str, np.ndarray]:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> dict[str, np.ndarray]:
     """A scorer for two classes from a bounded sample of rows with labels 0 or 1: one number per bucket, and the bias."""
-    sample = rows.filter(F.col(label_col).isin(0, 1) & (F.length(F.coalesce(F.col(text_col), F.lit(""))) <= FIT_CHARS))
-    sample = sample.select(F.xxhash64(id_col).alias("h"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.col(label_col).cast("int").alias("y"))
-    got = sample.orderBy("h", "t", "y").limit(FIT_ROWS).toArrow()
-    labels = got.column("y").to_numpy()
+    got = labelled_sample(docs, labels, id_col, text_col, [label_col], FIT_ROWS, FIT_CHARS).toArrow()
+    labels = got.column(label_col).to_numpy()
     if not len(labels):
         return {"score": np.zeros(BUCKETS, np.float32), "bias": np.zeros(1)}
-    model = train(got.column("t").to_pylist(), labels)
+    model = train(got.column("_t").to_pylist(), labels)
     return {"score": model["vectors"] @ (model["layer"][1] - model["layer"][0]), "bias": np.array([model["bias"][1] - model["bias"][0]])}
 
 
@@ -135,6 +133,6 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_id",
 def op9_subword_quality(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality").filter(fold(F.col("doc_id"), 5) != 0)
-    model = fit(docs.join(labels, "doc_id"), "doc_id", "text", "quality")
+    model = fit(docs, labels, "doc_id", "text", "quality")
     out = score(docs, model)
     return out.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
