@@ -13,7 +13,8 @@ when 100 * intersection >= 80 * union. All links between different sets are resp
 3. Stars. Each node is verified against one hub that shares most prefix shingles with it. In a large group of near
    copies this links nearly everything with as many verifications as nodes.
 4. Rest. Pairs that share prefix shingles, have the sizes for a link and aren't connected yet are formed: in each posting
-   list, nodes outside of the list's largest component meet all others. Those with enough shared prefix shingles are verified.
+   list, nodes outside of the list's largest component meet all others. Those with enough shared prefix shingles for a link,
+   whatever lies beyond the prefixes, are verified.
 5. Components by contraction to the least neighbour; each round's tables are written to the shared folder.
 
 Verification intersects whole sets. Sets are read again from the texts of the documents that need it, found by a bitmap of fixed size
@@ -33,7 +34,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skyquill.llm import arrays as A
-from skyquill.llm.common import discard, materialise, small_batches, table
+from skyquill.llm.common import discard, materialise, release, small_batches, table
 
 SHINGLE = 5
 PERCENT = 80
@@ -249,6 +250,21 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
+def _shared_prefix(na, la, nb, lb) -> list:
+    """Aggregates by pair: m, shared prefix shingles; sizes, of both; least, the smaller l; tail, shingles beyond the prefix, of the longer tail."""
+    tail = lambda n, ell: F.floor((n * PERCENT + 99) / 100) - ell
+    return [F.count(F.lit(1)).alias("m"), F.first(na + nb).alias("sizes"), F.first(F.least(la, lb)).alias("least"), F.first(F.greatest(tail(na, la), tail(nb, lb))).alias("tail")]
+
+
+def _can_link():
+    """Enough shared prefix shingles, and enough even if all of the longer tail is shared.
+
+    Of two prefixes, the one that ends first in the order has all shingles up to there that both sets share; so the intersection is
+    at most m and what that set has beyond its prefix.
+    """
+    return (F.col("m") >= F.col("least")) & ((100 + PERCENT) * (F.col("m") + F.col("tail")) >= PERCENT * F.col("sizes"))
+
+
 def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and n_links (verified links of its class, of those that were needed) for every row."""
     spark = docs.sparkSession
@@ -263,6 +279,7 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     total = ids.agg(F.sum("n")).first()[0] or 0
     counted = seen.filter("n IS NULL").select(F.explode(F.arrays_zip("words", "times")).alias("e")).select("e.words", "e.times")
     heavy = counted.groupBy("words").agg(F.sum("times").alias("times")).filter(F.col("times") >= max(HEAVY_LEAST, -(-total // HEAVY))).toArrow()
+    release(spark)
     pre = materialise(prefixes(docs, heavy.column("words").to_numpy().view(np.uint64), heavy.column("times").to_numpy()), "jaccard-prefixes")
 
     posts = pre.select("node", "n", "ell", F.explode("prefix").alias("h"))
@@ -270,14 +287,17 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     posts = posts.join(shared, "h").dropDuplicates(["h", "node"])
     posts = materialise(posts.select("h", "node", "n", "ell"), "jaccard-posts")
     discard(pre)
+    release(spark)
 
     # stars: the hub of a list is its node with the most shared prefix shingles
     weight = posts.groupBy("node").agg(F.count(F.lit(1)).alias("c"))
-    hubs = posts.join(weight, "node").groupBy("h").agg(F.max(F.struct("c", "node")).alias("m")).select("h", F.col("m.node").alias("hub"))
-    near = posts.join(hubs, "h").filter("node <> hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("c"))
-    star = near.groupBy("node").agg(F.max(F.struct("c", "hub")).alias("m")).select(F.col("node").alias("a"), F.col("m.hub").alias("b"))
+    hubs = posts.join(weight, "node").groupBy("h").agg(F.max(F.struct("c", "node", "n", "ell")).alias("m"))
+    hubs = hubs.select("h", F.col("m.node").alias("hub"), F.col("m.n").alias("nb"), F.col("m.ell").alias("lb"))
+    near = posts.join(hubs, "h").filter("node <> hub").groupBy("node", "hub").agg(*_shared_prefix(F.col("n"), F.col("ell"), F.col("nb"), F.col("lb"))).filter(_can_link())
+    star = near.groupBy("node").agg(F.max(F.struct("m", "hub")).alias("m")).select(F.col("node").alias("a"), F.col("m.hub").alias("b"))
     star = materialise(star, "jaccard-star")
     first = materialise(verify(docs, star, classes), "jaccard-links")
+    release(spark)
     part = components(first)
 
     # the rest: pairs of different components that share prefix shingles
@@ -288,10 +308,13 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     x = open_.filter("comp <> top").select("h", F.col("node").alias("a"), F.col("n").alias("na"), F.col("ell").alias("la"), F.col("comp").alias("ca"))
     y = open_.select(F.col("h").alias("h2"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("ell").alias("lb"), F.col("comp").alias("cb"), "top")
     fits = (F.col("h") == F.col("h2")) & (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("top")) | (F.col("a") < F.col("b"))) & (100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
-    pairs = x.join(y, fits).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("m"), F.min(F.least("la", "lb")).alias("need"))
-    rest = materialise(pairs.filter("m >= need").select("a", "b"), "jaccard-rest")
+    pairs = x.join(y, fits).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(*_shared_prefix(F.col("na"), F.col("la"), F.col("nb"), F.col("lb")))
+    rest = materialise(pairs.filter(_can_link()).select("a", "b"), "jaccard-rest")
+    discard(open_)
     second = verify(docs, rest, classes)
     links = materialise(first.union(second), "jaccard-links")
+    discard(posts)
+    release(spark)
     part = components(links)
 
     named = part.join(classes.select("node", "rep"), "node").groupBy("label").agg(F.min("rep").alias("component_id"))
