@@ -10,11 +10,11 @@ when 100 * intersection >= 80 * union. All links between different sets are resp
    has the prefix of its first n - t + l. Each document takes the l (1 to ``MATCHES``) of the least cost: prefix length plus
    ``VERIFY`` times the estimated candidates, which are the sum of the estimates over l. Two linked documents share at least the
    smaller of their two l in their prefixes, whatever the order, so estimates bear on cost alone.
-3. Stars. Each node is verified against one hub that shares most prefix shingles with it. In a large group of near
+3. Stars. Each node is verified against one hub, a node whose prefix is most widely shared, as a copied text's is. In a large group of near
    copies this links nearly everything with as many verifications as nodes.
 4. Rest. Pairs that share prefix shingles, have the sizes for a link and aren't connected yet are formed: in each posting
    list, nodes outside of the list's largest component meet all others. Those with enough shared prefix shingles for a link,
-   whatever lies beyond the prefixes, are verified.
+   whatever lies beyond the prefixes, are verified: first the best one of each node, then all that still join two components.
 5. Components by contraction to the least neighbour; each round's tables are written to the shared folder.
 
 Verification intersects whole sets. Sets are read again from the texts of the documents that need it, found by a bitmap of fixed size
@@ -289,9 +289,10 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     discard(pre)
     release(spark)
 
-    # stars: the hub of a list is its node with the most shared prefix shingles
+    # stars: the hub of a list is the node with the greatest share of its prefix in other sets, as the source of copies has
+    share = F.col("c") / (F.col("n") - F.floor((F.col("n") * PERCENT + 99) / 100) + F.col("ell"))
     weight = posts.groupBy("node").agg(F.count(F.lit(1)).alias("c"))
-    hubs = posts.join(weight, "node").groupBy("h").agg(F.max(F.struct("c", "node", "n", "ell")).alias("m"))
+    hubs = posts.join(weight, "node").groupBy("h").agg(F.max(F.struct(share.alias("share"), "c", "node", "n", "ell")).alias("m"))
     hubs = hubs.select("h", F.col("m.node").alias("hub"), F.col("m.n").alias("nb"), F.col("m.ell").alias("lb"))
     near = posts.join(hubs, "h").filter("node <> hub").groupBy("node", "hub").agg(*_shared_prefix(F.col("n"), F.col("ell"), F.col("nb"), F.col("lb"))).filter(_can_link())
     star = near.groupBy("node").agg(F.max(F.struct("m", "hub")).alias("m")).select(F.col("node").alias("a"), F.col("m.hub").alias("b"))
@@ -309,12 +310,23 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     y = open_.select(F.col("h").alias("h2"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("ell").alias("lb"), F.col("comp").alias("cb"), "top")
     fits = (F.col("h") == F.col("h2")) & (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("top")) | (F.col("a") < F.col("b"))) & (100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
     pairs = x.join(y, fits).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(*_shared_prefix(F.col("na"), F.col("la"), F.col("nb"), F.col("lb")))
-    rest = materialise(pairs.filter(_can_link()).select("a", "b"), "jaccard-rest")
+    rest = materialise(pairs.filter(_can_link()).select("a", "b", "m"), "jaccard-rest")
     discard(open_)
-    second = verify(docs, rest, classes)
-    links = materialise(first.union(second), "jaccard-links")
     discard(posts)
     release(spark)
+    # each node's best pair first: what that connects need not be verified
+    ends = rest.select("a", "b", "m", F.col("a").alias("end")).union(rest.select("a", "b", "m", F.col("b").alias("end")))
+    best = ends.groupBy("end").agg(F.max(F.struct("m", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+    best = materialise(best, "jaccard-best")
+    second = materialise(first.union(verify(docs, best, classes)), "jaccard-links")
+    part = components(second)
+    name = lambda side: part.select(F.col("node").alias(side), F.col("label").alias(f"c{side}"))
+    last = rest.select("a", "b").join(best, ["a", "b"], "left_anti").join(name("a"), "a", "left").join(name("b"), "b", "left")
+    last = last.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    last = materialise(last, "jaccard-last")
+    discard(rest)
+    links = materialise(second.union(verify(docs, last, classes)), "jaccard-links")
+    release(spark)
     part = components(links)
 
     named = part.join(classes.select("node", "rep"), "node").groupBy("label").agg(F.min("rep").alias("component_id"))
