@@ -43,6 +43,7 @@ HEAVY_LEAST = 16
 MATCHES = 4
 VERIFY = 8.0
 BITMAP = 1 << 26
+NEEDED = 500_000
 
 _U = np.uint64
 
@@ -183,7 +184,10 @@ def _marked(bits: np.ndarray, places: pa.Array) -> np.ndarray:
 
 
 def _needed_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """(node, tokens) for the documents of ``needed`` (doc_id, node): sets as ascending 64-bit hashes."""
+    """``needed`` (doc_id and further columns) with the sets of its documents as ``tokens``: ascending 64-bit hashes.
+
+    ``needed`` is broadcast if it has at most ``NEEDED`` rows, else joined by a shuffle.
+    """
     held = _bitmap(needed, "doc_id")
 
     def run(batches):
@@ -200,15 +204,15 @@ def _needed_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     sets = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", _place("doc_id").alias("p")).mapInArrow(run, f"doc_id {kind}, tokens binary")
-    return sets.join(needed, "doc_id").select("node", "tokens")
+    return sets.join(F.broadcast(needed) if needed.count() <= NEEDED else needed, "doc_id").drop("doc_id")
 
 
 def verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose whole sets link."""
     reps = classes.select("node", F.col("rep").alias("doc_id"))
 
-    def side(name):
-        return _needed_sets(docs, pairs.select(F.col(name).alias("node")).distinct().join(reps, "node")).select(F.col("node").alias(name), F.col("tokens").alias(f"t{name}"))
+    members = pairs.select("a", "b").join(reps.withColumnRenamed("node", "a"), "a")
+    hubs = pairs.select("b").distinct().join(reps.withColumnRenamed("node", "b"), "b")
 
     def run(batches):
         for batch in batches:
@@ -222,7 +226,9 @@ def verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
                     keep[i] = 100 * common >= PERCENT * (len(x) + len(y) - common)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
 
-    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb")
+    left = _needed_sets(docs, materialise(members, "jaccard-members")).withColumnRenamed("tokens", "ta")
+    right = _needed_sets(docs, materialise(hubs, "jaccard-hubs")).withColumnRenamed("tokens", "tb")
+    both = left.join(right, "b").select("a", "b", "ta", "tb")
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
