@@ -20,11 +20,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyquill.llm.common import table
+from skyquill.llm.common import materialise, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
+DROPPED = 500_000
 MAX_DOCS = 200
 MIN_LEFT_WORDS = 50
 MIN_LEFT_SHARE = 0.2
@@ -101,30 +102,37 @@ def judge(
     max_docs: int = MAX_DOCS,
     min_left_words: int = MIN_LEFT_WORDS,
     min_left_share: float = MIN_LEFT_SHARE,
-    keep: list[str] | None = None,
+    with_key: bool = False,
 ) -> DataFrame:
-    """Statistics, n_removed_words, base_failed and kept for every row of ``docs``."""
+    """Statistics, n_removed_words, base_failed and kept for every row of ``docs``; ``with_key``: also _host, _d1 and _d2."""
     lines, often = frequent_lines(docs, host_col, text_col, max_docs)
     key = ["_host", "_d1", "_d2"]
     place = [_host(host_col).alias("_host"), *_print(_text(text_col))]
     copies = docs.select(*place).groupBy(*key).agg(F.count(F.lit(1)).alias("_rows"))
     removed = lines.join(often, ["_host", "_line"]).groupBy(*key).agg(F.sum("_words").alias("_removed"))
     removed = removed.join(copies, key).select(*key, F.expr("_removed div _rows").alias("_removed"))
-    stats = text_statistics(docs.select("*", *place), id_col, text_col, [*key, *(keep or [])])
+    stats = text_statistics(docs.select("*", *place), id_col, text_col, key)
     out = stats.join(removed, key, "left").withColumn("n_removed_words", F.coalesce("_removed", F.lit(0)).cast("long"))
     left = F.col("n_words") - F.col("n_removed_words")
     out = out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     kept = ~F.col("base_failed") & (left >= min_left_words) & (left >= F.col("n_words") * F.lit(min_left_share))
-    return out.withColumn("kept", kept).drop(*key, "_removed")
+    return out.withColumn("kept", kept).drop("_removed", *([] if with_key else key))
 
 
-def filter_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that judge() keeps, with their columns."""
-    names = docs.columns
-    marked = {n: f"_c{i}" for i, n in enumerate(names)}
-    wide = docs.select(*[F.col(f"`{n}`") for n in names], *[F.col(f"`{n}`").alias(a) for n, a in marked.items()])
-    out = judge(wide, keep=list(marked.values()), **options).filter("kept")
-    return out.select(*[F.col(a).alias(n) for n, a in marked.items()])
+def filter_documents(docs: DataFrame, text_col: str = "text", host_col: str = "source", **options) -> DataFrame:
+    """The rows of ``docs`` that judge() keeps, with their columns.
+
+    Verdicts are written first, by host and text; whole texts are only shuffled if more than ``DROPPED`` of them are rejected.
+    """
+    key = ["_host", "_d1", "_d2"]
+    judged = materialise(judge(docs, text_col=text_col, host_col=host_col, with_key=True, **options), "quality-verdicts")
+    drop = judged.filter(~F.col("kept")).select(*[F.col(k).alias(f"_x{k}") for k in key]).distinct()
+    drop = F.broadcast(drop) if drop.count() <= DROPPED else drop
+    place = [_host(host_col), *_print(_text(text_col))]
+    same = place[0] == F.col("_x_host")
+    for value, name in zip(place[1:], key[1:]):
+        same = same & (value == F.col(f"_x{name}"))
+    return docs.join(drop, same, "left_anti")
 
 
 def op5_quality_line_frequency(spark, sf_dir: str) -> DataFrame:
