@@ -172,8 +172,9 @@ def features(tree: Tree) -> tuple[list[int], list[int]]:
         own = [f"k{kind}"]
         scale = min(length.bit_length(), 12)
         share = 0 if not length else 1 + int(3.99 * linked[i] / length)
-        own.append(f"s{kind}.{scale}")
-        own.append(f"l{kind}.{share}")
+        if i and tree.name[i] not in ("html", "body"):  # how long a page is says nothing of whether it has an article
+            own.append(f"s{kind}.{scale}")
+            own.append(f"l{kind}.{share}")
         if kind == TEXT:
             parent = tree.name[tree.parent[i]]
             own.append(f"p{parent}")
@@ -181,7 +182,8 @@ def features(tree: Tree) -> tuple[list[int], list[int]]:
                 own.append("copyright")
         else:
             own.append(f"t{tree.name[i]}")
-            own.append(f"m{kind}.{min((length // max(1, leaves[i])).bit_length(), 9)}")
+            if tree.name[i] not in ("#page", "html", "body"):
+                own.append(f"m{kind}.{min((length // max(1, leaves[i])).bit_length(), 9)}")
             own += [f"w{w}" for w in tree.words[i]]
         nodes += [i] * len(own)
         buckets += map(_bucket, own)
