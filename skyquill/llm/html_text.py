@@ -344,6 +344,8 @@ def labelled_pages(n: int, seed: int = 3) -> list[str]:
         kind = rng.random()
         if kind < 0.62:
             text = inline(prose(MARK) if chance(0.8) else sentence(MARK, 1, 3))
+            if chance(0.2):
+                text = "<br>".join(inline(sentence(MARK, 1, 5)) for _ in range(rng.randint(2, 3))) + inline(" " + words(2, MARK))
             return pick([f"<p>{text}</p>", f"<p>{text}</p>", f"<p>{text}", f"<p><b>{text}<br>", f"<p{attr('lead', 'text', 'intro')}>{text}</p>", f"<div>{text}</div>"])
         if kind < 0.72:
             h = pick(["h2", "h3", "h4"])
