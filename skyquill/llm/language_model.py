@@ -5,8 +5,8 @@ recurrent unit that has read all tokens before it. The output is factored by cla
 the most frequent ``WORDS`` words, a softmax within the class that also depends on the state. Every other word belongs to
 a class by its last byte, and within it has its smoothed share of the training tokens of that class. A word never seen
 has the share of the one unknown word, as in the base score. Training is by truncated backpropagation in numpy: a short start
-on the driver from at most ``START_DOCS`` documents, then one pass of every partition over its share of a sample that
-grows with the input (one document in ``SAMPLE``), and the mean of the partitions' models.
+on the driver from at most ``START_DOCS`` documents, then one pass of every partition over all tokens of its training
+documents, and the mean of the partitions' models.
 
 A document is scored in windows, and the state is carried over from one to the next, so the score is the
 log-likelihood of the whole document whatever its length.
@@ -36,7 +36,6 @@ TAILS = 16
 HIDDEN = 16
 START_DOCS = 600
 START_CHARS = 20_000
-SAMPLE = 32
 STREAMS, WINDOW = 64, 16
 SCORE_WINDOW = 24
 SCORE_TOKENS = 2_000_000
@@ -178,7 +177,7 @@ def train(net: Network, symbols: np.ndarray, epochs: int, rate: float) -> int:
     """Truncated backpropagation over one long run of tokens, cut into streams. Gives the number of tokens used."""
     streams = max(1, min(STREAMS, len(symbols) // (4 * WINDOW)))
     length = len(symbols) // streams
-    if length < 2:
+    if not length:
         return 0
     data = symbols[: streams * length].reshape(streams, length)
     m, v, steps = np.zeros_like(net.flat), np.zeros_like(net.flat), 0
@@ -285,8 +284,35 @@ def _training(docs: DataFrame) -> DataFrame:
     return docs.filter(~F.col("held_out"))
 
 
+def _models(docs: DataFrame, flat: np.ndarray, lexicon: Lexicon) -> DataFrame:
+    """n and flat: of each partition, the tokens it learnt from, which are all of its training documents, and its model."""
+    start = docs.sparkSession.sparkContext.broadcast((flat, lexicon))
+
+    def run(batches):
+        flat, lex = start.value
+        own, n, pending, size = Network(flat), 0, [], 0
+        for batch in batches:
+            for _, _, chunk in A.chunks(A.text_column(batch, "text"), lower=True):
+                _, h, t = _tokens(chunk)
+                pending.append(lex.symbols(h, t))
+                size += len(h)
+                if size >= 200_000:
+                    symbols = np.concatenate(pending)
+                    used = train(own, symbols, epochs=1, rate=0.003)
+                    n += used
+                    pending, size = [symbols[used:]], len(symbols) - used  # what filled no stream waits for the next
+        while size:
+            symbols = np.concatenate(pending)
+            used = train(own, symbols, epochs=1, rate=0.003)
+            n += used
+            pending, size = [symbols[used:]], len(symbols) - used
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([own.flat.tobytes()], pa.binary())], names=["n", "flat"])
+
+    return _training(docs).select("text").mapInArrow(run, "n long, flat binary")
+
+
 def _learn(docs: DataFrame, lexicon: Lexicon) -> np.ndarray:
-    spark = docs.sparkSession
     used = _training(docs).filter(F.length("text").between(1, START_CHARS)).select(F.xxhash64("doc_id", "text").alias("h"), "text")
     got = used.orderBy("h", "text").limit(START_DOCS).toArrow()
     texts = got.column("text").combine_chunks() if got.num_rows else pa.array([], pa.string())
@@ -301,23 +327,6 @@ def _learn(docs: DataFrame, lexicon: Lexicon) -> np.ndarray:
         return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
     train(net, read(texts.cast(pa.string())), epochs=3, rate=0.01)
-    start = spark.sparkContext.broadcast((net.flat, lexicon))
-
-    def run(batches):
-        flat, lex = start.value
-        own, n, pending, size = Network(flat), 0, [], 0
-        for batch in batches:
-            for _, _, chunk in A.chunks(A.text_column(batch, "text"), lower=True):
-                _, h, t = _tokens(chunk)
-                pending.append(lex.symbols(h, t))
-                size += len(h)
-                if size >= 200_000:
-                    n += train(own, np.concatenate(pending), epochs=1, rate=0.003)
-                    pending, size = [], 0
-        if size:
-            n += train(own, np.concatenate(pending), epochs=1, rate=0.003)
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([own.flat.tobytes()], pa.binary())], names=["n", "flat"])
 
     def mean(frame: pd.DataFrame) -> pd.DataFrame:
         total, n = np.zeros(Network.SIZE), int(frame["n"].sum())
@@ -325,8 +334,7 @@ def _learn(docs: DataFrame, lexicon: Lexicon) -> np.ndarray:
             total += k * np.frombuffer(flat, dtype=np.float32)
         return pd.DataFrame({"n": [n], "flat": [(total / n).astype(np.float32).tobytes()]})
 
-    sample = _training(docs).filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(SAMPLE)) == 0).select("text")
-    models = sample.mapInArrow(run, "n long, flat binary").withColumn("k", F.pmod(F.xxhash64("flat"), F.lit(8)))
+    models = _models(docs, net.flat, lexicon).withColumn("k", F.pmod(F.xxhash64("flat"), F.lit(8)))
     rows = models.groupBy("k").applyInPandas(mean, "n long, flat binary").collect()  # 8 models at most
     if not rows:
         return net.flat

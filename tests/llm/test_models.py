@@ -178,6 +178,15 @@ def test_base_score_and_counts_match_brute_force(spark, monkeypatch, head):
     assert lm.score(df.limit(0), held).count() == 0
 
 
+def test_every_training_token_reaches_the_network(spark):
+    rows = [(i, " ".join(f"w{(i * k) % 17}" for k in range(i % 90))) for i in range(900)] + [(901, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumn("held_out", F.col("doc_id") % 10 == 0)
+    empty = np.zeros(0, np.int64)
+    lexicon = lm.Lexicon(empty.astype(np.uint64), empty, [], empty)
+    models = lm._models(docs, lm.Network().flat, lexicon).collect()
+    assert sum(r.n for r in models) == sum(len(tokens(t)) for i, t in rows if i % 10) and len(models) == 3
+
+
 @data
 def test_model_beats_the_base_on_held_out_documents(spark):
     rows = lm.op8_recurrent_lm(spark, DATA).filter("held_out").collect()
