@@ -2,9 +2,11 @@
 
 A text becomes a run of tokens: words without the marks around them, A-Z lower-cased; words without a letter or digit are no
 tokens. Numbers, names and units become typed placeholders. A number starts with a digit; a unit is a word of ``UNITS``
-after a number; a name starts with A-Z before a lower-case letter and does not begin a sentence or line. Windows of
-``WINDOW`` tokens with at least ``LITERALS`` plain words are hashed, and the windows of documents join those of the
-benchmark on the hash.
+after a number; a name starts with A-Z before a lower-case letter. What begins a sentence or line may be a name or a
+plain word with a capital, so texts have both readings; and each is taken with every placeholder by itself and with a run
+of names or of numbers as one (Anna, Mary Ann). Windows of ``WINDOW`` tokens of a reading are hashed, those of items if they
+have at least ``LITERALS`` words that are plain in some reading, and the windows of documents join those of the benchmark on
+the hash. An alignment is judged within one reading of each side.
 
 Matches of a document and an item are aligned by the difference of their places. Along one alignment the slots have to be
 consistent: a value of the item always stands for the same value of the document, and the other way round; windows that
@@ -27,12 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyquill.llm import arrays as A
-from skyquill.llm.common import small_batches, table
+from skyquill.llm.common import materialise, small_batches, table
 
 WINDOW = 8
 LITERALS = 4
 RUN = 13
 HELD = 2_000_000
+READINGS = [(0, 0), (1, 0), (0, 1), (1, 1)]  # see Tokens.reading
 # What counts as a unit after a number.
 UNITS = (
     "% am apples bags bottles boxes cents cl cm coins days degrees dollar dollars eur euro euros feet foot ft g gallons gb gram grams hour hours hrs inch inches kb kg kilograms "
@@ -87,34 +90,62 @@ class Tokens:
             begin[1:] = ~same | _STOP[data[chunk.ends[keep[:-1]] - 1]] | (lines[self.start[1:]] != lines[self.start[:-1]])
         number = _DIGIT[data[self.start]]
         second = data[np.minimum(self.start + 1, len(data) - 1)] if len(data) else data
-        name = _UPPER[data[self.start]] & (self.end - self.start > 1) & _SMALL[second] & ~begin
+        capital = _UPPER[data[self.start]] & (self.end - self.start > 1) & _SMALL[second]
         words = low.span_hash(self.start, self.end)
         after = np.zeros(len(keep), bool)
         if len(keep) > 1:
             after[1:] = number[:-1] & (self.row[1:] == self.row[:-1])
         units = _units()
         unit = after & (units[np.minimum(np.searchsorted(units, words), len(units) - 1)] == words)
-        self.kind = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, WORD)))
-        self.hash = np.where(self.kind == WORD, words, A.mix(self.kind.astype(np.uint64)))
+        self.begin = begin
+        self.kinds = [np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, WORD))) for name in (capital & ~begin, capital)]
+        self.plain = self.kinds[0] == WORD
         self.value = words
         first = np.searchsorted(self.row, np.arange(chunk.n_rows))
         self.place = np.arange(len(keep)) - first[self.row]
 
-    def windows(self) -> tuple[np.ndarray, np.ndarray]:
-        """(first token, hash) of every window with enough plain words."""
+    def reading(self, names: int, runs: int) -> "Reading":
+        """``names``: 1 if what begins a sentence with a capital is a name; ``runs``: 1 if a run of names or of numbers is one."""
+        kind = self.kinds[names]
+        head = np.ones(len(kind), bool)
+        if runs and len(kind) > 1:
+            alike = (kind[1:] == kind[:-1]) & ((kind[1:] == NAME) | (kind[1:] == NUMBER))
+            head[1:] = ~(alike & (self.row[1:] == self.row[:-1]) & ~self.begin[1:])
+        return Reading(self, kind, np.flatnonzero(head), runs)
+
+
+class Reading:
+    """Tokens of one reading: row, place, kind, hash and value, and the first and last of the text's tokens in each."""
+
+    def __init__(self, tokens: Tokens, kind: np.ndarray, heads: np.ndarray, runs: int):
+        last = np.append(heads[1:], len(kind)) - 1
+        self.runs = runs
+        self.row, self.kind, self.plain = tokens.row[heads], kind[heads], tokens.plain[heads]
+        self.first, self.last = tokens.place[heads], tokens.place[last] if len(heads) else tokens.place[heads]
+        # a sentence's first word may be no part of the name it stands before, so the value of such a run leaves it out
+        size = last - heads + 1
+        without = np.repeat((size > 1) & tokens.begin[heads] & (self.kind == NAME), size)
+        weight = np.arange(len(kind)) - np.repeat(heads, size) + 1 - without
+        self.value = np.add.reduceat(tokens.value * weight.astype(np.uint64), heads) if len(heads) else tokens.value[heads]
+        self.hash = np.where(self.kind == WORD, self.value, A.mix(self.kind.astype(np.uint64)))
+        begin = np.searchsorted(self.row, self.row)
+        self.place = np.arange(len(heads)) - begin
+
+    def windows(self, literals: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first token, hash) of every window with enough words that are plain when a sentence's first word is no name."""
         n = len(self.hash) - WINDOW + 1
         if n <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        h = np.zeros(n, np.uint64)
+        h = np.full(n, self.runs, np.uint64)
         for j in range(WINDOW):
             h = h * _U(A._BASE) + self.hash[j : n + j]
-        plain = np.concatenate([[0], np.cumsum(self.kind == WORD)])
-        at = np.flatnonzero((self.row[:n] == self.row[WINDOW - 1 :]) & (plain[WINDOW:] - plain[:-WINDOW] >= LITERALS))
+        plain = np.concatenate([[0], np.cumsum(self.plain)])
+        at = np.flatnonzero((self.row[:n] == self.row[WINDOW - 1 :]) & (plain[WINDOW:] - plain[:-WINDOW] >= literals))
         return at, A.mix(h[at])
 
 
-def template_windows(df: DataFrame, id_col: str, text_col: str, id_name: str, held: np.ndarray | None = None) -> DataFrame:
-    """id_name, place, window (hash) and slots (kind and value of each placeholder, by place in the text) of every window."""
+def template_windows(df: DataFrame, id_col: str, text_col: str, id_name: str, held: np.ndarray | None = None, literals: int = 0) -> DataFrame:
+    """id_name, reading, place in it, first and last token, window (hash) and slots (kind and value of each placeholder, by place) of every window."""
     small_batches(df.sparkSession)
     df = df.select(F.col(id_col).alias(id_name), F.col(text_col).cast("string").alias("text"))
     shared = None
@@ -128,39 +159,42 @@ def template_windows(df: DataFrame, id_col: str, text_col: str, id_name: str, he
     def run(batches):
         for batch in batches:
             for start, end, chunk in A.chunks(A.text_column(batch, "text"), lower=False):
-                t = Tokens(chunk)
-                at, h = t.windows()
-                if shared is not None:
-                    near, all_ = shared.value
-                    maybe = np.flatnonzero(near[(h & _U((1 << 20) - 1)).astype(np.int64)])
-                    at, h = at[maybe], h[maybe]
-                    hit = all_[np.minimum(np.searchsorted(all_, h), len(all_) - 1)] == h if len(all_) else np.zeros(len(h), bool)
-                    at, h = at[hit], h[hit]
-                if not len(at):
-                    continue
-                slots = [[(int(t.place[k]), int(t.kind[k]), int(t.value[k : k + 1].view(np.int64)[0])) for k in range(i, i + WINDOW) if t.kind[k]] if t.kind[i : i + WINDOW].any() else [] for i in at]
-                slots = [[{"at": a, "kind": b, "value": c} for a, b, c in s] for s in slots]
-                ids = batch.column(0).slice(start, end - start).take(pa.array(t.row[at]))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(t.place[at].astype(np.int32)), pa.array(h.view(np.int64)), pa.array(slots, pa.list_(slot_type))], names=[id_name, "place", "window", "slots"])
+                tokens = Tokens(chunk)
+                for names, runs in READINGS:
+                    t = tokens.reading(names, runs)
+                    at, h = t.windows(literals)
+                    if shared is not None:
+                        near, all_ = shared.value
+                        maybe = np.flatnonzero(near[(h & _U((1 << 20) - 1)).astype(np.int64)])
+                        at, h = at[maybe], h[maybe]
+                        hit = all_[np.minimum(np.searchsorted(all_, h), len(all_) - 1)] == h if len(all_) else np.zeros(len(h), bool)
+                        at, h = at[hit], h[hit]
+                    if not len(at):
+                        continue
+                    slots = [[{"at": int(t.place[k]), "kind": int(t.kind[k]), "value": int(t.value[k : k + 1].view(np.int64)[0])} for k in range(i, i + WINDOW) if t.kind[k]] if t.kind[i : i + WINDOW].any() else [] for i in at]
+                    ids = batch.column(0).slice(start, end - start).take(pa.array(t.row[at]))
+                    ints = [pa.array(x.astype(np.int32)) for x in (np.full(len(at), names + 2 * runs), t.place[at], t.first[at], t.last[at + WINDOW - 1])]
+                    yield pa.RecordBatch.from_arrays([ids, *ints, pa.array(h.view(np.int64)), pa.array(slots, pa.list_(slot_type))], names=[id_name, "reading", "place", "first", "last", "window", "slots"])
 
     kind = df.schema[id_name].dataType.simpleString()
-    return df.mapInArrow(run, f"`{id_name}` {kind}, place int, window long, slots array<struct<at:int,kind:int,value:long>>")
+    return df.mapInArrow(run, f"`{id_name}` {kind}, reading int, place int, first int, last int, window long, slots array<struct<at:int,kind:int,value:long>>")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text") -> DataFrame:
     """doc_id, item_id, n_matched and n_windows (of the best alignment and of the item), first and last token, n_changed slots; a row for each leak."""
-    items = template_windows(benchmark, item_col, item_text_col, "item_id").distinct()
+    items = template_windows(benchmark, item_col, item_text_col, "item_id", literals=LITERALS).distinct()
     n = items.count()
     held = None
     if n <= HELD:
         held = items.select("window").distinct().toArrow().column("window").to_numpy().view(np.uint64)
-    sizes = items.groupBy("item_id").agg(F.countDistinct("place").alias("n_windows"))
-    bench = items.select("item_id", F.col("place").alias("item_place"), "window", F.col("slots").alias("item_slots"))
+    sizes = items.groupBy("item_id", F.col("reading").alias("item_reading")).agg(F.countDistinct("place").alias("n_windows"))
+    bench = items.select("item_id", F.col("reading").alias("item_reading"), F.col("place").alias("item_place"), "window", F.col("slots").alias("item_slots"))
     found = template_windows(docs, id_col, text_col, "doc_id", held)
     hits = found.join(bench, "window").select(
-        "doc_id", "item_id", (F.col("place") - F.col("item_place")).alias("shift"), "place", "item_place", F.arrays_zip(F.col("slots.kind").alias("k"), F.col("slots.at").alias("p"), F.col("slots.value").alias("d"), F.col("item_slots.value").alias("i")).alias("pairs")
+        "doc_id", "item_id", "reading", "item_reading", (F.col("place") - F.col("item_place")).alias("shift"), "first", "last", "item_place", F.arrays_zip(F.col("slots.kind").alias("k"), F.col("slots.at").alias("p"), F.col("slots.value").alias("d"), F.col("item_slots.value").alias("i")).alias("pairs")
     )
-    key = ["doc_id", "item_id", "shift"]
+    hits = materialise(hits, "template-hits")
+    key = ["doc_id", "item_id", "reading", "item_reading", "shift"]
     # pairs of values that occur at most places of an alignment win; windows with another pair for either value do not count
     pairs = hits.select(*key, F.explode("pairs").alias("e")).select(*key, "e.k", "e.p", "e.d", "e.i").distinct()
     votes = pairs.groupBy(*key, "k", "d", "i").agg(F.count(F.lit(1)).alias("c"))
@@ -175,8 +209,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col=
     breaks = F.coalesce(F.exists("pairs", lambda e: F.array_contains("bad", F.struct(e["k"].alias("k"), e["d"].alias("d"), e["i"].alias("i")))), F.lit(False))
     kept = kept.filter(~breaks)
     changed = F.size(F.array_distinct(F.flatten(F.collect_set(F.filter("pairs", lambda e: e["d"] != e["i"])))))
-    runs = kept.groupBy(*key).agg(F.countDistinct("item_place").alias("n_matched"), F.min("place").alias("first"), (F.max("place") + WINDOW - 1).alias("last"), changed.cast("long").alias("n_changed"))
-    runs = runs.join(sizes.withColumnRenamed("item_id", "_item"), F.col("item_id").eqNullSafe(F.col("_item")))
+    runs = kept.groupBy(*key).agg(F.countDistinct("item_place").alias("n_matched"), F.min("first").alias("first"), F.max("last").alias("last"), changed.cast("long").alias("n_changed"))
+    runs = runs.join(sizes.select(F.col("item_id").alias("_item"), F.col("item_reading").alias("_reading"), "n_windows"), F.expr("item_id <=> _item AND item_reading = _reading"))
     runs = runs.filter((F.col("n_matched") + WINDOW - 1 >= RUN) | (F.col("n_matched") >= F.col("n_windows")))
     best = runs.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_matched", -F.col("shift"), "n_windows", "first", "last", "n_changed")).alias("m"))
     return best.select("doc_id", "item_id", "m.n_matched", "m.n_windows", F.col("m.first").alias("first_token"), F.col("m.last").alias("last_token"), "m.n_changed")

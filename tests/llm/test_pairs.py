@@ -128,6 +128,18 @@ def test_changed_parameters_are_found_and_inconsistent_ones_are_not(spark):
     assert dc.find_leaks(df.limit(0), bench).count() == 0 and dc.find_leaks(df, bench.limit(0)).count() == 0
 
 
+def test_names_that_begin_sentences_or_have_more_words_are_found(spark):
+    items = [(1, "Anna has 5 apples. Bob has 3 apples. How many apples do they have together?"), (2, "when Anna walks past the old bridge then Bob swims across while Eve waits there")]
+    docs = [
+        (1, "Carl has 9 apples. Dora has 4 apples. How many apples do they have together?"), (2, "when Mary Ann walks past the old bridge then Bob swims across while Eve waits there"),
+        (3, "Carl has 9 apples. Dora has 4 apples. How many pears do they have together?"), (4, "A text about Anna, Bob and 5 apples. How many apples do they have together?"),
+    ]
+    df, bench = (spark.createDataFrame(x, f"{k} long, text string") for x, k in ((docs, "doc_id"), (items, "item_id")))
+    got = {(r.doc_id, r.item_id): r for r in dc.find_leaks(df, bench).collect()}
+    assert set(got) == {(1, 1), (2, 2)}
+    assert (got[1, 1].first_token, got[1, 1].last_token) == (0, 14) and (got[2, 2].first_token, got[2, 2].last_token) == (0, 15)
+
+
 def test_both_ways_of_the_join_agree(spark, monkeypatch):
     rng = random.Random(1)
     words = ["v" + str(i) for i in range(50)]
