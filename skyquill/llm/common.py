@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from skyquill.llm.arrays import BATCH_ROWS
 
 SPACES = " \t\n\x0b\f\r"
+BATCH_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,13 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound what one Arrow batch of whole texts holds."""
+    """Bound what one Arrow batch of whole texts holds, in rows and in bytes (a row at least)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; a temporary one only where that is unset."""
+    """A new folder under spark.checkpoint.dir. Where that is unset: a temporary one in local mode, which has one machine, else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not base:
         base = f"file://{tempfile.mkdtemp(prefix='skyquill-')}"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -68,18 +72,20 @@ def fold(column: Column, n: int) -> Column:
     return F.crc32(column.cast("string")) % n
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_cols: list[str], rows: int, chars: int) -> DataFrame:
-    """(_h, _t, labels): at most ``rows`` documents of at most ``chars`` characters whose labels are all 0 or 1, in the order of a hash.
+def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_cols: list[str], rows: int) -> DataFrame:
+    """_h, _d (hashes of id and text), _t (whole text) and labels, all 0 or 1, of the first ``rows`` labelled documents in the order of a hash.
 
-    The ids are chosen among the labels alone; only chosen documents leave their tasks.
+    The ids are chosen among the labels alone, and their number is the bound; an id that is labelled twice takes part with its least labels, and rows
+    that share id and text are one. Only chosen documents leave their tasks.
     """
-    chosen = labels.select(id_col, *label_cols).filter(F.col(id_col).isNotNull())
+    chosen = labels.select(F.col(id_col).alias("_id"), *label_cols).filter(F.col("_id").isNotNull())
     for c in label_cols:
         chosen = chosen.filter(F.col(c).isin(0, 1))
     n = chosen.count()
-    place = F.pmod(F.xxhash64(id_col), F.lit(1 << 30))
-    if n > 2 * rows:  # thins the rows before the exact cut below; twice as many as needed are left
+    place = F.pmod(F.xxhash64("_id"), F.lit(1 << 30))
+    if n > 2 * rows:  # thins the rows before the exact cut below; about twice as many as needed are left
         chosen = chosen.filter(place < int((1 << 30) * 2 * rows / n))
-    chosen = chosen.withColumn("_h", F.xxhash64(id_col)).orderBy("_h", *label_cols).limit(rows)
-    found = docs.filter(F.length(F.coalesce(F.col(text_col), F.lit(""))) <= chars).join(F.broadcast(chosen), id_col)  # ``rows`` ids
-    return found.select("_h", F.coalesce(F.col(text_col), F.lit("")).alias("_t"), *[F.col(c).cast("int").alias(c) for c in label_cols]).orderBy("_h", "_t", *label_cols).limit(rows)
+    chosen = chosen.groupBy("_id").agg(*[F.min(F.col(c)).cast("int").alias(c) for c in label_cols]).withColumn("_h", F.xxhash64("_id")).orderBy("_h", "_id").limit(rows)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    found = docs.select(F.col(id_col).alias("_id"), text.alias("_t")).join(F.broadcast(chosen), "_id")  # ``rows`` ids
+    return found.select("_h", F.xxhash64("_t").alias("_d"), "_t", *label_cols).dropDuplicates(["_h", "_d"])

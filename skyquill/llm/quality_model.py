@@ -5,12 +5,14 @@ marks for word start and end), and one feature for each word that repeats the wo
 layer gives the classes. Vectors and layer are trained together by stochastic gradient descent in numpy, one document at
 a time, with a rate that falls to zero. Features keep their case.
 
-Fitted on at most ``FIT_ROWS`` labelled rows in the order of a hash of the id (each of at most ``FIT_CHARS`` characters),
-a documented bound; scoring covers whole texts. As the layer is linear in the average, a document's score needs only
-the sum of one number per feature, so scoring is a few array passes in ``mapInArrow``.
-
-Defined cases: null and empty texts get the score of the bias alone; repeated rows get equal scores; null labels and
-labels of unknown documents are not used; without labelled rows every score is 0.5; empty tables give empty results.
+Fitted on at most ``FIT_ROWS`` labelled rows in the order of a hash of the id, a documented bound; their texts are read whole. Features are
+taken in the tasks that read the texts, and one task trains, so the driver holds nothing but the result. Scoring covers whole texts. As
+the layer is linear in the average, a document's score needs only the sum of one number per feature, so scoring is a few array
+passes in ``mapInArrow``.
+
+Defined cases: null and empty texts get the score of the bias alone; repeated rows get equal scores, a row each; a row without an id
+counts as held out; null labels and labels of unknown documents are not used; an id that is labelled twice counts with its least
+label; without labelled rows every score is 0.5; further columns are ignored, whatever their names; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -21,14 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyquill.llm import arrays as A
-from skyquill.llm.common import fold, labelled_sample, small_batches, table
+from skyquill.llm.common import fold, labelled_rows, small_batches, table
 
 BUCKETS = 1 << 18
 WIDTH = 12
 EPOCHS = 5
 RATE = 1.0
 FIT_ROWS = 4000
-FIT_CHARS = 50_000
 THRESHOLD = 0.3
 GRAMS = (3, 4)
 
@@ -66,25 +67,26 @@ def features(chunk: A.Chunk, buckets: int = BUCKETS) -> list[tuple[np.ndarray, n
     return out
 
 
-def train(texts: list[str], labels: np.ndarray, classes: int = 2, seed: int = 1, buckets: int = BUCKETS) -> dict[str, np.ndarray]:
-    """Vectors, layer and bias."""
+def counted(chunk: A.Chunk, buckets: int = BUCKETS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(buckets, times) of each row, buckets ascending."""
+    row, bucket = (np.concatenate(x) for x in zip(*features(chunk, buckets)))
+    key, count = np.unique(row * buckets + bucket, return_counts=True)
+    cut = np.searchsorted(key, np.arange(1, chunk.n_rows) * buckets)
+    return list(zip(np.split(key % buckets, cut), np.split(count, cut)))
+
+
+def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classes: int = 2, seed: int = 1, buckets: int = BUCKETS) -> dict[str, np.ndarray]:
+    """Vectors, layer and bias from the counted features of rows."""
     rng = np.random.default_rng(seed)
     vectors = ((rng.random((buckets, WIDTH), dtype=np.float32) - 0.5) / WIDTH).astype(np.float32)
     layer, bias = np.zeros((classes, WIDTH), dtype=np.float32), np.zeros(classes, dtype=np.float32)
-    rows = []
-    for start, end, chunk in A.chunks(pa.array(texts, pa.string()), lower=False):
-        parts = features(chunk, buckets)
-        row, bucket = (np.concatenate(x) for x in zip(*parts))
-        key, count = np.unique(row * buckets + bucket, return_counts=True)
-        cut = np.searchsorted(key, np.arange(1, end - start) * buckets)
-        rows += zip(np.split(key % buckets, cut), np.split(count.astype(np.float32), cut))
     total, done = max(1, EPOCHS * len(rows)), 0
     for _ in range(EPOCHS):
         for i in rng.permutation(len(rows)):
             rate = RATE * (1 - done / total)
             done += 1
             bucket, count = rows[i]
-            share = count / max(1.0, count.sum())
+            share = count.astype(np.float32) / np.float32(max(1, count.sum()))
             mean = share @ vectors[bucket] if len(bucket) else np.zeros(WIDTH, np.float32)
             z = layer @ mean + bias
             z = np.exp(z - z.max())
@@ -101,12 +103,32 @@ def train(texts: list[str], labels: np.ndarray, classes: int = 2, seed: int = 1,
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> dict[str, np.ndarray]:
     """A scorer for two classes from a bounded sample of rows with labels 0 or 1: one number per bucket, and the bias."""
-    got = labelled_sample(docs, labels, id_col, text_col, [label_col], FIT_ROWS, FIT_CHARS).toArrow()
-    labels = got.column(label_col).to_numpy()
-    if not len(labels):
+    small_batches(docs.sparkSession)
+
+    def read(batches):
+        for batch in batches:
+            for start, end, chunk in A.chunks(A.text_column(batch, "_t"), lower=False):
+                rows = counted(chunk)
+                lists = [pa.array([r[k].astype(np.int32) for r in rows], pa.list_(pa.int32())) for k in (0, 1)]
+                part = batch.slice(start, end - start)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), *lists], names=["_h", "_d", "label", "bucket", "times"])
+
+    def learn(batches):
+        rows, labels = [], []
+        for batch in batches:
+            rows += [(b.values.to_numpy().astype(np.int64), t.values.to_numpy()) for b, t in zip(batch.column(3), batch.column(4))]
+            labels += batch.column(2).to_pylist()
+        if rows:
+            model = train(rows, np.array(labels))
+            weights = (model["vectors"] @ (model["layer"][1] - model["layer"][0])).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([float(model["bias"][1] - model["bias"][0])])], names=["score", "bias"])
+
+    sample = labelled_rows(docs, labels, id_col, text_col, [label_col], FIT_ROWS).select("_h", "_d", F.col(label_col).alias("label"), "_t")
+    sample = sample.mapInArrow(read, "_h long, _d long, label int, bucket array<int>, times array<int>")
+    found = sample.repartition(1).sortWithinPartitions("_h", "_d").mapInArrow(learn, "score binary, bias double").first()  # FIT_ROWS rows, one model
+    if found is None:
         return {"score": np.zeros(BUCKETS, np.float32), "bias": np.zeros(1)}
-    model = train(got.column("_t").to_pylist(), labels)
-    return {"score": model["vectors"] @ (model["layer"][1] - model["layer"][0]), "bias": np.array([model["bias"][1] - model["bias"][0]])}
+    return {"score": np.frombuffer(found["score"], np.float32), "bias": np.array([found["bias"]])}
 
 
 def score(docs: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -135,4 +157,4 @@ def op9_subword_quality(spark, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality").filter(fold(F.col("doc_id"), 5) != 0)
     model = fit(docs, labels, "doc_id", "text", "quality")
     out = score(docs, model)
-    return out.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(True)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

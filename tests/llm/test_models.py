@@ -40,21 +40,54 @@ def test_chain_learns_categories_in_order():
     assert none.predict(np.zeros(0, int), np.zeros(0, np.uint64), 2).max() < 1e-6
 
 
+def test_kinds_split_toxic_rows_by_their_words():
+    rows = np.repeat(np.arange(40), 2)
+    words = np.array([[0, 1] if i < 10 else [2, 3] if i < 20 else [4, 5] for i in range(40)]).ravel()
+    kinds = tx.kinds_of(rows, words, np.array([1.0] * 20 + [0.0] * 20))
+    assert kinds[20:].sum() == 0 and (kinds[:20].sum(axis=1) == 1).all()
+    assert {tuple(k) for k in kinds[:10]} != {tuple(k) for k in kinds[10:20]} and len({tuple(k) for k in kinds[:10]}) == 1
+    assert tx.kinds_of(np.zeros(0, int), np.zeros(0, int), np.ones(3)).sum() == 3 and tx.kinds_of(rows, words, np.zeros(40)).sum() == 0
+
+
 def test_toxicity_on_frames(spark):
     rng = random.Random(2)
-    rows = [(i, text_of(rng, ["idiot", "moron"] if i % 4 == 0 else [], 30)) for i in range(200)] + [(900, None), (901, ""), (902, "idiot " * 20000), (902, "idiot " * 20000)]
-    docs = spark.createDataFrame([(i, t, 1.0) for i, t in rows], "doc_id long, text string, p_toxic double")
-    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)] + [(7777, 1), (3, None)], "doc_id long, toxic int")
+    rows = [(i, text_of(rng, ["zarg", "blun"] if i % 4 == 0 else [], 30)) for i in range(200)] + [(900, None), (901, ""), (902, "zarg " * 20000), (902, "zarg " * 20000), (3, "another text"), (None, "zarg blun")]
+    docs = spark.createDataFrame([(i, t, 1.0, "x") for i, t in rows], "doc_id long, text string, p_toxic double, is_toxic string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)] + [(7777, 1), (3, None), (3, 1), (None, 1)], "doc_id long, toxic int")
     chain = tx.fit(docs, labels)
-    got = [(r.doc_id, r.is_toxic) for r in tx.classify(docs, chain).collect()]
-    assert dict(got)[902] and not dict(got)[900] and not dict(got)[901] and len(got) == 204
-    assert sum(t == (i % 4 == 0) for i, t in got if i < 200) >= 198
+    assert chain.names == ("kind_1", "kind_2", "toxic") and [len(m.chained) for m in chain.models] == [0, 1, 2]
+    out = tx.classify(docs, chain)
+    assert out.columns == ["doc_id", "p_kind_1", "p_kind_2", "p_toxic", "is_toxic"]
+    got = [(r.doc_id, r.is_toxic) for r in out.collect()]
+    assert dict(got)[902] and not dict(got)[900] and not dict(got)[901] and dict(got)[None] and len(got) == 206
+    assert sum(t == (i % 4 == 0) for i, t in got if i is not None and i < 200) >= 198
     kept = tx.remove_toxic(docs, chain)
     assert kept.schema == docs.schema and sorted(r.doc_id for r in kept.collect()) == sorted(i for i, t in got if not t)
     empty = tx.fit(docs, labels.limit(0))
     assert tx.classify(docs, empty).filter("is_toxic").count() == 0 and tx.classify(docs.limit(0), chain).count() == 0
 
 
+def test_chain_of_frames_equals_the_chain_of_all_words(spark):
+    """Words that no selection can pass are left out before the driver sees them: the fitted chain is the same as from all words."""
+    rng = random.Random(5)
+    rows = [(i, text_of(rng, ["zarg", "blun", "tew"] if i % 5 == 0 else ["fine", "calm"] if i % 3 == 0 else [], rng.randint(1, 40)) + f" own{i}") for i in range(160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0 and i % 2), int(i % 5 == 0)) for i, _ in rows], "doc_id long, severe int, toxic int")
+    chain = tx.fit(docs, labels, label_cols=("severe", "toxic"))
+    order = sorted((r.h, i) for i, r in enumerate(docs.select(F.xxhash64("doc_id").alias("h")).collect()))
+    own = [i for _, i in order]
+    got = [A.row_sets(c.row, c.word_hash(), e - s)[:2] for s, e, c in A.chunks(pa.array([rows[i][1] for i in own]), lower=True)]
+    y = np.array([[i % 5 == 0 and i % 2, i % 5 == 0] for i in own], float)
+    plain = tx.fit_sets(got[0][0], got[0][1], y, ("severe", "toxic"), np.array([h % tx.FOLDS for h, _ in order]))
+    for r in tx.classify(docs, chain).collect():
+        words = np.unique(next(c for _, _, c in A.chunks(pa.array([rows[r.doc_id][1]]), lower=True)).word_hash())
+        p = []
+        for model in plain.models:  # word by word
+            logit = model.bias + sum(float(w) for h, w in zip(model.words, model.weights) if h in words) + sum(c * q for c, q in zip(model.chained, p))
+            p.append(1 / (1 + math.exp(-logit)))
+        assert math.isclose(r.p_severe, p[0], abs_tol=1e-6) and math.isclose(r.p_toxic, p[1], abs_tol=1e-6) and r.is_toxic == (p[1] >= plain.threshold)
+
+
 def test_subword_model_learns_marks_and_repeats(spark):
     rng = random.Random(3)
     good = [text_of(rng, n=rng.randint(10, 80)) for _ in range(150)]
@@ -65,6 +98,8 @@ def test_subword_model_learns_marks_and_repeats(spark):
     got = {r.doc_id: r.score for r in qm.score(docs, model).collect()}
     unseen = [i for i in range(250) if i % 3 == 0]
     assert np.mean([(got[i] > 0.5) == (i < 150) for i in unseen]) > 0.95 and 0 <= got[999] <= 1
+    odd = spark.createDataFrame([(1, "a b", 0.5, True), (None, None, 0.1, False), (1, "a b", 0.5, True)], "doc_id long, text string, score double, held_out boolean")
+    assert sorted((r.doc_id or 0, r.score) for r in qm.score(odd, model).collect())[1:] == [(1, qm.score(odd, model).filter("doc_id = 1").first().score)] * 2
     flat = qm.fit(docs, labels.limit(0), "doc_id", "text", "quality")
     assert {r.score for r in qm.score(docs, flat).collect()} == {0.5} and qm.score(docs.limit(0), model).count() == 0
 
@@ -80,6 +115,27 @@ def test_feature_arrays_match_a_plain_count():
     assert n.tolist() == [5 + 1 + 1, 0, 1]
 
 
+def test_scores_equal_a_plain_sum_over_features(spark):
+    rng = np.random.default_rng(7)
+    model = {"score": rng.standard_normal(qm.BUCKETS).astype(np.float32), "bias": np.array([0.3])}
+    texts = ["Ab abc é ab ab", "", None, "x", "same same other same", "long " * 3000, "Über-größe 12345 naïve"]
+    one = lambda t: next(c for _, _, c in A.chunks(pa.array([t]), lower=False))
+    mask = np.uint64(qm.BUCKETS - 1)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in qm.score(docs, model).collect()}
+    for i, t in enumerate(texts):
+        words, total = re.findall(r"[^\x20\x09-\x0d]+", t or ""), []
+        for k, w in enumerate(words):
+            total.append(int((one(w).word_hash()[0] ^ np.uint64(0x51)) & mask))
+            total += [back for back in (1, 2) if k >= back and words[k - back] == w]
+            for n in qm.GRAMS:
+                for j in range(len(w) - n + 1):
+                    edge = (j == 0) + 2 * (j + n == len(w))
+                    total.append(int(A.mix(one(w[j : j + n]).word_hash()[:1] + np.uint64(edge) + np.uint64(7))[0] & mask))
+        logit = 0.3 + float(np.mean([model["score"][b] for b in total])) if total else 0.3
+        assert math.isclose(got[i], 1 / (1 + math.exp(-logit)), abs_tol=1e-5), t
+
+
 @data
 def test_quality_query_on_held_out_rows(spark):
     df = qm.op9_subword_quality(spark, DATA)
