@@ -6,19 +6,22 @@ after a number; a name starts with A-Z before a lower-case letter. What begins a
 plain word with a capital, so texts have both readings; and each is taken with every placeholder by itself and with a run
 of names or of numbers as one (Anna, Mary Ann). Windows of ``WINDOW`` tokens of a reading are hashed, those of items if they
 have at least ``LITERALS`` words that are plain in some reading, and the windows of documents join those of the benchmark on
-the hash. An alignment is judged within one reading of each side.
+the hash, each reading with the same one.
 
-Matches of a document and an item are aligned by the difference of their places. Along one alignment the slots have to be
-consistent: a value of the item always stands for the same value of the document, and the other way round; windows that
-break this do not count. A document leaks an item if some alignment covers ``RUN`` tokens of it, or all its windows. So a
-question with other numbers and names is found like a verbatim one.
+Matches of a document and an item are aligned by the difference of their places. Slots have to be consistent over the whole of an
+alignment: a value of the item always stands for the same value of the document, and the other way round. A document leaks an item if
+some alignment does so and covers ``RUN`` tokens of it, or all its windows; or if the windows without any changed value alone cover as
+much. So a question with other numbers and names is found like a verbatim one, and one whose names or numbers do not go together is not.
+
+Items without a template window (short ones, or hardly a plain word) are compared by their words alone, values included: items of
+``SHORT`` tokens and more anywhere in a document, in windows of up to ``WINDOW`` tokens; items of fewer tokens with whole documents.
 
 The join is on the hash in either case. If the benchmark has at most ``HELD`` windows (a checked bound), tasks also hold
 their hashes and emit no other windows; beyond that, all windows go to the join.
 
-Defined cases: null and empty texts match nothing; items with fewer than ``WINDOW`` tokens, or without a window of enough
-plain words, are never matched; repeated rows give one result for their id; rows of a null id are judged as one
-document; further columns are ignored; an empty table gives an empty result.
+Defined cases: null and empty texts, and texts without a letter or digit, match nothing; repeated rows give one result for their id; rows
+that share an id, and rows without one, are judged as one document; equal items are all found; further columns are ignored,
+whatever their names; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -34,8 +37,11 @@ from skyquill.llm.common import materialise, small_batches, table
 WINDOW = 8
 LITERALS = 4
 RUN = 13
+SHORT = 4
 HELD = 2_000_000
 READINGS = [(0, 0), (1, 0), (0, 1), (1, 1)]  # see Tokens.reading
+#: Numbers of the readings without placeholders: windows of that many tokens, and whole texts of that many.
+EXACT, WHOLE = {n: 10 + n for n in range(SHORT, WINDOW + 1)}, {n: 30 + n for n in range(1, SHORT)}
 # What counts as a unit after a number.
 UNITS = (
     "% am apples bags bottles boxes cents cl cm coins days degrees dollar dollars eur euro euros feet foot ft g gallons gb gram grams hour hours hrs inch inches kb kg kilograms "
@@ -104,6 +110,21 @@ class Tokens:
         first = np.searchsorted(self.row, np.arange(chunk.n_rows))
         self.place = np.arange(len(keep)) - first[self.row]
 
+    def exact(self, number: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """(first token, hash of the words) of every window of a reading of EXACT or WHOLE, and its length."""
+        size = number - 10 if number < 30 else number - 30
+        n = len(self.value) - size + 1
+        if n <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64), size
+        h = np.full(n, number, np.uint64)
+        for j in range(size):
+            h = h * _U(A._BASE) + self.value[j : n + j]
+        fits = self.row[:n] == self.row[size - 1 :]
+        if number >= 30:
+            fits &= (self.place[:n] == 0) & (np.bincount(self.row, minlength=1)[self.row[:n]] == size)
+        at = np.flatnonzero(fits)
+        return at, A.mix(h[at]), size
+
     def reading(self, names: int, runs: int) -> "Reading":
         """``names``: 1 if what begins a sentence with a capital is a name; ``runs``: 1 if a run of names or of numbers is one."""
         kind = self.kinds[names]
@@ -111,15 +132,15 @@ class Tokens:
         if runs and len(kind) > 1:
             alike = (kind[1:] == kind[:-1]) & ((kind[1:] == NAME) | (kind[1:] == NUMBER))
             head[1:] = ~(alike & (self.row[1:] == self.row[:-1]) & ~self.begin[1:])
-        return Reading(self, kind, np.flatnonzero(head), runs)
+        return Reading(self, kind, np.flatnonzero(head), names + 2 * runs)
 
 
 class Reading:
     """Tokens of one reading: row, place, kind, hash and value, and the first and last of the text's tokens in each."""
 
-    def __init__(self, tokens: Tokens, kind: np.ndarray, heads: np.ndarray, runs: int):
+    def __init__(self, tokens: Tokens, kind: np.ndarray, heads: np.ndarray, number: int):
         last = np.append(heads[1:], len(kind)) - 1
-        self.runs = runs
+        self.number = number
         self.row, self.kind, self.plain = tokens.row[heads], kind[heads], tokens.plain[heads]
         self.first, self.last = tokens.place[heads], tokens.place[last] if len(heads) else tokens.place[heads]
         # a sentence's first word may be no part of the name it stands before, so the value of such a run leaves it out
@@ -136,7 +157,7 @@ class Reading:
         n = len(self.hash) - WINDOW + 1
         if n <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        h = np.full(n, self.runs, np.uint64)
+        h = np.full(n, self.number, np.uint64)
         for j in range(WINDOW):
             h = h * _U(A._BASE) + self.hash[j : n + j]
         plain = np.concatenate([[0], np.cumsum(self.plain)])
@@ -144,8 +165,12 @@ class Reading:
         return at, A.mix(h[at])
 
 
-def template_windows(df: DataFrame, id_col: str, text_col: str, id_name: str, held: np.ndarray | None = None, literals: int = 0) -> DataFrame:
-    """id_name, reading, place in it, first and last token, window (hash) and slots (kind and value of each placeholder, by place) of every window."""
+def template_windows(df: DataFrame, id_col: str, text_col: str, id_name: str, held: np.ndarray | None = None, exact: list[int] | None = None) -> DataFrame:
+    """id_name, reading, place in it, first and last token, window (hash) and slots (kind and value of each placeholder, by place) of every window.
+
+    ``exact``: the readings of EXACT and WHOLE to add. None for items: windows need LITERALS plain words, and a text without any gets its exact reading.
+    ``held``: hashes of the windows that are wanted.
+    """
     small_batches(df.sparkSession)
     df = df.select(F.col(id_col).alias(id_name), F.col(text_col).cast("string").alias("text"))
     shared = None
@@ -155,26 +180,44 @@ def template_windows(df: DataFrame, id_col: str, text_col: str, id_name: str, he
         shared = df.sparkSession.sparkContext.broadcast((near, np.sort(held)))  # HELD hashes at most
 
     slot_type = pa.struct([("at", pa.int32()), ("kind", pa.int32()), ("value", pa.int64())])
+    names_ = [id_name, "reading", "place", "first", "last", "window", "slots"]
+
+    def wanted(at, h):
+        near, all_ = shared.value
+        maybe = np.flatnonzero(near[(h & _U((1 << 20) - 1)).astype(np.int64)])
+        at, h = at[maybe], h[maybe]
+        hit = all_[np.minimum(np.searchsorted(all_, h), len(all_) - 1)] == h if len(all_) else np.zeros(len(h), bool)
+        return at[hit], h[hit]
 
     def run(batches):
         for batch in batches:
             for start, end, chunk in A.chunks(A.text_column(batch, "text"), lower=False):
-                tokens = Tokens(chunk)
-                for names, runs in READINGS:
+                tokens, own = Tokens(chunk), batch.column(0).slice(start, end - start)
+
+                def rows(row, reading, place, first, last, h, slots):
+                    ints = [pa.array(x.astype(np.int32)) for x in (np.full(len(row), reading), place, first, last)]
+                    return pa.RecordBatch.from_arrays([own.take(pa.array(row)), *ints, pa.array(h.view(np.int64)), pa.array(slots, pa.list_(slot_type))], names=names_)  # noqa: B023
+
+                bare = np.ones(end - start, bool)
+                for number, (names, runs) in enumerate(READINGS):
                     t = tokens.reading(names, runs)
-                    at, h = t.windows(literals)
+                    at, h = t.windows(LITERALS if exact is None else 0)
+                    bare[t.row[at]] = False
+                    if shared is not None:
+                        at, h = wanted(at, h)
+                    if len(at):
+                        slots = [[{"at": int(t.place[k]), "kind": int(t.kind[k]), "value": int(t.value[k : k + 1].view(np.int64)[0])} for k in range(i, i + WINDOW) if t.kind[k]] if t.kind[i : i + WINDOW].any() else [] for i in at]
+                        yield rows(t.row[at], number, t.place[at], t.first[at], t.last[at + WINDOW - 1], h, slots)
+                size = np.minimum(np.bincount(tokens.row, minlength=end - start), WINDOW)
+                for number in [*EXACT.values(), *WHOLE.values()] if exact is None else exact:
+                    at, h, n = tokens.exact(number)
+                    if exact is None:
+                        use = bare[tokens.row[at]] & (size[tokens.row[at]] == n)
+                        at, h = at[use], h[use]
                     if shared is not None:
-                        near, all_ = shared.value
-                        maybe = np.flatnonzero(near[(h & _U((1 << 20) - 1)).astype(np.int64)])
-                        at, h = at[maybe], h[maybe]
-                        hit = all_[np.minimum(np.searchsorted(all_, h), len(all_) - 1)] == h if len(all_) else np.zeros(len(h), bool)
-                        at, h = at[hit], h[hit]
-                    if not len(at):
-                        continue
-                    slots = [[{"at": int(t.place[k]), "kind": int(t.kind[k]), "value": int(t.value[k : k + 1].view(np.int64)[0])} for k in range(i, i + WINDOW) if t.kind[k]] if t.kind[i : i + WINDOW].any() else [] for i in at]
-                    ids = batch.column(0).slice(start, end - start).take(pa.array(t.row[at]))
-                    ints = [pa.array(x.astype(np.int32)) for x in (np.full(len(at), names + 2 * runs), t.place[at], t.first[at], t.last[at + WINDOW - 1])]
-                    yield pa.RecordBatch.from_arrays([ids, *ints, pa.array(h.view(np.int64)), pa.array(slots, pa.list_(slot_type))], names=[id_name, "reading", "place", "first", "last", "window", "slots"])
+                        at, h = wanted(at, h)
+                    if len(at):
+                        yield rows(tokens.row[at], number, tokens.place[at], tokens.place[at], tokens.place[at] + n - 1, h, [[]] * len(at))
 
     kind = df.schema[id_name].dataType.simpleString()
     return df.mapInArrow(run, f"`{id_name}` {kind}, reading int, place int, first int, last int, window long, slots array<struct<at:int,kind:int,value:long>>")
@@ -182,37 +225,34 @@ def template_windows(df: DataFrame, id_col: str, text_col: str, id_name: str, he
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text") -> DataFrame:
     """doc_id, item_id, n_matched and n_windows (of the best alignment and of the item), first and last token, n_changed slots; a row for each leak."""
-    items = template_windows(benchmark, item_col, item_text_col, "item_id", literals=LITERALS).distinct()
-    n = items.count()
+    items = materialise(template_windows(benchmark, item_col, item_text_col, "item_id").distinct(), "template-items")
+    exact = sorted(r["reading"] for r in items.filter(F.col("reading") >= 10).select("reading").distinct().collect())  # a few numbers
     held = None
-    if n <= HELD:
+    if items.count() <= HELD:
         held = items.select("window").distinct().toArrow().column("window").to_numpy().view(np.uint64)
     sizes = items.groupBy("item_id", F.col("reading").alias("item_reading")).agg(F.countDistinct("place").alias("n_windows"))
     bench = items.select("item_id", F.col("reading").alias("item_reading"), F.col("place").alias("item_place"), "window", F.col("slots").alias("item_slots"))
-    found = template_windows(docs, id_col, text_col, "doc_id", held)
-    hits = found.join(bench, "window").select(
-        "doc_id", "item_id", "reading", "item_reading", (F.col("place") - F.col("item_place")).alias("shift"), "first", "last", "item_place", F.arrays_zip(F.col("slots.kind").alias("k"), F.col("slots.at").alias("p"), F.col("slots.value").alias("d"), F.col("item_slots.value").alias("i")).alias("pairs")
-    )
-    hits = materialise(hits, "template-hits")
+    found = template_windows(docs, id_col, text_col, "doc_id", held, exact)
+    pairs = F.transform(F.arrays_zip(F.col("slots.kind").alias("k"), F.col("slots.value").alias("d"), F.col("item_slots.value").alias("i")), lambda e: F.struct(e["k"].alias("k"), e["d"].alias("d"), e["i"].alias("i")))
+    hits = found.join(bench, "window").select("doc_id", "item_id", "reading", "item_reading", (F.col("place") - F.col("item_place")).alias("shift"), "first", "last", "item_place", F.array_distinct(pairs).alias("pairs"))
     key = ["doc_id", "item_id", "reading", "item_reading", "shift"]
-    # pairs of values that occur at most places of an alignment win; windows with another pair for either value do not count
-    pairs = hits.select(*key, F.explode("pairs").alias("e")).select(*key, "e.k", "e.p", "e.d", "e.i").distinct()
-    votes = pairs.groupBy(*key, "k", "d", "i").agg(F.count(F.lit(1)).alias("c"))
-    by_item = votes.groupBy(*key, "k", "i").agg(F.max(F.struct("c", "d")).alias("m")).select(*[F.col(c).alias(f"_{c}") for c in key], F.col("k").alias("_k"), F.col("i").alias("_i"), F.col("m.d").alias("best_d"))
-    by_doc = votes.groupBy(*key, "k", "d").agg(F.max(F.struct("c", "i")).alias("m")).select(*[F.col(c).alias(f"x_{c}") for c in key], F.col("k").alias("x_k"), F.col("d").alias("x_d"), F.col("m.i").alias("best_i"))
-    on = lambda p: F.expr(" AND ".join([*[f"{c} <=> {p}{c}" for c in key], f"k = {p}k"]))
-    judged = votes.join(by_item, on("_") & (F.col("i") == F.col("_i"))).join(by_doc, on("x_") & (F.col("d") == F.col("x_d")))
-    bad = judged.filter((F.col("best_d") != F.col("d")) | (F.col("best_i") != F.col("i")))
-    bad = bad.groupBy(*key).agg(F.collect_set(F.struct("k", "d", "i")).alias("bad"))  # slots of one alignment: no more than an item has
-    bad = bad.select(*[F.col(c).alias(f"_{c}") for c in key], "bad")
-    kept = hits.join(bad, F.expr(" AND ".join(f"{c} <=> _{c}" for c in key)), "left")
-    breaks = F.coalesce(F.exists("pairs", lambda e: F.array_contains("bad", F.struct(e["k"].alias("k"), e["d"].alias("d"), e["i"].alias("i")))), F.lit(False))
-    kept = kept.filter(~breaks)
-    changed = F.size(F.array_distinct(F.flatten(F.collect_set(F.filter("pairs", lambda e: e["d"] != e["i"])))))
-    runs = kept.groupBy(*key).agg(F.countDistinct("item_place").alias("n_matched"), F.min("first").alias("first"), F.max("last").alias("last"), changed.cast("long").alias("n_changed"))
+    changed = F.exists("pairs", lambda e: e["d"] != e["i"])
+    verbatim = F.when(~changed, F.col("item_place"))
+    # an alignment has no more windows, and so no more slots, than the item
+    runs = hits.groupBy(*key).agg(
+        F.countDistinct("item_place").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
+        F.countDistinct(verbatim).alias("n_same"), F.min(F.when(~changed, F.col("first"))).alias("first_same"), F.max(F.when(~changed, F.col("last"))).alias("last_same"),
+    )
+    sides = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda e: F.struct(e["k"].alias("k"), e[side].alias("v")))))
+    runs = runs.withColumn("one_to_one", (sides("d") == F.size("pairs")) & (sides("i") == F.size("pairs")))
     runs = runs.join(sizes.select(F.col("item_id").alias("_item"), F.col("item_reading").alias("_reading"), "n_windows"), F.expr("item_id <=> _item AND item_reading = _reading"))
-    runs = runs.filter((F.col("n_matched") + WINDOW - 1 >= RUN) | (F.col("n_matched") >= F.col("n_windows")))
-    best = runs.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_matched", -F.col("shift"), "n_windows", "first", "last", "n_changed")).alias("m"))
+    covers = lambda n: (F.col(n) > 0) & ((F.col(n) + WINDOW - 1 >= RUN) | (F.col(n) >= F.col("n_windows")))
+    whole = F.col("one_to_one") & covers("n")
+    runs = runs.filter(whole | covers("n_same"))
+    pick = lambda a, b: F.when(whole, F.col(a)).otherwise(F.col(b))
+    n_changed = F.when(whole, F.size(F.filter("pairs", lambda e: e["d"] != e["i"]))).otherwise(0).cast("long")
+    runs = runs.select(*key, "n_windows", pick("n", "n_same").alias("n_matched"), pick("first", "first_same").alias("first"), pick("last", "last_same").alias("last"), n_changed.alias("n_changed"))
+    best = runs.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_matched", -F.col("n_changed"), -F.col("shift"), "n_windows", "first", "last", "n_changed")).alias("m"))
     return best.select("doc_id", "item_id", "m.n_matched", "m.n_windows", F.col("m.first").alias("first_token"), F.col("m.last").alias("last_token"), "m.n_changed")
 
 

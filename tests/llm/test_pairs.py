@@ -121,13 +121,46 @@ def test_changed_parameters_are_found_and_inconsistent_ones_are_not(spark):
     df = spark.createDataFrame([(i, t, "z") for i, t in docs], "doc_id long, text string, item_id string")
     bench = spark.createDataFrame([(10, ITEM), (11, "too short"), (12, None)], "item_id long, text string")
     got = {r.doc_id: r for r in dc.find_leaks(df, bench).collect()}
-    assert {1, 2, 7, 8} <= set(got) <= {1, 2, 3, 7, 8}
+    assert set(got) == {1, 2, 7, 8}
     assert got[1].n_changed == 0 and got[2].n_changed > 0 and got[2].n_matched == got[2].n_windows
-    assert 3 not in got or got[3].n_matched < got[3].n_windows
-    assert sorted(r.doc_id for r in dc.remove_leaks(df, bench).collect() if r.doc_id != 3) == [4, 5, 6]
+    assert sorted(r.doc_id for r in dc.remove_leaks(df, bench).collect()) == [3, 4, 5, 6]
     assert dc.find_leaks(df.limit(0), bench).count() == 0 and dc.find_leaks(df, bench.limit(0)).count() == 0
 
 
+def test_generated_items_with_every_kind_of_change(spark):
+    """Templates with slots: changed one to one is found, bound twice or to two is not, unless plain words alone cover a run."""
+    rng = random.Random(11)
+    people = ["Anna", "Bob", "Carl", "Dora", "Emil", "Fritz", "Gina", "Hugo", "Ines", "Jost"]
+    nouns = ["stones", "rivers", "clouds", "houses", "trees", "lamps", "chairs", "plates"]
+    items, docs, expected = [], [], set()
+    for i in range(12):
+        words = [f"q{i}{rng.choice(nouns)}" for _ in range(14)]
+        # a slot after every two or three words, so no plain run is long enough by itself
+        make = lambda a, b, x, y, w=words: f"when {a} {w[0]} {w[1]} {x} {w[2]} {w[3]} {b} {w[4]} {w[5]} {y} {w[6]} {w[7]} {a} {w[8]} {w[9]} {x} {w[10]} {w[11]} {b} {w[12]} {w[13]} {y}"
+        a, b, c, d = rng.sample(people, 4)
+        x, y, u, v = rng.sample(range(2, 90), 4)
+        items.append((i, make(a, b, x, y)))
+        good = make(c, d, u, v)
+        first = good.index(c)
+        wrong_name = good[: first + len(c)] + good[first + len(c) :].replace(f" {c} ", f" {a} ", 1)
+        merged = make(c, c, u, v)
+        wrong_number = make(c, d, u, v)[::-1].replace(str(v)[::-1], str(u + 100)[::-1], 1)[::-1]
+        for k, (text, leak) in enumerate([(make(a, b, x, y), True), (good, True), (make(f"{c} Maria", d, u, v), True), (wrong_name, False), (merged, False), (wrong_number, False), (" ".join(make(c, d, u, v).split()[:9]), False)]):
+            n = 100 * i + k
+            docs.append((n, f"some words stand before it and then {text} ends the text"))
+            if leak:
+                expected.add((n, i))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in dc.find_leaks(df, bench).collect()} == expected
+
+
+def test_short_items_are_compared_by_their_words(spark):
+    items = [(1, "What is 17 times 23?"), (2, "one two three four five six seven"), (3, "Capital city"), (4, "1 2 3 4 5 6 7 8 9 10"), (5, "?!")]
+    docs = [(1, "So: what is 17 times 23, he asked."), (2, "What is 18 times 23?"), (3, "x one two three four five six seven y"), (4, "The capital city of it."), (5, "capital CITY!"), (6, "0 1 2 3 4 5 6 7 8 9 10 11"), (7, "1 2 3 4 5 6 7 8 9 11"), (8, "?!")]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in dc.find_leaks(df, bench).collect()} == {(1, 1), (3, 2), (5, 3), (6, 4)}
+
+
 def test_names_that_begin_sentences_or_have_more_words_are_found(spark):
     items = [(1, "Anna has 5 apples. Bob has 3 apples. How many apples do they have together?"), (2, "when Anna walks past the old bridge then Bob swims across while Eve waits there")]
     docs = [
