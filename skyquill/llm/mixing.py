@@ -7,13 +7,14 @@ distribution at a uniform value from the md5 of seed, id and text: the same on e
 Documents are exploded by their count, and the rows are dealt out and sorted by a hash of id and copy number, which
 is a global shuffle: every output partition is a uniform draw from the mixture.
 
-The statistics are one row per source; they are joined by source, so their number has no limit. AQE splits a hot
-source in that join; the copies of a document are spread by the hash of their number.
+The rates are one row per source. Up to ``BROADCAST_SOURCES`` sources (counted first) they are broadcast, so documents are shuffled
+once, by the hash; beyond that they are joined by source, where AQE splits a hot one. The copies of a document are spread by
+the hash of their number.
 
 Defined cases: a null source is a source of its own; sources without a weight get ``other_weight``; a weight of 0
 drops a source; null texts are mixed like others; rows with the same id and text are each drawn with the same value, so
-they get the same count; empty tables give empty results. Columns keep their names; the new ones are ``copy`` (from 0)
-and ``shuffle_key``.
+they get the same count; empty tables give empty results. All columns of the input keep their names and values; the new ones are ``copy``
+(from 0) and ``shuffle_key``, with as many ``_`` behind as it takes to differ from the input's names.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from skyquill.llm.common import table, unit_interval
 SEED = 17
 MAX_RATE = 4.0
 TERMS = 40
+BROADCAST_SOURCES = 100_000
 
 
 def poisson_count(small: Column, parts: Column, uniform) -> Column:
@@ -61,13 +63,13 @@ def mix(
     for source, w in weights.items():
         weight = F.when(F.col("_s") == ("-" if source is None else f"={source}"), F.lit(float(w))).otherwise(weight)
     stats = docs.groupBy(name(source_col).alias("_s")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_w", weight)
-    totals = stats.agg(F.sum("_w").alias("w"), F.sum("_n").cast("double").alias("n")).first()  # two numbers
+    totals = stats.agg(F.sum("_w").alias("w"), F.sum("_n").cast("double").alias("n"), F.count(F.lit(1)).alias("k")).first()  # three numbers
     wanted, whole = float(size) if size is not None else totals["n"] or 0.0, totals["w"] or 1.0
     rates = stats.withColumn("_rate", F.lit(wanted) * (F.col("_w") / F.lit(whole)) / F.col("_n"))
     rates = rates.select("_s", F.greatest(F.ceil(F.col("_rate") / MAX_RATE), F.lit(1)).cast("int").alias("_parts"), "_rate")
     rates = rates.select("_s", "_parts", (F.col("_rate") / F.col("_parts")).alias("_small"))
     wide = docs.select(*[F.col(f"`{n}`").alias(f"_c{i}") for i, n in enumerate(names)], name(source_col).alias("_s"), F.col(id_col).cast("string").alias("_id"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("_m"))
-    drawn = wide.join(rates, "_s").withColumn(
+    drawn = wide.join(F.broadcast(rates) if totals["k"] <= BROADCAST_SOURCES else rates, "_s").withColumn(
         "_k", poisson_count(F.col("_small"), F.col("_parts"), lambda p: unit_interval(F.lit(str(seed)), F.coalesce("_id", F.lit("")), F.col("_m"), p.cast("string")))
     )
     copies = drawn.filter("_k > 0").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
@@ -76,7 +78,9 @@ def mix(
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     out = copies.repartition(parts, "_key").sortWithinPartitions("_key")
-    return out.select(*[F.col(f"_c{i}").alias(n) for i, n in enumerate(names) if n not in ("copy", "shuffle_key")], F.col("_copy").alias("copy"), F.col("_key").alias("shuffle_key"))
+    taken = {n.lower() for n in names}
+    free = lambda n: n if n not in taken else free(f"{n}_")
+    return out.select(*[F.col(f"_c{i}").alias(n) for i, n in enumerate(names)], F.col("_copy").alias(free("copy")), F.col("_key").alias(free("shuffle_key")))
 
 
 def op4_poisson_mixing(spark, sf_dir: str) -> DataFrame:
