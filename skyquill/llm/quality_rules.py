@@ -3,7 +3,9 @@
 Base statistics come from the whole text of each document. Then each distinct
 normalised line of a document (lower-cased, runs of white space as one space,
 trimmed) is hashed; per host the number of distinct documents with the line is
-counted, and lines in more than ``max_docs`` of them are removed. A document is
+counted. A line in more than ``max_docs`` of them and in more than ``max_share`` of the host's documents
+is removed, but for the text in which it comes with the smallest id: so of a large group of
+near copies one always stays whole. A document is
 rejected when what is left is under ``min_left_words`` words or under
 ``min_left_share`` of its words.
 
@@ -11,7 +13,7 @@ Documents of one host with the same text count as one document: otherwise every
 line of a widely copied page would look like boilerplate and no copy would stay.
 
 Defined cases: a null text is empty (no words, rejected); a null host is a host of
-its own; empty tables give empty results; repeated rows are judged alike and give
+its own; a null id is the smallest; empty tables give empty results; repeated rows are judged alike and give
 one result row each; further columns are ignored. The ids need not be unique.
 """
 
@@ -26,13 +28,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 DROPPED = 500_000
-MAX_DOCS = 200
+MAX_DOCS = 20
+MAX_SHARE = 0.1
 MIN_LEFT_WORDS = 50
 MIN_LEFT_SHARE = 0.2
 
 
-#: Above this many comparisons a document's repeated windows are found by a sort of (hash, place).
-SORT_ABOVE = 50_000_000
+#: Places of windows take so many low bits beside a window's hash; longer texts sort pairs of hash and place.
+PLACE_BITS = 20
 
 
 def _text(text_col: str) -> Column:
@@ -65,33 +68,44 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         F.when(F.size("_w") >= 3, F.transform(F.sequence(F.lit(0), F.size("_w") - 3), h3)).otherwise(F.array().cast("array<bigint>")).alias("_h"),
     )
-    # the hashes that come twice, then the places of the windows that have them, ascending
-    df = df.withColumn("_s", F.when(F.size("_h") > F.size(F.array_distinct("_h")), F.sort_array("_h")))
-    df = df.withColumn("_r", F.when(F.col("_s").isNotNull(), F.array_distinct(F.filter("_s", lambda h, k: h == F.get("_s", k + 1)))))
-    pairs = F.array_sort(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    df = df.withColumn("_q", F.when(F.size("_r").cast("long") * F.size("_h") > SORT_ABOVE, pairs))
+    # places of windows whose hash comes twice, by one sort: of single numbers (upper bits of the hash, then the place), whose
+    # neighbours are compared by their whole hashes; of pairs in texts with more windows than PLACE_BITS can number
+    df = df.withColumn("_d", F.size("_h") > F.size(F.array_distinct("_h")))
+    low = (1 << PLACE_BITS) - 1
+    packed = F.sort_array(F.transform("_h", lambda h, i: h.bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long"))))
+    df = df.withColumn("_s", F.when(F.col("_d") & (F.size("_h") <= low), packed))
+    df = df.withColumn("_q", F.when(F.col("_d") & (F.size("_h") > low), F.array_sort(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    full = lambda x: F.get("_h", x.bitwiseAND(F.lit(low)).cast("int"))
+    twin = lambda x, k: (F.get("_s", k).bitwiseXOR(x).bitwiseAND(F.lit(~low)) == 0) & (full(F.get("_s", k)) == full(x))
+    same = lambda x, k: F.coalesce(twin(x, k - 1), F.lit(False)) | F.coalesce(twin(x, k + 1), F.lit(False))
+    places = F.sort_array(F.transform(F.filter("_s", same), lambda x: x.bitwiseAND(F.lit(low)).cast("int")))
     beside = lambda p, k: F.coalesce(F.get("_q", k - 1)["h"] == p["h"], F.lit(False)) | F.coalesce(F.get("_q", k + 1)["h"] == p["h"], F.lit(False))
-    sorted_places = F.array_sort(F.transform(F.filter("_q", beside), lambda p: p["i"]))
-    found = F.filter(F.transform("_h", lambda h, i: F.when(F.array_contains("_r", h), i)), lambda i: i.isNotNull())
-    df = df.withColumn("_p", F.when(F.col("_q").isNotNull(), sorted_places).when(F.col("_r").isNotNull(), found))
+    of_pairs = F.array_sort(F.transform(F.filter("_q", beside), lambda p: p["i"]))
+    df = df.withColumn("_p", F.when(F.col("_q").isNotNull(), of_pairs).when(F.col("_s").isNotNull(), places))
     steps = F.transform("_p", lambda x, k: F.least(F.lit(3), F.coalesce(F.get("_p", k + 1) - x, F.lit(3))))
     covered = F.when(F.size("_p") > 0, F.aggregate(steps, F.lit(0), lambda a, x: a + x)).otherwise(F.lit(0))
-    return df.withColumn("n_repeat_words", covered.cast("long")).drop("_h", "_s", "_r", "_q", "_p")
+    return df.withColumn("n_repeat_words", covered.cast("long")).drop("_h", "_d", "_s", "_q", "_p")
 
 
-def frequent_lines(docs: DataFrame, host_col: str, text_col: str, max_docs: int) -> tuple[DataFrame, DataFrame]:
-    """(lines of documents, lines above the limit).
-
-    The first has _host, _d1, _d2 (the text), _line (hash) and _words, a row for each place; the second _host and
-    _line. The count is pre-aggregated by line and text before its shuffle.
-    """
-    df = docs.select(_host(host_col).alias("_host"), *_print(_text(text_col)), _text(text_col).alias("_t"))
+def lines_of(docs: DataFrame, id_col: str, host_col: str, text_col: str) -> DataFrame:
+    """_host, _d1, _d2 (the text), _id, _line (hash) and _words, a row for each place."""
+    df = docs.select(_host(host_col).alias("_host"), *_print(_text(text_col)), F.col(id_col).alias("_id"), _text(text_col).alias("_t"))
     flat = F.when(F.col("_t").rlike(r"[\x09\x0B-\x0D]|\x20\x20"), F.regexp_replace("_t", r"[\x09\x0B-\x0D\x20]+", " ")).otherwise(F.col("_t"))
     df = df.withColumn("_n", F.filter(F.transform(F.split(F.lower(flat), "\n"), lambda x: F.trim(x)), lambda x: x != ""))
     words = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1
-    lines = df.select("_host", "_d1", "_d2", F.inline(F.transform("_n", lambda x: F.struct(F.xxhash64(x).alias("_line"), words(x).alias("_words")))))
-    often = lines.groupBy("_host", "_line").agg(F.countDistinct("_d1", "_d2").alias("_n")).filter(F.col("_n") > max_docs)
-    return lines, often.select("_host", "_line")
+    return df.select("_host", "_d1", "_d2", "_id", F.inline(F.transform("_n", lambda x: F.struct(F.xxhash64(x).alias("_line"), words(x).alias("_words")))))
+
+
+def frequent_lines(lines: DataFrame, copies: DataFrame, max_docs: int, max_share: float) -> DataFrame:
+    """_host, _line and the text that keeps it (_k1, _k2) of the lines above the limits.
+
+    Documents are counted by line and text before the shuffle by line.
+    """
+    texts = lines.groupBy("_host", "_line", "_d1", "_d2").agg(F.min("_id").alias("_id"))
+    often = texts.groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("_id", "_d1", "_d2")).alias("_k")).filter(F.col("_n") > max_docs)
+    hosts = copies.groupBy("_host").agg(F.count(F.lit(1)).alias("_all"))
+    often = often.join(hosts, "_host").filter(F.col("_n") > F.col("_all") * F.lit(max_share))
+    return often.select("_host", "_line", F.col("_k._d1").alias("_k1"), F.col("_k._d2").alias("_k2"))
 
 
 def judge(
@@ -100,16 +114,18 @@ def judge(
     text_col: str = "text",
     host_col: str = "source",
     max_docs: int = MAX_DOCS,
+    max_share: float = MAX_SHARE,
     min_left_words: int = MIN_LEFT_WORDS,
     min_left_share: float = MIN_LEFT_SHARE,
     with_key: bool = False,
 ) -> DataFrame:
     """Statistics, n_removed_words, base_failed and kept for every row of ``docs``; ``with_key``: also _host, _d1 and _d2."""
-    lines, often = frequent_lines(docs, host_col, text_col, max_docs)
+    lines = lines_of(docs, id_col, host_col, text_col)
     key = ["_host", "_d1", "_d2"]
     place = [_host(host_col).alias("_host"), *_print(_text(text_col))]
     copies = docs.select(*place).groupBy(*key).agg(F.count(F.lit(1)).alias("_rows"))
-    removed = lines.join(often, ["_host", "_line"]).groupBy(*key).agg(F.sum("_words").alias("_removed"))
+    often = frequent_lines(lines, copies, max_docs, max_share)
+    removed = lines.join(often, ["_host", "_line"]).filter((F.col("_d1") != F.col("_k1")) | (F.col("_d2") != F.col("_k2"))).groupBy(*key).agg(F.sum("_words").alias("_removed"))
     removed = removed.join(copies, key).select(*key, F.expr("_removed div _rows").alias("_removed"))
     stats = text_statistics(docs.select("*", *place), id_col, text_col, key)
     out = stats.join(removed, key, "left").withColumn("n_removed_words", F.coalesce("_removed", F.lit(0)).cast("long"))
@@ -119,13 +135,13 @@ def judge(
     return out.withColumn("kept", kept).drop("_removed", *([] if with_key else key))
 
 
-def filter_documents(docs: DataFrame, text_col: str = "text", host_col: str = "source", **options) -> DataFrame:
+def filter_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **options) -> DataFrame:
     """The rows of ``docs`` that judge() keeps, with their columns.
 
     Verdicts are written first, by host and text; whole texts are only shuffled if more than ``DROPPED`` of them are rejected.
     """
     key = ["_host", "_d1", "_d2"]
-    judged = materialise(judge(docs, text_col=text_col, host_col=host_col, with_key=True, **options), "quality-verdicts")
+    judged = materialise(judge(docs, id_col, text_col=text_col, host_col=host_col, with_key=True, **options), "quality-verdicts")
     drop = judged.filter(~F.col("kept")).select(*[F.col(k).alias(f"_x{k}") for k in key]).distinct()
     drop = F.broadcast(drop) if drop.count() <= DROPPED else drop
     place = [_host(host_col), *_print(_text(text_col))]
@@ -150,8 +166,10 @@ cov AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM rep, (SELECT unnest(range
 ln AS (SELECT doc_id, host, t, unnest(string_split(t, chr(10))) AS raw FROM d),
 lw AS (SELECT doc_id, host, t, raw, trim(regexp_replace(lower(raw), '[\x20\x09-\x0D]+', ' ', 'g')) AS n FROM ln),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT raw) AS n FROM lw WHERE n <> '' GROUP BY doc_id),
-often AS (SELECT host, n FROM lw WHERE n <> '' GROUP BY host, n HAVING count(DISTINCT t) > {MAX_DOCS}),
-gone AS (SELECT doc_id, sum(len(regexp_extract_all(n, '[^ ]+'))) AS n FROM lw JOIN often USING (host, n) GROUP BY doc_id),
+hosts AS (SELECT host, count(DISTINCT t) AS docs FROM d GROUP BY host),
+often AS (SELECT host, n, arg_min(t, doc_id) AS keeper FROM lw JOIN hosts USING (host) WHERE n <> '' GROUP BY host, n, docs
+          HAVING count(DISTINCT t) > {MAX_DOCS} AND count(DISTINCT t) > docs * CAST({MAX_SHARE} AS DOUBLE)),
+gone AS (SELECT doc_id, sum(len(regexp_extract_all(n, '[^ ]+'))) AS n FROM lw JOIN often USING (host, n) WHERE t <> keeper GROUP BY doc_id),
 s AS (SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words,
              CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
              CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,

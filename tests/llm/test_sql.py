@@ -50,9 +50,9 @@ def plain_statistics(text):
     return len(words), sum(map(len, words)), sum((text or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(again)
 
 
-@pytest.mark.parametrize("limit", [50_000_000, 0])
-def test_statistics_match_brute_force(spark, monkeypatch, limit):
-    monkeypatch.setattr(quality_rules, "SORT_ABOVE", limit)
+@pytest.mark.parametrize("bits", [20, 3])
+def test_statistics_match_brute_force(spark, monkeypatch, bits):
+    monkeypatch.setattr(quality_rules, "PLACE_BITS", bits)
     texts = [None, "", " \n\t", "a", "a b", "a a a a", "a b c a b c", "é ü x é ü x é ü x", "x\nx\n\n \nx y\nx", "#*$ %&| <>", "w " * 3000, "a b c d " * 40 + "e f g", "one\r\ntwo\x0bthree\x0cfour"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for r in quality_rules.text_statistics(df).collect():
@@ -67,22 +67,34 @@ def test_frequent_lines_go_and_depleted_documents_are_rejected(spark):
     docs += [(20 + i, own(99), "h1") for i in range(9)]  # copies of one text count once
     df = spark.createDataFrame([(i, t, s, "clash") for i, t, s in docs], "doc_id long, text string, source string, kept string")
     got = {r.doc_id: r for r in quality_rules.judge(df.drop("kept"), max_docs=5).collect()}
-    assert got[0].n_removed_words == 80 and got[0].kept and not got[10].kept and not got[10].base_failed
+    assert got[0].n_removed_words == 0 and got[1].n_removed_words == 80 and got[1].kept and not got[10].kept and not got[10].base_failed
     assert got[11].n_removed_words == 0 and got[12].kept and all(got[20 + i].kept for i in range(9))
     kept = quality_rules.filter_documents(df, max_docs=5)
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(i for i, *_ in docs if i != 10)
     assert quality_rules.judge(df.drop("kept").limit(0)).count() == 0
+    few = {r.doc_id: r.n_removed_words for r in quality_rules.judge(df.drop("kept"), max_docs=5, max_share=0.9).collect()}
+    assert not any(few.values())  # 7 of the host's 8 texts have the line
 
 
-def test_mixture_hits_target_weights(spark):
+def test_one_of_many_near_copies_stays_whole(spark):
+    lines = [" ".join(f"l{k}w{j}" for j in range(12)) for k in range(8)]
+    docs = [(i, "\n".join([*lines[: i % 8], f"edit {i}", *lines[i % 8 + 1 :]]), "h") for i in range(40)]
+    out = quality_rules.judge(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
+    assert any(r.kept for r in out) and next(r for r in out if r.doc_id == 0).kept
+
+
+def test_mixture_hits_target_weights(spark, monkeypatch):
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id")).alias("text"), F.when(F.col("id") < 3600, "big").when(F.col("id") < 3990, "small").alias("source"), F.lit(1).alias("copy"))
     out = mixing.mix(docs, {"big": 1, "small": 2, None: 1})
     n = {r.source: r["count"] for r in out.groupBy("source").count().collect()}
     assert abs(n["big"] - 1000) < 150 and abs(n["small"] - 2000) < 250 and abs(n[None] - 1000) < 150
-    assert out.columns == ["doc_id", "text", "source", "copy", "shuffle_key"]
+    assert out.columns == ["doc_id", "text", "source", "copy", "copy_", "shuffle_key"] and {r["copy"] for r in out.select("copy").distinct().collect()} == {1}
+    assert sorted(r[0] for r in out.filter("doc_id = 3600").select("copy_").collect()) == list(range(out.filter("doc_id = 3600").count()))
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, mixing.mix(docs.repartition(7), {"big": 1, "small": 2, None: 1}).collect()))
     assert mixing.mix(docs, {"big": 0, "small": 1}, other_weight=0).filter("source = 'big' OR source IS NULL").count() == 0
     assert mixing.mix(docs.limit(0)).count() == 0
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, mixing.mix(docs, {"big": 1, "small": 2, None: 1}).collect()))
     assert abs(mixing.mix(docs, size=400).count() - 400) < 80
 
 
