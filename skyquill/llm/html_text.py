@@ -6,13 +6,15 @@ parent-child edge has a potential by the kinds of both. Sum-product messages go
 marginals; text with a content marginal over a half is kept. The parameters are fitted by maximum likelihood
 (observed minus expected features) on labelled pages, which ``labelled_pages`` lays out from many kinds of regions.
 
-All pages of an Arrow batch form one forest, and messages are computed level by level in numpy.
+Pages of an Arrow batch form forests of at most ``GROUP_CHARS`` characters of html (one page at least), and messages are computed
+level by level in numpy.
 
 Text handling: character references are decoded, white space inside a block becomes one space, blocks are trimmed and
 joined in page order by one space. Comments, scripts, styles and the head hold no text.
 
-Defined cases: null or empty html gives an empty text; repeated rows give equal texts; unclosed and
-unknown tags are taken as browsers do as far as blocks are concerned; further columns are ignored; an empty table gives an empty result.
+Defined cases: null or empty html gives an empty text; repeated rows give equal texts, a row each; unclosed and
+unknown tags are taken as browsers do as far as blocks are concerned; the text of formulas (math) counts like other text, that of drawings
+(svg) does not; further columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,10 +32,11 @@ from skyquill.llm.common import small_batches, table
 
 BUCKETS = 1 << 12
 BATCH_PAGES = 128
+GROUP_CHARS = 1 << 20
 
 # Fixed values of HTML: element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe xmp svg math".split())
+RAW = frozenset("script style textarea title noscript template iframe xmp svg".split())
 BLOCKS = frozenset(
     "address article aside blockquote body button center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split()
@@ -121,7 +124,7 @@ def parse(page: str) -> Tree:
                     close_to(i)
                 elif n in SCOPES:
                     break
-        if name in RAW:
+        if name in RAW and not (name == "svg" and (found[3] or "").endswith("/")):
             end = _CLOSE[name].search(page, at)
             at = end.end() if end else size
             continue
@@ -184,7 +187,7 @@ def features(tree: Tree) -> tuple[list[int], list[int]]:
             own.append(f"t{tree.name[i]}")
             if tree.name[i] not in ("#page", "html", "body"):
                 own.append(f"m{kind}.{min((length // max(1, leaves[i])).bit_length(), 9)}")
-            own += [f"w{w}" for w in tree.words[i]]
+            own += [f"w{w}" for w in tree.words[i]] or [f"unnamed {tree.name[i]}"]
         nodes += [i] * len(own)
         buckets += map(_bucket, own)
     return nodes, buckets
@@ -340,8 +343,12 @@ def labelled_pages(n: int, seed: int = 3) -> list[str]:
             return f"<{tag}>{a}</{tag.split()[0]}> {b}"
         return text
 
-    def block():
+    def block(deep=0):
         kind = rng.random()
+        if deep < 3 and chance(0.1):  # containers without a meaning, or with a name of layout
+            return f"<div{pick(['', attr('row', 'col', 'inner', 'wrap', 'block', 'container')])}>" + "".join(block(deep + 1) for _ in range(rng.randint(1, 4))) + "</div>"
+        if chance(0.05):  # a paragraph that is one link
+            return pick([f"<p><a href='/x'>{pick([prose, sentence])(MARK)}</a></p>", f"<p><a href='/x'><b>{sentence(MARK)}</b></a></p>", f"<div><a href='/x'>{prose(MARK)}</a></div>", f"<h2><a href='/x'>{words(rng.randint(2, 8), MARK)}</a></h2>"])
         if kind < 0.62:
             text = inline(prose(MARK) if chance(0.8) else sentence(MARK, 1, 3))
             if chance(0.2):
@@ -374,6 +381,8 @@ def labelled_pages(n: int, seed: int = 3) -> list[str]:
         if chance(0.08):
             parts.append(f"<footer>{pick([words(4), sentence()])}</footer>")
         inner = "".join(parts)
+        if chance(0.16):  # a text alone, or without any container of its own
+            return pick([f"<div>{prose(MARK, 2, 9)}</div>", f"<p>{prose(MARK, 2, 9)}</p>", f"<div><div>{prose(MARK, 2, 9)}</div></div>", f"<div>{inline(prose(MARK, 2, 9))}<br><br>{prose(MARK)}</div>", inner, inner, f"<div>{inner}</div>"])
         tag = pick(["article", "article", "article", "div", "main", "section"])
         named = f' {pick(["class", "id"])}="{pick(["content", "post", "entry", "article", "story", "main", "text", "article-body", "post-content", "entry-content", "body", "page-content"])}"'
         out = f"<{tag}{named if tag in ('div', 'section') or chance(0.3) else ''}>{inner}</{tag}>"
@@ -385,13 +394,15 @@ def labelled_pages(n: int, seed: int = 3) -> list[str]:
         rng.shuffle(before)
         after = [f() for f in (comments, sidebar, advert, share, form, notice) if chance(0.3)]
         rng.shuffle(after)
+        if chance(0.15):  # nothing but the text
+            before, after = [], []
         middle = [article(), *after]
-        if chance(0.25):
+        if before and chance(0.25):
             middle.insert(0, sidebar())
         inner = "".join(middle)
         for _ in range(rng.choice([0, 0, 1, 2])):
             inner = f"<div{attr('wrapper', 'container', 'page', 'row', 'col', 'layout')}>{inner}</div>"
-        body = "".join(before) + inner + (footer() if chance(0.8) else "")
+        body = "".join(before) + inner + (footer() if chance(0.8 if before else 0.3) else "")
         pages.append(f"<!DOCTYPE html><html><head><title>{words(3)}</title><script>var t='<p>';</script></head><body{attr('home', 'single')}>{body}" + ("</body></html>" if chance(0.9) else ""))
     return pages
 
@@ -407,7 +418,7 @@ def tree_labels(tree: Tree) -> np.ndarray:
     return y
 
 
-def default_model(pages: int = 500) -> tuple[np.ndarray, np.ndarray]:
+def default_model(pages: int = 800) -> tuple[np.ndarray, np.ndarray]:
     """Parameters fitted on laid-out pages."""
     trees = [parse(p) for p in labelled_pages(pages)]
     labels = [tree_labels(t) for t in trees]
@@ -440,12 +451,22 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     def run(batches):
         weights, edges = held.value
         for batch in batches:
-            trees = [parse(p or "") for p in batch.column(2).to_pylist()]
-            if not trees:
-                continue
-            forest = Forest(trees)
-            p, _ = marginals(forest, weights, edges)
-            texts = [assemble(t, p[at : at + len(t.parent)]) for t, at in zip(trees, forest.first)]
+            texts, pages, size = [], [], 0
+
+            def flush():
+                trees = [parse(p) for p in pages]  # noqa: B023
+                forest = Forest(trees)
+                p, _ = marginals(forest, weights, edges)
+                return [assemble(t, p[at : at + len(t.parent)]) for t, at in zip(trees, forest.first)]
+
+            for page in batch.column(2):
+                page = page.as_py() or ""
+                if pages and size + len(page) > GROUP_CHARS:
+                    texts += flush()
+                    pages, size = [], 0
+                pages.append(page)
+                size += len(page)
+            texts += flush() if pages else []
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kind = df.schema[id_col].dataType.simpleString()

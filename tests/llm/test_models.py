@@ -288,6 +288,39 @@ def test_model_on_unseen_layouts(model):
     assert right / total > 0.97
 
 
+LONG = "The river rose for three days before it reached the lower bridge, and the people of the town carried what they could up the hill."
+MORE = "On the fourth day the water fell again. Nobody had been hurt, but the mill and two of the old houses were gone for good."
+MENU = "<ul><li><a href='/'>Home</a></li><li><a href='/news'>News</a></li><li><a href='/about'>About us</a></li></ul>"
+#: Pages laid out by hand, none of them by the generator of training pages: (html, text).
+BY_HAND = [
+    (f"<div>{LONG} {MORE}</div>", f"{LONG} {MORE}"),
+    (f"<html><body><p>{LONG}</p><p>{MORE}</p></body></html>", f"{LONG} {MORE}"),
+    (f"<body><article><h1>Flood</h1><p>{LONG}</p><p><a href='/map'>{MORE}</a></p></article></body>", f"Flood {LONG} {MORE}"),
+    (f"<body><nav>{MENU}</nav><div id='content'><h1>Flood</h1><p>{LONG}</p><p>{MORE}</p></div><footer>&copy; 2024 The Paper</footer></body>", f"Flood {LONG} {MORE}"),
+    (f"<body><div class='header'>{MENU}</div><div><div><div><p>{LONG}</p><div><p>{MORE}</p></div></div></div></div></body>", f"{LONG} {MORE}"),
+    (f"<body><main><h1>Flood</h1><p>{LONG}<p>{MORE}</main><aside><h3>Related</h3>{MENU}</aside></body>", f"Flood {LONG} {MORE}"),
+    (f"<body><div class='cookie-banner'>We use cookies to improve this site. <a href='/c'>Settings</a></div><article><p>{LONG}</p><blockquote><p>{MORE}</p></blockquote></article></body>", f"{LONG} {MORE}"),
+    (f"<body><article><h2>Flood</h2><p>{LONG}</p><div class='advert'>Buy new boats today, cheap and fast.</div><p>{MORE}</p></article><section class='comments'><p>I saw it, terrible.</p><p>Me too, from the hill.</p></section></body>", f"Flood {LONG} {MORE}"),
+    (f"<body><article><p>{LONG}</p><ul><li>{MORE}</li><li>The mill stood there since 1820.</li></ul></article><form><label>Mail</label><input><button>Send</button></form></body>", f"{LONG} {MORE} The mill stood there since 1820."),
+    (f"<body><div class='sidebar'><h3>Popular</h3>{MENU}</div><section class='post'><h1>Flood</h1><div>{LONG}</div><div>{MORE}</div></section></body>", f"Flood {LONG} {MORE}"),
+    (f"<body><article><svg width='1'/><p>{LONG}</p><p>It was <math><mi>x</mi></math> high. <svg><text>no</text></svg>{MORE}</p></article></body>", f"{LONG} It was x high. {MORE}"),
+    (f"<table><tr><td>{MENU}</td><td><h1>Flood</h1><p>{LONG}</p><p>{MORE}</p></td></tr></table>", f"Flood {LONG} {MORE}"),
+]
+
+
+def test_pages_laid_out_by_hand(spark, model):
+    df = spark.createDataFrame([(i, "u", h) for i, (h, _) in enumerate(BY_HAND)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in ht.extract(df, model=model).collect()}
+    assert [i for i, (_, text) in enumerate(BY_HAND) if got[i] != text] == []
+
+
+def test_groups_of_pages_do_not_change_texts(spark, model, monkeypatch):
+    df = spark.createDataFrame([(i, "u", h) for i, (h, _) in enumerate(BY_HAND)], "page_id long, url string, html string").coalesce(1)
+    first = sorted(map(tuple, ht.extract(df, model=model).collect()))
+    monkeypatch.setattr(ht, "GROUP_CHARS", 10)
+    assert first == sorted(map(tuple, ht.extract(df, model=model).collect()))
+
+
 def test_pages_with_defined_cases(spark, model):
     body = "<html><head><title>t</title></head><body><nav><ul><li><a href='/'>Home</a></li><li><a href='/x'>More</a></li></ul></nav><article><h1>Big  news</h1><p>Caf&eacute; &amp;\n tea<br>today, and <b>so</b> on.</p><p>Second &lt;b&gt;</p></article><footer>&copy; site</footer></body></html>"
     rows = [(1, "u", body), (2, "u", None), (3, None, ""), (4, "u", "<"), (5, "u", "<p" * 20000), (6, "u", body[: len(body) // 2]), (1, "u", body), (7, "u", "<div>" * 3000 + "deep")]
