@@ -4,9 +4,10 @@ Tokens are the words of a text (A-Z lower-cased) and one end. The model predicts
 recurrent unit that has read all tokens before it. The output is factored by classes: a softmax over classes, then, for
 the most frequent ``WORDS`` words, a softmax within the class that also depends on the state. Every other word belongs to
 a class by its last byte, and within it has its smoothed share of the training tokens of that class. A word never seen
-has the share of the one unknown word, as in the base score. Training is by truncated backpropagation in numpy: a short start
-on the driver from at most ``START_DOCS`` documents, then one pass of every partition over all tokens of its training
-documents, and the mean of the partitions' models.
+has the share of the one unknown word, as in the base score. Training is by truncated backpropagation in numpy: one pass of every
+partition over all tokens of its training documents, and the mean of the partitions' models, each weighted by its tokens. All begin
+from the same weights, which a short start on the driver has found from at most ``START_DOCS`` documents. Means are taken of ``FAN`` models
+at a time, in rounds.
 
 A document is scored in windows, and the state is carried over from one to the next, so the score is the
 log-likelihood of the whole document whatever its length.
@@ -27,17 +28,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyquill.llm import arrays as A
-from skyquill.llm.common import materialise, small_batches, table
+from skyquill.llm.common import discard, materialise, small_batches, table
 
 HEAD = 1 << 22
-CLASSES, IN_CLASS = 24, 20
+CLASSES, IN_CLASS = 64, 64
 WORDS = CLASSES * IN_CLASS  # the end token is the first of them
 TAILS = 16
 HIDDEN = 16
 START_DOCS = 600
 START_CHARS = 20_000
-STREAMS, WINDOW = 64, 16
-SCORE_WINDOW = 24
+STREAMS, START_STREAMS, WINDOW = 256, 64, 16
+PART_TOKENS = 400_000
+FAN = 8
+SCORE_WINDOW, SCORE_STATES = 24, 8192
 SCORE_TOKENS = 2_000_000
 SMOOTH = 0.1
 END = np.uint64(0x0E0F_E0F0_1234_5678)
@@ -131,40 +134,51 @@ class Network:
         """
         n = len(symbols)
         cls = np.where(symbols < WORDS, symbols // IN_CLASS, symbols - WORDS + CLASSES)
-        logits = states @ self.c + self.cb
-        logits -= logits.max(axis=1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(axis=1)
+        # states are within -1 and 1, so this is a bound of all logits; below it no maximum has to be taken off
+        safe = max(np.abs(self.c).sum(axis=0).max() + np.abs(self.cb).max(), np.abs(self.w).sum(axis=1).max() + np.abs(self.wb).max()) < 80
         at = np.arange(n)
-        out = logits[at, cls] - np.log(total)
+        e = states @ self.c
+        e += self.cb
+        if not safe:
+            e -= e.max(axis=1, keepdims=True)
+        out = e[at, cls]
+        np.exp(e, out=e)
+        total = e.sum(axis=1)
+        out -= np.log(total)
         if grad is not None:
-            e /= total[:, None]
-            e[at, cls] -= 1
-            e /= n
+            e *= (1 / (n * total))[:, None]
+            e[at, cls] -= np.float32(1 / n)
             grad.c += states.T @ e
             grad.cb += e.sum(axis=0)
             back = e @ self.c.T
         order = np.argsort(cls, kind="stable")
         edges = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for k in range(CLASSES):
-            own = order[edges[k] : edges[k + 1]]
-            if not len(own):
-                continue
-            s, word = states[own], symbols[own] % IN_CLASS
-            q = s @ self.w[k] + self.wb[k]
+        order = order[: edges[-1]]
+        own = states[order]
+        q = np.empty((len(order), IN_CLASS), dtype=np.float32)
+        some = np.flatnonzero(np.diff(edges))
+        for k in some:
+            np.matmul(own[edges[k] : edges[k + 1]], self.w[k], out=q[edges[k] : edges[k + 1]])
+        q += np.repeat(self.wb, np.diff(edges), axis=0)
+        if not safe:
             q -= q.max(axis=1, keepdims=True)
-            p = np.exp(q)
-            total = p.sum(axis=1)
-            i = np.arange(len(own))
-            out[own] += q[i, word] - np.log(total)
-            if grad is not None:
-                p /= total[:, None]
-                p[i, word] -= 1
-                p /= n
-                grad.w[k] += s.T @ p
-                grad.wb[k] += p.sum(axis=0)
-                back[own] += p @ self.w[k].T
-        return out if grad is None else (out, back)
+        at, word = at[: len(order)], symbols[order] % IN_CLASS
+        picked = q[at, word]
+        np.exp(q, out=q)
+        total = q.sum(axis=1)
+        out[order] += picked - np.log(total)
+        if grad is None:
+            return out
+        q *= (1 / (n * total))[:, None]
+        q[at, word] -= np.float32(1 / n)
+        more = np.empty_like(own)
+        for k in some:
+            part = q[edges[k] : edges[k + 1]]
+            grad.w[k] += own[edges[k] : edges[k + 1]].T @ part
+            np.matmul(part, self.w[k].T, out=more[edges[k] : edges[k + 1]])
+        grad.wb[some] += np.add.reduceat(q, edges[some], axis=0) if len(some) else 0
+        back[order] += more
+        return out, back
 
 
 class _Gradient:
@@ -173,9 +187,9 @@ class _Gradient:
         Network.views(self.flat, self)
 
 
-def train(net: Network, symbols: np.ndarray, epochs: int, rate: float) -> int:
+def train(net: Network, symbols: np.ndarray, epochs: int, rate: float, most: int = STREAMS) -> int:
     """Truncated backpropagation over one long run of tokens, cut into streams. Gives the number of tokens used."""
-    streams = max(1, min(STREAMS, len(symbols) // (4 * WINDOW)))
+    streams = max(1, min(most, len(symbols) // (4 * WINDOW)))
     length = len(symbols) // streams
     if not length:
         return 0
@@ -232,7 +246,9 @@ def score_documents(net: Network, symbols: np.ndarray, first: np.ndarray, count:
     at, longest = 0, int(count[0]) if len(count) else 0
     while at < longest:
         states, seen, rows = [], [], []
-        for t in range(at, min(at + SCORE_WINDOW, longest)):
+        live = int(np.searchsorted(-count, -at, side="left"))
+        stop = min(at + max(SCORE_WINDOW, SCORE_STATES // live), longest)
+        for t in range(at, stop):
             live = int(np.searchsorted(-count, -t, side="left"))  # documents with more than t tokens
             s = symbols[first[:live] + t]
             states.append(h[:live])
@@ -241,7 +257,7 @@ def score_documents(net: Network, symbols: np.ndarray, first: np.ndarray, count:
             h, _ = net.step(h[:live], s)
         logs = net.log_probability(np.concatenate(states), np.concatenate(seen))
         out += np.bincount(np.concatenate(rows), weights=logs, minlength=len(out))
-        at += SCORE_WINDOW
+        at = stop
     back = np.empty(len(out))
     back[order] = out
     return back
@@ -251,7 +267,7 @@ class Lexicon:
     """Broadcast words: counts of the frequent ones, symbols of the most frequent, and what each tail class sums to."""
 
     def __init__(self, words: np.ndarray, counts: np.ndarray, totals: list[tuple[int, int, int]], tails_of: np.ndarray):
-        order = np.argsort(-counts, kind="stable")
+        order = np.lexsort((words, -counts))  # equally frequent words by their hash, so numbers do not depend on the order of rows
         ranked = [w for w in words[order][: WORDS + 1].tolist() if w != int(END)][: WORDS - 1]
         top = np.array([int(END), *ranked], dtype=np.uint64)
         place = np.argsort(top)
@@ -296,7 +312,7 @@ def _models(docs: DataFrame, flat: np.ndarray, lexicon: Lexicon) -> DataFrame:
                 _, h, t = _tokens(chunk)
                 pending.append(lex.symbols(h, t))
                 size += len(h)
-                if size >= 200_000:
+                if size >= PART_TOKENS:
                     symbols = np.concatenate(pending)
                     used = train(own, symbols, epochs=1, rate=0.003)
                     n += used
@@ -326,7 +342,7 @@ def _learn(docs: DataFrame, lexicon: Lexicon) -> np.ndarray:
             parts.append(lexicon.symbols(h, t))
         return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
-    train(net, read(texts.cast(pa.string())), epochs=3, rate=0.01)
+    train(net, read(texts.cast(pa.string())), epochs=3, rate=0.01, most=START_STREAMS)
 
     def mean(frame: pd.DataFrame) -> pd.DataFrame:
         total, n = np.zeros(Network.SIZE), int(frame["n"].sum())
@@ -334,12 +350,18 @@ def _learn(docs: DataFrame, lexicon: Lexicon) -> np.ndarray:
             total += k * np.frombuffer(flat, dtype=np.float32)
         return pd.DataFrame({"n": [n], "flat": [(total / n).astype(np.float32).tobytes()]})
 
-    models = _models(docs, net.flat, lexicon).withColumn("k", F.pmod(F.xxhash64("flat"), F.lit(8)))
-    rows = models.groupBy("k").applyInPandas(mean, "n long, flat binary").collect()  # 8 models at most
+    models = materialise(_models(docs, net.flat, lexicon), "lm-models")
+    while (n := models.count()) > FAN:
+        old, groups = models, -(-n // FAN)
+        key = F.pmod(F.xxhash64("flat"), F.lit(groups)).alias("k")
+        models = materialise(old.select(key, "n", "flat").groupBy("k").applyInPandas(mean, "n long, flat binary"), "lm-models")
+        discard(old)
+    rows = sorted(map(tuple, models.collect()))  # FAN models at most
+    discard(models)
     if not rows:
         return net.flat
-    total = sum(r["n"] for r in rows)
-    return sum(np.frombuffer(r["flat"], dtype=np.float32) * (r["n"] / total) for r in rows).astype(np.float32)
+    total = sum(n for n, _ in rows)
+    return sum(np.frombuffer(flat, dtype=np.float32) * (n / total) for n, flat in rows).astype(np.float32)
 
 
 def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -350,7 +372,7 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     counts = materialise(count_words(_training(docs), "text"), "lm-counts")
     sums = counts.groupBy("tail").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).collect()  # TAILS rows at most
     tokens, kinds = sum(r["n"] for r in sums), sum(r["k"] for r in sums)
-    head = counts.filter(F.col("n") >= max(1, -(-tokens // HEAD))).toArrow()  # HEAD words at most
+    head = counts.filter((F.col("n") >= max(1, -(-tokens // HEAD))) | (F.col("word") == int(END.view(np.int64)))).toArrow()  # HEAD words and the end at most
     words = head.column("word").to_numpy().view(np.uint64)
     lexicon = Lexicon(words, head.column("n").to_numpy(), [(r["tail"], r["n"], r["k"]) for r in sums], head.column("tail").to_numpy())
     flat = _learn(docs, lexicon)

@@ -203,7 +203,7 @@ def test_training_learns_order():
     net = lm.Network(seed=3)
     run = np.array([0, *([5, 30, 200] * 7)] * 400)
     before = lm.score_documents(net, run[:22], np.array([0]), np.array([22]))[0]
-    lm.train(net, run, 3, 0.01)
+    lm.train(net, run, 3, 0.01, most=64)
     assert lm.score_documents(net, run[:22], np.array([0]), np.array([22]))[0] > before * 0.3
 
 
@@ -234,6 +234,58 @@ def test_base_score_and_counts_match_brute_force(spark, monkeypatch, head):
     assert lm.score(df.limit(0), held).count() == 0
 
 
+@pytest.mark.parametrize("head", [1 << 22, 300])
+def test_whole_score_matches_brute_force(spark, monkeypatch, head):
+    """Words of the softmax, rarer words by their class's shares, and words never seen, one token at a time."""
+    monkeypatch.setattr(lm, "HEAD", head)
+    flat = lm.Network(seed=9).flat
+    monkeypatch.setattr(lm, "_learn", lambda docs, lexicon: flat)
+    rng = random.Random(8)
+    words = [f"w{i}{'aenrst.,!1'[i % 10]}" for i in range(lm.WORDS + 700)]
+    rows = [(i, " ".join(words)) for i in range(1, 3)] + [(i, " ".join(rng.choices(words[:4200], k=rng.randint(0, 300)))) for i in range(3, 60)] + [(70, "never seen, this"), (71, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in lm.score(df, F.col("doc_id") % 10 == 0).collect()}
+    c: dict = {}
+    for i, t in rows:
+        if i % 10:
+            for w in tokens(t):
+                c[w] = c.get(w, 0) + 1
+    hash_of = lambda w: int(lm.END) if w is None else int(next(x for _, _, x in A.chunks(pa.array([w]), lower=True)).word_hash()[0])
+    tail_of = lambda w: 0 if w is None else int(lm._tail_class(np.array([w.encode()[-1]]))[0])
+    ranked = _top_words(c, hash_of, -(-got[1].train_tokens // head))
+    top = set(ranked)
+    sums, kinds = np.zeros(lm.TAILS), np.zeros(lm.TAILS)
+    for w, n in c.items():
+        if w not in top:
+            sums[tail_of(w)] += n
+            kinds[tail_of(w)] += 1
+    net, symbol = lm.Network(flat), {w: k for k, w in enumerate(ranked)}
+    for i, t in rows[2:]:
+        h, total = np.zeros((1, lm.HIDDEN), np.float32), 0.0
+        for w in tokens(t):
+            k = symbol.get(w, lm.WORDS + tail_of(w))
+            total += float(net.log_probability(h, np.array([k]))[0]) / math.log(10)
+            if k >= lm.WORDS:
+                total += math.log10((c.get(w, 0) + 0.1) / (sums[tail_of(w)] + 0.1 * (kinds[tail_of(w)] + 1)))
+            h, _ = net.step(h, np.array([k]))
+        assert math.isclose(got[i].score, total, rel_tol=1e-4, abs_tol=1e-3), i
+
+
+def _top_words(c, hash_of, least):
+    """The end and the most frequent words, of those in the head, in the order of their numbers."""
+    return [None, *sorted((w for w in c if w is not None and c[w] >= least), key=lambda w: (-c[w], hash_of(w)))[: lm.WORDS - 1]]
+
+
+def test_rounds_of_means_equal_one_weighted_mean(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{(i * k) % 23}" for k in range(40 + i % 50))) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("held_out", F.lit(False))
+    empty = np.zeros(0, np.int64)
+    lexicon = lm.Lexicon(empty.astype(np.uint64), empty, [], empty)
+    first = lm._learn(docs, lexicon)
+    monkeypatch.setattr(lm, "FAN", 2)
+    assert np.allclose(first, lm._learn(docs, lexicon), atol=1e-5)
+
+
 def test_every_training_token_reaches_the_network(spark):
     rows = [(i, " ".join(f"w{(i * k) % 17}" for k in range(i % 90))) for i in range(900)] + [(901, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumn("held_out", F.col("doc_id") % 10 == 0)
