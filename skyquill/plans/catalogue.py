@@ -139,6 +139,30 @@ def json_path_agg(spark, t):
     return t("events").groupBy(F.get_json_object("props", "$.k").cast("int").alias("k")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT event_type, CAST(sum(CAST(props ->> '$.k' AS BIGINT)) AS BIGINT) AS total, max(CAST(props ->> '$.k' AS INTEGER)) AS high FROM events GROUP BY event_type")
+def json_path_sum(spark, t):
+    """SUM and MAX of a nested path, of JSON text made a struct."""
+    e = t("events").withColumn("p", F.from_json("props", "k bigint"))
+    return e.groupBy("event_type").agg(F.sum("p.k").alias("total"), F.max("p.k").cast("int").alias("high"))
+
+
+@query("SELECT event_id, '{\"k\":' || (props ->> '$.k') || ',\"t\":\"' || event_type || '\"}' AS made FROM events WHERE props ->> '$.k' IS NOT NULL")
+def json_roundtrip(spark, t):
+    """JSON text to a struct and back, with a further field."""
+    e = t("events").withColumn("p", F.from_json("props", "k bigint")).filter("p.k IS NOT NULL")
+    return e.select("event_id", F.to_json(F.struct(F.col("p.k").alias("k"), F.col("event_type").alias("t"))).alias("made"))
+
+
+@query("SELECT event_type, true AS close, count(*) AS rows FROM events GROUP BY event_type")
+def agg_approx(spark, t):
+    """Approximate distinct counts and medians are within their error bounds."""
+    agg = t("events").groupBy("event_type").agg(
+        F.approx_count_distinct("user_id", 0.02).alias("a"), F.countDistinct("user_id").alias("n"), F.percentile_approx("value", 0.5, 10000).alias("m"), F.percentile("value", 0.5).alias("p"), F.stddev("value").alias("s"), F.count(F.lit(1)).alias("rows"),
+    )
+    close = (F.abs(F.col("a") - F.col("n")) <= 0.1 * F.col("n") + 1) & (F.abs(F.col("m") - F.col("p")) <= 0.05 * F.col("s") + 1e-9)
+    return agg.select("event_type", close.alias("close"), "rows")
+
+
 @query(f"SELECT doc_id FROM documents WHERE NOT (list_contains({TOK}, 'moron') OR lang = 'en') AND n_chars > 3000")
 def search_mixed_sql(spark, t):
     """Search and SQL tests in one boolean expression."""
@@ -317,6 +341,14 @@ same("setop_union", "SELECT c_nationkey AS k FROM {customer} UNION SELECT s_nati
 same("setop_union_all", "SELECT k, count(*) AS n FROM (SELECT c_nationkey AS k FROM {customer} UNION ALL SELECT s_nationkey FROM {supplier}) GROUP BY k", ["customer", "supplier"])
 same("setop_intersect", "SELECT c_nationkey AS k FROM {customer} INTERSECT SELECT s_nationkey FROM {supplier}", ["customer", "supplier"])
 same("setop_except", "SELECT o_custkey AS k FROM {orders} EXCEPT SELECT c_custkey FROM {customer} WHERE c_acctbal > 0", ["orders", "customer"])
+same("setop_intersect_all", "SELECT c_nationkey AS k FROM {customer} INTERSECT ALL SELECT s_nationkey FROM {supplier}", ["customer", "supplier"])
+same("setop_except_all", "SELECT c_nationkey AS k FROM {customer} EXCEPT ALL SELECT s_nationkey FROM {supplier}", ["customer", "supplier"])
+same("join_right", "SELECT s_suppkey, n_name FROM {nation} RIGHT JOIN {supplier} ON n_nationkey = s_nationkey AND n_regionkey = 1", ["nation", "supplier"])
+same("agg_avg", "SELECT o_orderpriority, round(avg(o_totalprice), 4) AS mean, round(avg(o_custkey), 4) AS customer FROM {orders} GROUP BY o_orderpriority", ["orders"])
+same("agg_percentile", "SELECT l_returnflag, percentile_cont(0.25) WITHIN GROUP (ORDER BY l_quantity) AS low, percentile_cont(0.5) WITHIN GROUP (ORDER BY l_quantity) AS mid FROM {lineitem} GROUP BY l_returnflag", ["lineitem"])
+same("agg_moments", "SELECT l_returnflag, round(stddev_samp(l_quantity), 6) AS deviation, round(var_pop(l_discount), 8) AS variance, round(corr(l_quantity, l_tax), 6) AS together FROM {lineitem} GROUP BY l_returnflag", ["lineitem"])
+same("win_distribution", "SELECT c_custkey, round(percent_rank() OVER w, 9) AS p, round(cume_dist() OVER w, 9) AS d FROM {customer} WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_acctbal)", ["customer"])
+same("win_value", "SELECT event_id, last_value(value) OVER w AS last, nth_value(value, 3) OVER w AS third FROM {events} WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)", ["events"])
 same("subquery_scalar", "SELECT p_partkey FROM {part} WHERE p_retailprice > (SELECT avg(p_retailprice) FROM {part})", ["part"])
 
 
@@ -376,6 +408,47 @@ def data_skipping(spark, t):
     return table.read([("o_orderkey", ">=", 100), ("o_orderkey", "<=", 200)])
 
 
+@query("SELECT o_orderkey FROM orders WHERE CAST(o_orderdate AS DATE) >= DATE '1995-01-01' AND CAST(o_orderdate AS DATE) < DATE '1995-02-01'")
+def skip_date(spark, t):
+    """Files skipped by dates."""
+    import datetime
+
+    table = _written(spark, t("orders").select("o_orderkey", F.to_date("o_orderdate").alias("day")).repartitionByRange(8, "day"))
+    return table.read([("day", ">=", datetime.date(1995, 1, 1)), ("day", "<", datetime.date(1995, 2, 1))]).select("o_orderkey")
+
+
+@query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-01 06:00:00' AND ts <= TIMESTAMP '2024-01-03 00:00:00'")
+def skip_timestamp(spark, t):
+    """Files skipped by timestamps: a text, and a date that stands for its midnight."""
+    import datetime
+
+    table = _written(spark, t("events").select("event_id", F.col("ts").cast("timestamp").alias("at")).repartitionByRange(8, "at"))
+    return table.read([("at", ">=", "2024-01-01 06:00:00"), ("at", "<=", datetime.date(2024, 1, 3))]).select("event_id")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_totalprice > 300000 OR o_orderkey % 7 = 0")
+def skip_nan(spark, t):
+    """NaN is above all numbers, in files with and without it."""
+    price = F.when(F.col("o_orderkey") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("o_totalprice"))
+    return _written(spark, t("orders").select("o_orderkey", price.alias("price")).repartitionByRange(8, "o_orderkey")).read([("price", ">", 300000.0)]).select("o_orderkey")
+
+
+@query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-01 05:00:00' AND ts < TIMESTAMP '2024-01-02 05:00:00'")
+def skip_other_zone(spark, t):
+    """Written in one time zone, read in another: midnights of New York."""
+    table = _written(spark, t("events").select("event_id", F.col("ts").cast("timestamp").alias("at")).repartitionByRange(8, "at"))
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        day = F.lit("2024-01-01").cast("timestamp"), F.lit("2024-01-02").cast("timestamp")
+        low, high = spark.range(1).select(*[F.unix_micros(d) for d in day]).first()
+        found = table.read([("at", ">=", "2024-01-01"), ("at", "<", "2024-01-02")])
+        kept = [f.path for f in found.select(F.col("_metadata.file_path").alias("path")).distinct().collect()] if table.last_scan.read else []
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    rows = spark.read.schema(table.snapshot().schema).parquet(*kept) if kept else table.read().limit(0)
+    return rows.filter(F.unix_micros("at").between(low, high - 1)).select("event_id")
+
+
 @query(f"SELECT doc_id FROM documents WHERE list_contains({TOK}, 'idiot')")
 def companion_search(spark, t):
     """A side index over Parquet files, synced once and searched alone."""
