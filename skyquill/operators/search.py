@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skyquill.functions import ip as ip_functions
 from skyquill.functions.text import tokens
-from skyquill.plans.query_language import Compiler, FieldSpec
-from skyquill.plans.sql_rewrite import rewrite
+from skyquill.plans.query_language import Compiler, FieldError, FieldSpec
+from skyquill.plans.sql_rewrite import rewrite, tables_of
 
 
 def specs_from(schema) -> dict[str, FieldSpec]:
@@ -69,8 +72,48 @@ def search_inverted(df: DataFrame, index: DataFrame, id_col: str, terms: list[st
     return df.join(hits.select(id_col), id_col, "left_semi")
 
 
-def search_sql(spark: SparkSession, statement: str, df: DataFrame, text_fields=None, specs=None, **options) -> DataFrame:
-    """Runs SQL with search operators; their columns are those of ``df``, the table that is searched."""
+def search_expr(df: DataFrame, text: str, text_fields=None, specs=None, **options) -> Column:
+    """A SQL expression with search operators over the columns of ``df``, as ``expr`` would read one without them."""
     compiler = Compiler(df.schema, _specs(df, text_fields, specs), **options)
-    bare = lambda c: c if c is None or compiler.type_of(c) is not None or "." not in c else c.split(".", 1)[1]
-    return spark.sql(rewrite(statement, lambda column, query, op: compiler.compile(query, bare(column), op)))
+    return F.expr(rewrite(text, lambda column, query, op: compiler.compile(query, column, op)))
+
+
+def search_sql(spark: SparkSession, statement: str, df: DataFrame | None = None, text_fields=None, specs=None, **options) -> DataFrame:
+    """Runs SQL with search operators.
+
+    Their columns are those of ``df``, or, without it, of the tables and views that the statement names: a column with an alias is its table's,
+    another one's is the first table that has it. ``text_fields`` and ``specs`` add to what the columns' metadata says of their kinds (see index_fields).
+    """
+    if df is not None:
+        compiler = Compiler(df.schema, _specs(df, text_fields, specs), **options)
+        bare = lambda c: c if c is None or compiler.type_of(c) is not None or "." not in c else c.split(".", 1)[1]
+        return spark.sql(rewrite(statement, lambda column, query, op: compiler.compile(query, bare(column), op)))
+    tables: dict[str, DataFrame] = {}
+    for table, alias in tables_of(statement):
+        if alias not in tables and spark.catalog.tableExists(table):  # names of a WITH are none
+            tables[alias] = spark.table(table)
+
+    def test(column: str | None, query: str, op: str) -> str:
+        if not tables:
+            raise FieldError("the statement names no table that could be searched")
+        if column is None:
+            if len(tables) > 1:
+                raise FieldError(f"all fields of which table? There are: {', '.join(tables)}")
+            own = next(iter(tables.values()))
+            return Compiler(own.schema, _specs(own, text_fields, specs), **options).compile(query, None, op)
+        alias, _, rest = column.partition(".")
+        if rest and alias in tables:
+            own = tables[alias]
+            # the alias as a struct of the table's columns: the compiler then writes alias.column
+            kinds = {f"{alias}.{c}": _under(alias, s) for c, s in _specs(own, text_fields, specs).items()}
+            return Compiler(T.StructType([T.StructField(alias, own.schema)]), kinds, **options).compile(query, column, op)
+        own = next((t for t in tables.values() if column.split(".")[0].lower() in map(str.lower, t.columns)), next(iter(tables.values())))
+        return Compiler(own.schema, _specs(own, text_fields, specs), **options).compile(query, column, op)
+
+    return spark.sql(rewrite(statement, test))
+
+
+def _under(alias: str, spec: FieldSpec) -> FieldSpec:
+    """The spec with its side columns under the alias."""
+    place = lambda c: f"{alias}.{c}" if c else c
+    return replace(spec, token_column=place(spec.token_column), key_column=place(spec.key_column))

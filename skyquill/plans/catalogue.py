@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from skyquill.functions import buckets
 from skyquill.functions.ip import ip_key
-from skyquill.operators.search import condition, index_fields, inverted, search, search_inverted, search_sql
+from skyquill.operators.search import condition, index_fields, inverted, search, search_expr, search_inverted, search_sql
 from skyquill.plans.query_language import FieldSpec
 from skyquill.sources.maintenance import compact, drop_partitions
 from skyquill.sources.table import Table
@@ -188,18 +188,48 @@ def search_cte(spark, t):
     return search_sql(spark, "WITH hits AS (SELECT doc_id, source FROM sq_documents WHERE text TEXTSEARCH 'idiot AND NOT clown') SELECT source, count(*) AS n FROM hits GROUP BY source", d, text_fields=["text"])
 
 
+_OTHER = TOK.replace("coalesce(text", "coalesce(c.text")
+
+
+@query(f"SELECT l.toxic, count(*) AS n FROM documents d JOIN conversations c ON d.doc_id = c.conv_id JOIN labels l ON l.doc_id = d.doc_id WHERE list_contains({TOK.replace('coalesce(text', 'coalesce(d.text')}, 'that') AND (c.role = 'user' OR list_contains({_OTHER}, 'the')) GROUP BY l.toxic")
+def sql_search_join(spark, t):
+    """Search operators on two tables of one statement; the views' metadata tell the kinds of their fields."""
+    index_fields(t("documents"), {"text": "text"}).drop("__tok_text").withMetadata("text", {"search": {"kind": "text"}}).createOrReplaceTempView("sq_d")
+    t("conversations").withMetadata("text", {"search": {"kind": "text"}}).createOrReplaceTempView("sq_c")
+    t("labels").createOrReplaceTempView("sq_l")
+    return search_sql(spark, "SELECT l.toxic, count(*) AS n FROM sq_d AS d JOIN sq_c c ON d.doc_id = c.conv_id JOIN sq_l l ON l.doc_id = d.doc_id WHERE d.text TEXTSEARCH 'that' AND (c.role FIELDMATCH 'user' OR c.text INDEXQUERY 'the') GROUP BY l.toxic")
+
+
+@query(f"SELECT lang, count(*) AS n FROM documents WHERE n_chars > 500 AND (list_contains({TOK}, 'stupid') OR source = 'src1') GROUP BY lang")
+def sql_search_view(spark, t):
+    """A search on a view of a view."""
+    t("documents").withMetadata("text", {"search": {"kind": "text"}}).createOrReplaceTempView("sq_base")
+    spark.sql("CREATE OR REPLACE TEMP VIEW sq_long AS SELECT * FROM sq_base WHERE n_chars > 500")
+    return search_sql(spark, "SELECT lang, count(*) AS n FROM sq_long WHERE text INDEXQUERY 'stupid' OR source FIELDMATCH 'src1' GROUP BY lang")
+
+
+@query(f"SELECT doc_id, list_contains({TOK}, 'clown') AS hit FROM documents WHERE list_contains({TOK}, 'idiot')")
+def search_expression(spark, t):
+    """A search as an expression, in a filter and in a projection."""
+    d = t("documents")
+    return d.filter(search_expr(d, "text TEXTSEARCH 'idiot'", text_fields=["text"])).select("doc_id", search_expr(d, "text TEXTSEARCH 'clown'", text_fields=["text"]).alias("hit"))
+
+
 @query(f"SELECT doc_id FROM documents WHERE list_contains({TOK}, 'that') AND list_contains({TOK}, 'scum')")
 def search_indexed(spark, t):
-    """Search on a token column that was written once."""
-    df = index_fields(t("documents"), {"text": "text"})
-    return search(df, "that scum", "text").select("doc_id")
+    """Search on a token column of a written table."""
+    path = _shared(spark, "indexed")
+    index_fields(t("documents").select("doc_id", "text"), {"text": "text"}).write.parquet(path)
+    df = spark.read.parquet(path)
+    return search(df, "that scum", "text", specs={"text": FieldSpec("text", token_column="__tok_text")}).select("doc_id")
 
 
 @query(f"SELECT doc_id FROM documents WHERE list_contains({TOK}, 'trash') AND list_contains({TOK}, 'idiot')")
 def search_inverted_index(spark, t):
-    """Selective terms through the (term, id) side table and a semi-join."""
-    d = t("documents").select("doc_id", "text")
-    return search_inverted(d, inverted(d, "doc_id", "text"), "doc_id", ["trash", "idiot"]).select("doc_id")
+    """Selective terms through a written (term, id) side table, sorted by term, and a semi-join."""
+    path, d = _shared(spark, "inverted"), t("documents").select("doc_id", "text")
+    inverted(d, "doc_id", "text").repartitionByRange("term").sortWithinPartitions("term").write.parquet(path)
+    return search_inverted(d, spark.read.parquet(path), "doc_id", ["trash", "idiot"]).select("doc_id")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey // 256 IN (1, 2, 3)")

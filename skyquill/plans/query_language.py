@@ -327,23 +327,58 @@ class Compiler:
 
     def text(self, node: Term, path: str) -> str:
         spec = self.spec(path)
-        column = name(spec.token_column) if spec.token_column else token_sql(self.value_sql(path), "default" if spec.tokenizer == "en_stem" else spec.tokenizer, spec.max_token)
         if spec.tokenizer == "en_stem" and not spec.token_column:
             raise FieldError(f"{path!r}: stemmed tokens need a token column")
         low = node.text.lower() if spec.tokenizer != "whitespace" else node.text
-        if not node.quoted and ("*" in low or "?" in low):
-            return f"exists({column}, t -> t LIKE {quote(self.like(low))})"
-        words = tokenize_query(node.text, spec.tokenizer)
+        wild = not node.quoted and ("*" in low or "?" in low)
+        words = [low] if wild else tokenize_query(node.text, spec.tokenizer)
         if not words:
             return "false"
-        if node.fuzzy:
-            if len(words) > 1:
-                raise QuerySyntaxError(f"a fuzzy term is one word: {node.text!r}")
-            return f"exists({column}, t -> levenshtein(t, {quote(words[0])}, {node.fuzzy}) BETWEEN 0 AND {node.fuzzy})"
+        if node.fuzzy and len(words) > 1:
+            raise QuerySyntaxError(f"a fuzzy term is one word: {node.text!r}")
+        if not spec.token_column and spec.tokenizer == "default":
+            return self.unsplit(self.value_sql(path), words, wild, node.fuzzy, spec.max_token)
+        column = name(spec.token_column) if spec.token_column else token_sql(self.value_sql(path), spec.tokenizer, spec.max_token)
+        return self.among(column, words, wild, node.fuzzy)
+
+    def among(self, column: str, words: list[str], wild: bool, fuzzy: int) -> str:
+        """The test on an array of tokens."""
+        if wild:
+            return f"exists({column}, t -> t LIKE {quote(self.like(words[0]))})"
+        if fuzzy:
+            n = len(words[0])
+            return f"exists({column}, t -> length(t) BETWEEN {n - fuzzy} AND {n + fuzzy} AND levenshtein(t, {quote(words[0])}, {fuzzy}) BETWEEN 0 AND {fuzzy})"
         if len(words) == 1:
             return f"array_contains({column}, {quote(words[0])})"
         return f"contains(concat(' ', array_join({column}, ' '), ' '), {quote(' ' + ' '.join(words) + ' ')})"
 
+    def unsplit(self, value: str, words: list[str], wild: bool, fuzzy: int, longest: int) -> str:
+        """The same test on a text that no one has split: what the text must contain first, then borders by one regular expression.
+
+        Only fuzzy words, and wildcards over other marks than letters and digits, split the texts that are left.
+        """
+        low = f"lower({value})"
+        if fuzzy:
+            # of the parts of a word one is whole in any word that differs in so few places
+            word, k = words[0], fuzzy + 1
+            parts = [word[i * len(word) // k : (i + 1) * len(word) // k] for i in range(k)]
+            needed = " OR ".join(f"contains({low}, {quote(p)})" for p in parts) if all(parts) else "true"
+            return f"(({needed}) AND {self.among(token_sql(value, 'default', longest), words, wild, fuzzy)})"
+        literals = [w for x in words for w in re.split(r"[*?]+", x) if w]
+        needed = " AND ".join(f"contains({low}, {quote(w)})" for w in dict.fromkeys(literals)) or "true"
+        if not all(w.isalnum() for w in literals) or max(map(len, literals), default=0) > longest:
+            return f"({needed} AND {self.among(token_sql(value, 'default', longest), words, wild, fuzzy)})"
+        letter, other = r"[\p{L}\p{N}]", r"[^\p{L}\p{N}]"
+        if wild:
+            # a token of the allowed length, of this form
+            form = "".join({"*": f"{letter}*", "?": letter}.get(c, c) for c in words[0])
+            pattern = f"(?<!{letter})(?={letter}{{1,{longest}}}(?!{letter})){form}(?!{letter})"
+        else:
+            # tokens that are too long do not count, so they may stand between the words of a phrase
+            between = f"{other}+(?:{letter}{{{longest + 1},}}{other}+)*"
+            pattern = f"(?<!{letter}){between.join(words)}(?!{letter})"
+        return f"({needed} AND {low} RLIKE {quote(pattern)})"
+
     def exact(self, node: Term, value: str) -> str:
         if not node.quoted and ("*" in node.text or "?" in node.text):
             return f"{value} LIKE {quote(self.like(node.text))}"

@@ -4,7 +4,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from skyquill.operators.search import condition, field_match, index_fields, search, search_sql, text_search
+from skyquill.functions.text import tokens
+from skyquill.operators.search import condition, field_match, index_fields, search, search_expr, search_sql, text_search
 from skyquill.plans.query_language import FieldError, FieldSpec, QuerySyntaxError, parse
 from skyquill.plans.sql_rewrite import rewrite
 
@@ -145,3 +146,36 @@ def test_random_boolean_queries_match_brute_force(spark):
 def test_plan_stays_in_spark(docs):
     plan = search(docs, "spark AND con*", "content", text_fields=["content"])._jdf.queryExecution().toString()
     assert "Python" not in plan and "ArrowEval" not in plan
+
+
+def test_unsplit_tests_equal_tests_on_tokens(spark):
+    """The tests that do not split a text give what the tests on its tokens give: odd marks, long tokens, wildcards, phrases, fuzzy words."""
+    import random
+
+    rng = random.Random(6)
+    pieces = ["Alpha", "beta", "ALPHABET", "alp", "bet4", "été", "x" * 255, "y" * 256, "gamma_delta", "a-b", "1.5", "ÄRGER", "日本", "betas", "b"]
+    rows = [(i, "".join(rng.choice(pieces) + rng.choice([" ", ", ", "_", "-", "\n", ". ", ""]) for _ in range(rng.randint(0, 7)))) for i in range(400)] + [(900, None), (901, "")]
+    df = spark.createDataFrame(rows, "id int, t string").withColumn("tok", tokens("t")).cache()
+    queries = ["alpha", "BETA", "alp*", "*bet", "*a*", "b?t*", "alpha~1", "betas~2", "b~1", "été", "é*", "ärger", "日*", "1", '"alpha beta"', '"beta alp alpha"', '"gamma delta"', "x*", "y*", "*y", "y" * 256, "gamma_d*", "a-*", "??", "*", "nothing"]
+    for q in queries:
+        plain = condition(df, q, "t", text_fields=["t"])
+        split = condition(df, q, "t", specs={"t": FieldSpec("text", token_column="tok")})
+        assert [r.id for r in df.filter(plain != split).collect()] == [], q
+
+
+def test_search_in_statements_over_several_tables(spark):
+    text = {"search": {"kind": "text"}}
+    a = spark.createDataFrame([(1, "red fox", "x"), (2, "blue whale", "y"), (3, None, "x")], "id int, body string, tag string").withMetadata("body", text)
+    b = spark.createDataFrame([(1, "quick brown"), (2, "very slow"), (3, "quick")], "id int, note string").withMetadata("note", text)
+    a.createOrReplaceTempView("ta")
+    b.createOrReplaceTempView("tb")
+    run = lambda q: sorted(r[0] for r in search_sql(spark, q).collect())
+    assert run("SELECT l.id FROM ta l JOIN tb AS r ON l.id = r.id WHERE l.body TEXTSEARCH 'fox' AND r.note TEXTSEARCH 'quick'") == [1]
+    assert run("SELECT l.id FROM ta l, tb r WHERE l.id = r.id AND (body TEXTSEARCH 'whale' OR note INDEXQUERY 'quick')") == [1, 2, 3]
+    assert run("SELECT id FROM ta WHERE tag FIELDMATCH 'x' AND id IN (SELECT id FROM tb WHERE note TEXTSEARCH 'brown')") == [1]
+    assert run("SELECT ta.id FROM ta LEFT JOIN tb USING (id) WHERE NOT tb.note TEXTSEARCH 'quick'") == [2]
+    assert run("SELECT id FROM ta WHERE _indexall INDEXQUERY 'whale OR x'") == [1, 2, 3]
+    assert run("WITH c AS (SELECT * FROM ta WHERE body TEXTSEARCH 'fox') SELECT id FROM c") == [1]
+    with pytest.raises(FieldError):
+        run("SELECT l.id FROM ta l JOIN tb r ON l.id = r.id WHERE indexqueryall('fox')")
+    assert [r.id for r in a.filter(search_expr(a, "id > 1 AND body TEXTSEARCH 'wh*'")).collect()] == [2]
