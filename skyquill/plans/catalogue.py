@@ -58,7 +58,10 @@ def _texts(df, q):
 
 
 def _shared(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='skyquill-')}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    base = base or f"file://{tempfile.mkdtemp(prefix='skyquill-')}"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -479,6 +482,17 @@ def skip_other_zone(spark, t):
     return rows.filter(F.unix_micros("at").between(low, high - 1)).select("event_id")
 
 
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_orderkey < 2000")
+def format_roundtrip(spark, t):
+    """Written and read as a Spark format; the pushed filters leave out files by partition and by bounds."""
+    from skyquill.sources.format import register
+
+    register(spark)
+    path = _shared(spark, "format")
+    t("orders").repartitionByRange(4, "o_orderkey").write.format("skyquill").mode("append").option("partitionBy", "o_orderstatus").save(path)
+    return spark.read.format("skyquill").load(path).filter("o_orderstatus = 'F' AND o_orderkey < 2000").select("o_orderkey", "o_orderstatus", "o_totalprice")
+
+
 @query(f"SELECT doc_id FROM documents WHERE list_contains({TOK}, 'idiot')")
 def companion_search(spark, t):
     """A side index over Parquet files, synced once and searched alone."""

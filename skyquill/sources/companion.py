@@ -8,6 +8,7 @@ the stored columns are those asked for, so a search can be answered from the ind
 from __future__ import annotations
 
 import json
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,14 +21,14 @@ SOURCE = "__source"
 MODES = ("text", "string", "ip", "exact_only", "text_uuid_exactonly", "text_uuid_strip", "text_custom_exactonly", "text_custom_strip")
 
 
-def list_source(spark: SparkSession, path: str, kind: str = "parquet") -> list[tuple[str, int]]:
-    """(file, bytes) of the source. delta and iceberg need their own jar on the class path."""
+def list_source(spark: SparkSession, path: str, kind: str = "parquet") -> list[tuple[str, int, int]]:
+    """(file, bytes, modified ms) of the source. delta and iceberg need their own jar on the class path; their files never change."""
     if kind == "parquet":
         fs = FileSystem(spark, path)
-        return [(p, n) for p, n, _ in fs.files() if p.endswith(".parquet") and not any(x.startswith(("_", ".")) for x in p.split("/"))]
+        return [(p, n, t) for p, n, t in fs.files() if p.endswith(".parquet") and not any(x.startswith(("_", ".")) for x in p.split("/"))]
     if kind in ("delta", "iceberg"):
         files = spark.read.format(kind).load(path).inputFiles()
-        return [(f, 0) for f in files]
+        return [(f, 0, 0) for f in files]
     raise ValueError(f"unknown source: {kind}")
 
 
@@ -63,44 +64,58 @@ def plan_groups(files: list[tuple[str, int]], groups: int) -> list[list[str]]:
     return [own for _, _, own in loads if own]
 
 
-def sync(spark: SparkSession, source: str, index: str, modes: dict[str, str], kind: str = "parquet", where: str | None = None, max_files_per_commit: int = 100, dry_run: bool = False) -> dict:
-    """Brings the index at ``index`` up to date with ``source``. Counts of files added, removed and kept."""
+def sync(spark: SparkSession, source: str, index: str, modes: dict[str, str], kind: str = "parquet", where: str | None = None, max_files_per_commit: int = 100, dry_run: bool = False, columns: list[str] | None = None, config: dict | None = None) -> dict:
+    """Brings the index at ``index`` up to date with ``source``. Counts of files added (or changed), removed and kept.
+
+    The log holds size and time of every file that was read, rows or not. A file of another size or time is read again, and its old rows go in the
+    commit that adds its new ones. ``columns``: what the index stores beside its own columns; all if not given.
+    """
     table = Table(spark, index)
     snap = table.snapshot() if table.exists() else None
     if snap and snap.metadata["config"].get("source") not in (None, source):
         raise TableError(f"the index belongs to {snap.metadata['config']['source']}")
     listed = list_source(spark, source, kind)
-    now = spark.createDataFrame(listed, "file string, size long")
-    done = spark.createDataFrame([(f["partition"][SOURCE],) for f in snap.files.values()] if snap else [], "file string").distinct()
-    new = [(r["file"], r["size"]) for r in now.join(done, "file", "left_anti").collect()]  # files, not rows
-    gone = {r["file"] for r in done.join(now, "file", "left_anti").collect()}
+    known = [(x["path"], x["size"], x["modified"]) for x in snap.sources.values()] if snap else []
+    schema, key = "file string, size long, modified long", ["file", "size", "modified"]
+    now, done = spark.createDataFrame(listed, schema), spark.createDataFrame(known, schema)
+    new = [tuple(r) for r in now.join(done, key, "left_anti").collect()]  # files, not rows
+    old = {r["file"] for r in done.join(now, key, "left_anti").collect()}
+    gone = old - {f for f, _, _ in new}
     out = {"added": len(new), "removed": len(gone), "kept": len(listed) - len(new), "version": snap.version if snap else -1}
     if dry_run:
         return out
-    if gone:
-        from skyquill.sources.maintenance import drop_partitions
 
-        out["version"] = drop_partitions(table, [(SOURCE, "in", sorted(gone))])
-    for group in plan_groups(new, -(-len(new) // max_files_per_commit)) if new else []:
+    def without(snapshot, files):
+        """Actions that take the rows of files out."""
+        stamp = int(time.time() * 1000)
+        return [*({"remove": {"path": p, "at": stamp}} for p, f in snapshot.files.items() if f["partition"].get(SOURCE) in files), *({"source": {"path": p, "gone": True}} for p in files if p in snapshot.sources)]
+
+    if gone:
+        out["version"] = table._commit(lambda now: without(now, gone))
+    sizes = {f: (n, t) for f, n, t in new}
+    fs = FileSystem(spark, source)
+    for group in plan_groups([(f, n) for f, n, _ in new], -(-len(new) // max_files_per_commit)) if new else []:
         paths = [f if "://" in f or f.startswith("/") else f"{source.rstrip('/')}/{f}" for f in group]
         reader = spark.read.option("basePath", source) if kind == "parquet" else spark.read
         df = reader.parquet(*paths)
-        full = F.expr("url_decode(_metadata.file_path)")
-        lookup = F.create_map(*[x for f, p in zip(group, paths) for x in (F.lit(p.rsplit("/", 1)[-1] if "/" not in f else f), F.lit(f))])
-        base = F.regexp_extract(full, f"({'|'.join(sorted((_escape(f) for f in group), key=len, reverse=True))})$", 1)
-        df = apply_modes(df, modes).withColumn(SOURCE, F.coalesce(F.element_at(lookup, base), base))
+        if columns is not None:
+            missing = [c for c in columns if c not in df.columns]
+            if missing:
+                raise TableError(f"columns that the source lacks: {', '.join(missing)}")
+            df = df.select(*[F.col(name(c)) for c in columns], F.col("_metadata"))
+        one = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+        names = spark.createDataFrame([(fs.fs.makeQualified(fs.jvm.org.apache.hadoop.fs.Path(p)).toUri().toString() if kind == "parquet" else p, f) for p, f in zip(paths, group)], f"__path string, {SOURCE} string")
+        df = df.withColumn("__file", one(F.col("_metadata.file_path"))).join(F.broadcast(names.withColumn("__path", one(F.col("__path")))), F.col("__file") == F.col("__path"))  # max_files_per_commit rows
+        df = apply_modes(df.drop("__file", "__path", "_metadata"), modes)
         if where:
             df = df.filter(where)
-        out["version"] = table.write(df, partition_by=[SOURCE], write_mode="hash", config={"source": source, "kind": kind, "modes": json.dumps(modes)})
+        seen = [{"source": {"path": f, "size": sizes[f][0], "modified": sizes[f][1]}} for f in group]
+        again = set(group) & old
+        more = lambda now, again=again, seen=seen: [*without(now, again), *seen]
+        out["version"] = table.write(df, partition_by=[SOURCE], write_mode="hash", config={"source": source, "kind": kind, "modes": json.dumps(modes), **(config or {})}, more=more)
     return out
 
 
-def _escape(text: str) -> str:
-    import re
-
-    return re.escape(text)
-
-
 def search_index(spark: SparkSession, index: str, query: str, column: str) -> DataFrame:
     """Rows of the index that match, without tokenizing."""
     from skyquill.operators.search import search

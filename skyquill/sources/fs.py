@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -41,9 +43,38 @@ class FileSystem:
             stream.close()
 
     def create(self, relative: str, text: str, overwrite: bool = False) -> bool:
-        """False if the file is there: of several writers of one name, one succeeds."""
+        """False if the file is there: of several writers of one name, one succeeds.
+
+        The text is written aside and moved, so no reader sees a part of it. Where a move can replace a file (some stores), the name is
+        taken first by an exclusive creation; a reader that meets a file without its last line end knows that it is not whole.
+        """
+        target = self.path(relative)
+        if not overwrite and self.fs.exists(target):
+            return False
+        aside = self.path(f"{relative.rpartition('/')[0]}/.{uuid.uuid4().hex}")
+        context = self.jvm.org.apache.hadoop.fs.FileContext
+        stream = self.fs.create(aside, True)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+        try:
+            options = self.spark.sparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 1)
+            options[0] = self.jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE if overwrite else self.jvm.org.apache.hadoop.fs.Options.Rename.NONE
+            context.getFileContext(self.fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(self.fs.makeQualified(aside), self.fs.makeQualified(target), options)
+            return True
+        except Exception as error:
+            if "AlreadyExists" in str(error):
+                return False
+            if "UnsupportedFileSystem" not in str(error):
+                raise
+        finally:
+            self.fs.delete(aside, False)
+        return self._create_in_place(target, text, overwrite)
+
+    def _create_in_place(self, target, text: str, overwrite: bool) -> bool:
         try:
-            stream = self.fs.create(self.path(relative), overwrite)
+            stream = self.fs.create(target, overwrite)
         except Exception as error:
             if "AlreadyExists" in str(error):
                 return False
