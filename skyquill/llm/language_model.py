@@ -31,7 +31,7 @@ from skyquill.llm import arrays as A
 from skyquill.llm.common import discard, materialise, small_batches, table
 
 HEAD = 1 << 22
-CLASSES, IN_CLASS = 64, 64
+CLASSES, IN_CLASS = 48, 48
 WORDS = CLASSES * IN_CLASS  # the end token is the first of them
 TAILS = 16
 HIDDEN = 16
