@@ -240,8 +240,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col=
     verbatim = F.when(~changed, F.col("item_place"))
     # an alignment has no more windows, and so no more slots, than the item
     runs = hits.groupBy(*key).agg(
-        F.countDistinct("item_place").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
-        F.countDistinct(verbatim).alias("n_same"), F.min(F.when(~changed, F.col("first"))).alias("first_same"), F.max(F.when(~changed, F.col("last"))).alias("last_same"),
+        F.size(F.collect_set("item_place")).alias("n"), F.min("first").alias("first"), F.max("last").alias("last"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
+        F.size(F.collect_set(verbatim)).alias("n_same"), F.min(F.when(~changed, F.col("first"))).alias("first_same"), F.max(F.when(~changed, F.col("last"))).alias("last_same"),
     )
     sides = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda e: F.struct(e["k"].alias("k"), e[side].alias("v")))))
     runs = runs.withColumn("one_to_one", (sides("d") == F.size("pairs")) & (sides("i") == F.size("pairs")))
