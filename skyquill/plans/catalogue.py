@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from skyquill.functions import buckets
 from skyquill.functions.ip import ip_key
 from skyquill.operators.search import condition, index_fields, inverted, search, search_expr, search_inverted, search_sql
+from skyquill.plans.commands import Commands
 from skyquill.plans.query_language import FieldSpec
 from skyquill.sources.maintenance import compact, drop_partitions
 from skyquill.sources.table import Table
@@ -525,7 +526,163 @@ def stream_window(spark, t):
     events = t("events").select("event_type", F.col("ts").cast("timestamp").alias("ts"))
     events.write.parquet(source)
     counts = windowed(spark.readStream.schema(events.schema).parquet(source), "ts", "1 hour", keys=("event_type",))
-    name = f"sq_{uuid.uuid4().hex}"
-    counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    del out
-    return spark.table(name).select(F.unix_micros("start").alias("start"), "event_type", "n")
+    return _last(spark, counts, out, state).select(F.unix_micros("start").alias("start"), "event_type", "n")
+
+
+def _last(spark, stream: DataFrame, out: str, state: str) -> DataFrame:
+    """The whole result after the last batch of a stream, written by the tasks."""
+    write = lambda batch, _: batch.write.mode("overwrite").parquet(out)
+    stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)
+
+
+@query("SELECT CAST(floor(epoch_us(ts) / 1800000000.0) AS BIGINT) * 1800000000 - o * 1800000000 AS start, count(*) AS n FROM events, (SELECT unnest([0, 1]) AS o) GROUP BY ALL")
+def stream_sliding(spark, t):
+    """Windows of an hour that begin every half hour."""
+    from skyquill.streaming.ingest import windowed
+
+    source, out, state = _shared(spark, "source"), _shared(spark, "out"), _shared(spark, "state")
+    events = t("events").select(F.col("ts").cast("timestamp").alias("ts"))
+    events.write.parquet(source)
+    counts = windowed(spark.readStream.schema(events.schema).parquet(source), "ts", "1 hour", slide="30 minutes")
+    return _last(spark, counts, out, state).select(F.unix_micros("start").alias("start"), "n")
+
+
+@query("""WITH e AS (SELECT user_id, epoch_us(ts) AS t FROM events),
+g AS (SELECT *, CASE WHEN t - lag(t) OVER w < 600000000 THEN 0 ELSE 1 END AS fresh FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t)),
+k AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS s FROM g)
+SELECT user_id, min(t) AS start, max(t) + 600000000 AS "end", count(*) AS n FROM k GROUP BY user_id, s""")
+def stream_sessions(spark, t):
+    """Sessions of a user's events with gaps under ten minutes."""
+    from skyquill.streaming.ingest import sessions
+
+    source, out, state = _shared(spark, "source"), _shared(spark, "out"), _shared(spark, "state")
+    events = t("events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    events.write.parquet(source)
+    counts = sessions(spark.readStream.schema(events.schema).parquet(source), "ts", "10 minutes", ("user_id",))
+    return _last(spark, counts, out, state).select("user_id", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "n")
+
+
+# ---- statements as text
+
+
+def statement(sql: str):
+    """Keeps a query that gets Commands, the table ``nation`` written in four files by region, and its path."""
+
+    def keep(run):
+        def ready(spark, t):
+            table = _written(spark, t("nation").coalesce(1), partition_by=["n_regionkey"])
+            for _ in range(2):
+                table.write(t("nation").filter("n_regionkey < 2").coalesce(1))
+            commands = Commands(spark)
+            commands.register("sq_nations", table.path)
+            return run(spark, commands, table)
+
+        ready.__name__, ready.__doc__ = run.__name__, run.__doc__
+        query(sql)(ready)
+        return run
+
+    return keep
+
+
+_NATIONS = "(SELECT * FROM nation UNION ALL SELECT * FROM nation WHERE n_regionkey < 2 UNION ALL SELECT * FROM nation WHERE n_regionkey < 2)"
+
+
+@statement("SELECT '{\"n_regionkey\": \"' || n_regionkey || '\"}' AS partition, 3::BIGINT AS merged, 1::BIGINT AS files, 'merged' AS status FROM (SELECT DISTINCT n_regionkey FROM nation WHERE n_regionkey < 2)")
+def stmt_merge(spark, c, table):
+    return c.sql("MERGE SPLITS sq_nations TARGET SIZE 10M MAX DEST SPLITS 9 MAX SOURCE SPLITS PER MERGE 9").select("partition", "merged", F.col("into").alias("files"), "status")
+
+
+@statement("SELECT n_regionkey FROM (SELECT DISTINCT n_regionkey FROM nation WHERE n_regionkey = 1)")
+def stmt_merge_precommit(spark, c, table):
+    """Planned groups, nothing written."""
+    out = c.sql(f"MERGE SPLITS '{table.path}' WHERE n_regionkey = 1 PRECOMMIT").filter("status = 'planned'")
+    assert len(table.snapshot().files) == 9
+    return out.select(F.get_json_object("partition", "$.n_regionkey").cast("int").alias("n_regionkey"))
+
+
+@statement(f"SELECT * FROM {_NATIONS} WHERE n_regionkey <> 1")
+def stmt_drop_partitions(spark, c, table):
+    c.sql("DROP TABLE PARTITIONS FROM sq_nations WHERE n_regionkey = 1")
+    return table.read()
+
+
+@statement("SELECT 5::BIGINT AS gone")
+def stmt_purge(spark, c, table):
+    """Files that no version names any more: those of a write that was never committed."""
+    table._write_files(table.read(version=0), ["n_regionkey"])
+    return c.sql("PURGE TABLE sq_nations OLDER THAN 0 HOURS").filter("path LIKE '%.parquet' AND path NOT LIKE '%.crc'").agg(F.count_if("deleted").alias("gone"))
+
+
+@statement(f"SELECT count(*) AS n FROM {_NATIONS}")
+def stmt_repair(spark, c, table):
+    """A clean log, read as the log of a copy."""
+    target = _shared(spark, "repaired")
+    c.sql(f"REPAIR TABLE TRANSACTION LOG '{table.path}' AT LOCATION '{target}'")
+    return spark.read.text(target).select(F.sum(F.get_json_object("value", "$.add.stats.rows").cast("long")).alias("n"))
+
+
+@statement("SELECT 9::BIGINT AS files, count(*) AS n FROM " + _NATIONS)
+def stmt_describe_state(spark, c, table):
+    return c.sql("DESCRIBE TABLE STATE sq_nations").select(F.col("num_files").alias("files"), F.col("num_rows").alias("n"))
+
+
+@statement(f"SELECT 'add' AS action_type, count(*) AS n FROM {_NATIONS} UNION ALL SELECT 'metadata', 0 UNION ALL SELECT 'protocol', 0")
+def stmt_describe_log(spark, c, table):
+    log = c.sql("DESCRIBE TABLE TRANSACTION LOG sq_nations INCLUDE ALL")
+    return log.groupBy("action_type").agg(F.coalesce(F.sum("num_records"), F.lit(0)).alias("n"))
+
+
+@statement("SELECT 'n_name' AS component UNION ALL SELECT 'n_nationkey'")
+def stmt_component_sizes(spark, c, table):
+    return c.sql("DESCRIBE TABLE COMPONENT SIZES sq_nations WHERE n_regionkey = 2").filter("size_bytes > 0").select("component").distinct()
+
+
+@statement(f"SELECT count(*) AS n FROM {_NATIONS} WHERE n_regionkey = 1")
+def stmt_prewarm(spark, c, table):
+    job = c.sql("PREWARM TABLE CACHE sq_nations FOR SEGMENTS (TERM_DICT) ON FIELDS (n_name) WITH PERWORKER PARALLELISM OF 2 WHERE n_regionkey = 1 ASYNC MODE").first()
+    done = c.sql(f"WAIT FOR TABLE PREWARM JOBS sq_nations JOB '{job.job}' TIMEOUT 120")
+    c.sql("FLUSH TABLE DISK CACHE")
+    return done.select(F.col("rows").alias("n"))
+
+
+@statement("SELECT 2::BIGINT AS version, 3::BIGINT AS left_over, 1::BIGINT AS after")
+def stmt_checkpoint_truncate(spark, c, table):
+    c.sql("CHECKPOINT TABLE sq_nations")
+    before, _ = len(table.versions()), c.sql("TRUNCATE TABLE TIME TRAVEL sq_nations")
+    return spark.createDataFrame([(table.snapshot().version, before, len(table.versions()))], "version long, left_over long, after long")
+
+
+@statement("SELECT 'far' AS root_name, 's3://b/t' AS root_path")
+def stmt_table_roots(spark, c, table):
+    c.sql("SET TABLE TABLE ROOT 'near' = 'file:///x' AT sq_nations")
+    c.sql("SET TABLE TABLE ROOT 'far' = 's3://b/t' AT sq_nations")
+    c.sql("UNSET TABLE TABLE ROOT 'near' AT sq_nations")
+    return c.sql("DESCRIBE TABLE TABLE ROOTS AT sq_nations")
+
+
+@statement("SELECT 'INVALIDATE TABLE' AS statement, 1::BIGINT AS calls UNION ALL SELECT 'SELECT N_REGIONKEY,', 1")
+def stmt_profiler(spark, c, table):
+    """The profiler over a statement and a query that goes to Spark."""
+    c.sql("ENABLE TABLE PROFILER")
+    c.sql("INVALIDATE TABLE TRANSACTION LOG CACHE FOR sq_nations")
+    c.sql("SELECT n_regionkey, count(*) AS n FROM sq_nations GROUP BY n_regionkey").collect()
+    c.sql("DISABLE TABLE PROFILER")
+    out = c.sql("DESCRIBE TABLE PROFILER CACHE").filter("statement NOT LIKE '%PROFILER%' AND statement NOT LIKE 'ENABLE%'").select("statement", "calls")
+    c.sql("RESET TABLE PROFILER CACHE")
+    return out
+
+
+@statement("SELECT true AS known")
+def stmt_environment(spark, c, table):
+    return c.sql("DESCRIBE TABLE ENVIRONMENT").agg((F.count_if(F.col("name") == "spark.app.name") == 1).alias("known"))
+
+
+@statement("SELECT n_nationkey FROM nation WHERE n_regionkey < 3 AND n_name = 'NATION_2'")
+def stmt_companion(spark, c, table):
+    source, index = _shared(spark, "source"), _shared(spark, "index")
+    table.read(version=0).repartition(3).write.parquet(source)
+    c.sql(f"BUILD TABLE COMPANION FOR PARQUET '{source}' INCLUDE COLUMNS ('n_nationkey', 'n_name', 'n_regionkey') INDEXING MODES ('n_name': 'exact_only') TARGET INPUT SIZE 1M WHERE n_regionkey < 3 AT LOCATION '{index}'")
+    from skyquill.sources.companion import exact_in_index
+
+    return exact_in_index(Table(spark, index).read(), "n_name", "NATION_2").select("n_nationkey")

@@ -12,6 +12,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from skyquill.functions.text import parse_size
 from skyquill.operators.search import search_sql
 from skyquill.sources import companion, maintenance
 from skyquill.sources.table import Table
@@ -19,6 +20,19 @@ from skyquill.sources.table import Table
 _PATH = r"(?P<path>'[^']+'|`[^`]+`|[\w./:\-]+)"
 _WHERE = r"(?:\s+WHERE\s+(?P<where>.+?))?"
 _KIND = r"(?:SKYQUILL|TABLE|INDEX|SIDE\s+INDEX)"
+_STRING = r"'[^']+'"
+
+
+def _list(name: str) -> str:
+    return rf"\(\s*(?P<{name}>[^)]*)\)"
+
+
+def _items(text: str | None) -> list[str]:
+    return [_unquote(x.strip()) for x in text.split(",") if x.strip()] if text else []
+
+
+def _pairs(text: str | None) -> dict[str, str]:
+    return {_unquote(k): _unquote(v) for k, v in re.findall(r"('[^']+'|\w+)\s*[:=]\s*('[^']+'|\w+)", text or "")}
 
 
 class CommandError(ValueError):
@@ -69,7 +83,7 @@ class Commands:
     """Runs statements in one session; keeps registered tables, jobs and the profiler's times."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.names, self.jobs, self.merges = spark, {}, {}, []
+        self.spark, self.names, self.jobs, self.merges, self.tables = spark, {}, {}, [], {}
         self.profiling, self.profile = False, {}
         self.rules = [(re.compile(rf"\s*{p}\s*;?\s*$", re.I | re.S), f) for p, f in self._rules()]
 
@@ -80,8 +94,12 @@ class Commands:
             Table(self.spark, path).read().createOrReplaceTempView(name)
 
     def table(self, text: str) -> Table:
+        """The table of a path or name; its log, as far as it was read, is kept until INVALIDATE."""
         text = _unquote(text)
-        return Table(self.spark, self.names.get(text, text))
+        path = self.names.get(text, text)
+        if path not in self.tables:
+            self.tables[path] = Table(self.spark, path)
+        return self.tables[path]
 
     def rows(self, rows, schema: str) -> DataFrame:
         return self.spark.createDataFrame(rows, schema)
@@ -106,10 +124,12 @@ class Commands:
         number = lambda g, k: int(g[k]) if g.get(k) else None
 
         def merge(g):
+            if not g["path"]:
+                raise CommandError("MERGE needs a path or the name of a table")
             t = self.table(g["path"])
-            done = maintenance.compact(t, conditions(g["where"]), g["size"] or maintenance.TARGET, number(g, "groups"), number(g, "files"))
-            self.merges.append((t.path, len(done), "done"))
-            return self.rows([(t.path, r["partition"], r["merged"], r["into"], r["bytes"], r["version"]) for r in done], "path string, partition string, merged long, into long, bytes long, version long")
+            done = maintenance.compact(t, conditions(g["where"]), g["size"] or maintenance.TARGET, number(g, "groups"), number(g, "files"), bool(g["precommit"]))
+            self.merges.append((t.path, sum(r["status"] == "merged" for r in done), "planned" if g["precommit"] else "done"))
+            return self.rows([(t.path, r["partition"], r["merged"], r["into"], r["bytes"], r["version"], r["status"]) for r in done], "path string, partition string, merged long, into long, bytes long, version long, status string")
 
         def purge(g):
             return maintenance.purge(self.table(g["path"]), _hours(g["age"], 168.0), bool(g["dry"]), _hours(g["keep"], None))
@@ -124,7 +144,11 @@ class Commands:
             return ok(_unquote(g["path"]), f"{maintenance.repair(self.table(g['path']), _unquote(g['target']))} files left out")
 
         def invalidate(g):
-            return ok(g["path"] or "", "log is read again at the next use")
+            path = self.table(g["path"]).path if g["path"] else None
+            gone = [p for p in list(self.tables) if path is None or p.rstrip("/") == path]
+            for p in gone:
+                self.tables.pop(p).invalidate()
+            return ok(path or "", f"{len(gone)} logs are read again at the next use")
 
         def flush(g):
             return ok("", f"{maintenance.flush_cache()} tables released")
@@ -136,13 +160,15 @@ class Commands:
             return self.rows([(p, not g["dry"]) for p in maintenance.truncate(self.table(g["path"]), dry_run=bool(g["dry"]))], "file string, deleted boolean")
 
         def prewarm(g):
-            t, columns = self.table(g["path"]), [c.strip() for c in g["fields"].split(",")] if g["fields"] else None
+            t, columns = self.table(g["path"]), _items(g["fields"]) or None
+            if g["segments"]:
+                maintenance.segments(_items(g["segments"]))  # all of them are columns' data here
             job = {"id": uuid.uuid4().hex[:8], "path": t.path, "rows": None, "status": "running"}
             self.jobs[job["id"]] = job
 
             def run():
                 try:
-                    job.update(rows=maintenance.prewarm(t, columns, conditions(g["where"])), status="done")
+                    job.update(rows=maintenance.prewarm(t, columns, conditions(g["where"]), number(g, "parallelism")), status="done")
                 except Exception as error:
                     job.update(status=f"failed: {error}")
 
@@ -158,29 +184,49 @@ class Commands:
 
         def wait(g):
             end = time.time() + (number(g, "seconds") or 3600)
-            for j in list(self.jobs.values()):
-                if not g["id"] or j["id"] == _unquote(g["id"]):
-                    j["thread"].join(max(0, end - time.time()))
-            return jobs({"id": _unquote(g["id"]) if g["id"] else None})
+            path = self.table(g["path"]).path if g["path"] else None
+            wanted = [j for j in self.jobs.values() if (not g["id"] or j["id"] == _unquote(g["id"])) and path in (None, j["path"])]
+            for j in wanted:
+                j["thread"].join(max(0, end - time.time()))
+            return self.rows([(j["id"], j["path"], j["rows"], j["status"]) for j in wanted], "job string, path string, rows long, status string")
 
         def build(g):
-            modes = {_unquote(k): _unquote(v) for k, v in re.findall(r"('[^']+'|\w+)\s*[:=]\s*('[^']+'|\w+)", g["modes"] or "")}
-            args = (self.spark, _unquote(g["path"]), _unquote(g["index"]), modes)
-            done = companion.sync(*args, kind=g["kind"].lower(), where=g["where"], dry_run=bool(g["dry"]))
-            if g["seconds"] and not g["dry"]:
+            hashed = (g["hashed_how"].upper(), _items(g["hashed"])) if g["hashed_how"] else None
+            plain = {k: _unquote(g[k]) for k in ("catalog", "type", "warehouse", "heap") if g[k]} | ({"fast_fields": g["fast"].upper()} if g["fast"] else {})
+            config = {"build": plain, "table_roots": _pairs(g["roots"])}
+            reader = {k: v for k, v in (("versionAsOf", g["version"]), ("snapshot-id", g["snapshot"])) if v}
+            options = {
+                "kind": g["kind"].lower(), "where": g["where"] or g["where2"], "schema_source": _unquote(g["schema"]) if g["schema"] else None, "columns": _items(g["include"]) or None, "exclude": _items(g["exclude"]),
+                "hashed": hashed, "target_bytes": parse_size(_unquote(g["size"])) if g["size"] else None, "reader_options": reader, "again": bool(g["all"]), "config": {k: v for k, v in config.items() if v},
+            }
+            args = (self.spark, _unquote(g["path"]), _unquote(g["index"]), _pairs(g["modes"]))
+            dry = bool(g["dry"] or g["dry2"])
+            done = companion.sync(*args, dry_run=dry, **options)
+            if g["seconds"] and not dry:
                 from skyquill.streaming.ingest import poll_sync
 
                 pause = float(g["seconds"]) * (60 if g["unit"].upper().startswith("MINUTE") else 1)
-                threading.Thread(target=poll_sync, args=(*args, pause), kwargs={"kind": g["kind"].lower(), "where": g["where"]}, daemon=True).start()
+                options["again"] = False
+                threading.Thread(target=poll_sync, args=(*args, pause), kwargs=options, daemon=True).start()
             return self.rows([(_unquote(g["index"]), done["added"], done["removed"], done["kept"], done["version"])], "index string, added long, removed long, kept long, version long")
 
         def root(g):
-            maintenance.set_config(self.table(g["path"]), table_root=_unquote(g["root"]) if g.get("root") else None)
-            return ok(_unquote(g["path"]))
+            t = self.table(g["path"])
+            if g["name"]:
+                named = dict(t.snapshot().metadata["config"].get("table_roots", {}))
+                if g.get("root"):
+                    named[_unquote(g["name"])] = _unquote(g["root"])
+                elif named.pop(_unquote(g["name"]), None) is None:
+                    raise CommandError(f"no table root {g['name']}")
+                maintenance.set_config(t, table_roots=named or None)
+            else:
+                maintenance.set_config(t, table_root=_unquote(g["root"]) if g.get("root") else None)
+            return ok(t.path)
 
         def roots(g):
-            t = self.table(g["path"])
-            return self.rows([(t.path, t.snapshot().metadata["config"].get("table_root"))], "path string, table_root string")
+            config = self.table(g["path"]).snapshot().metadata["config"]
+            found = [*config.get("table_roots", {}).items(), *([(None, config["table_root"])] if "table_root" in config else [])]
+            return self.rows(found, "root_name string, root_path string")
 
         def profiler(g):
             word = g["what"].upper()
@@ -194,7 +240,7 @@ class Commands:
             return self.rows([(p, str(df.storageLevel)) for p, df in maintenance._prewarmed.items()], "path string, level string")
 
         return [
-            (rf"MERGE\s+(?:FILES|SPLITS)\s+(?:IN\s+)?{_PATH}{_WHERE}(?:\s+TARGET\s+SIZE\s+(?P<size>\w+))?(?:\s+MAX\s+(?:GROUPS|DEST\s+SPLITS)\s+(?P<groups>\d+))?(?:\s+MAX\s+SOURCE\s+(?:FILES|SPLITS)(?:\s+PER\s+MERGE)?\s+(?P<files>\d+))?", merge),
+            (rf"MERGE\s+(?:FILES|SPLITS)(?:\s+(?:IN\s+)?(?!(?:WHERE|TARGET|MAX|PRECOMMIT)\b){_PATH})?{_WHERE}(?:\s+TARGET\s+SIZE\s+(?P<size>\w+|{_STRING}))?(?:\s+MAX\s+(?:GROUPS|DEST\s+SPLITS)\s+(?P<groups>\d+))?(?:\s+MAX\s+SOURCE\s+(?:FILES|SPLITS)(?:\s+PER\s+MERGE)?\s+(?P<files>\d+))?(?P<precommit>\s+PRECOMMIT)?", merge),
             (rf"PURGE\s+{_KIND}\s+{_PATH}(?:\s+OLDER\s+THAN\s+(?P<age>\d+\s+\w+))?(?:\s+TRANSACTION\s+LOG\s+RETENTION\s+(?P<keep>\d+\s+\w+))?(?P<dry>\s+DRY\s+RUN)?", purge),
             (rf"DROP\s+{_KIND}\s+PARTITIONS\s+FROM\s+{_PATH}\s+WHERE\s+(?P<where>.+?)", drop),
             (rf"REPAIR\s+{_KIND}\s+TRANSACTION\s+LOG\s+{_PATH}\s+AT\s+LOCATION\s+(?P<target>'[^']+')", repair),
@@ -205,15 +251,23 @@ class Commands:
             (rf"DESCRIBE\s+{_KIND}\s+ENVIRONMENT", lambda g: maintenance.describe_environment(self.spark)),
             (rf"DESCRIBE\s+{_KIND}\s+STATE\s+{_PATH}", lambda g: maintenance.describe_state(self.table(g["path"]))),
             (rf"DESCRIBE\s+{_KIND}\s+COMPONENT\s+SIZES\s+{_PATH}{_WHERE}", lambda g: maintenance.describe_sizes(self.table(g["path"]), conditions(g["where"]))),
-            (rf"PREWARM\s+{_KIND}\s+CACHE\s+(?:FOR\s+)?{_PATH}(?:\s+ON\s+FIELDS\s*\((?P<fields>[^)]+)\))?{_WHERE}(?P<async_>\s+ASYNC(?:\s+MODE)?)?", prewarm),
+            (rf"PREWARM\s+{_KIND}\s+CACHE\s+(?:FOR\s+(?!SEGMENTS\b))?{_PATH}(?:\s+FOR\s+SEGMENTS\s*{_list('segments')})?(?:\s+ON\s+FIELDS\s*{_list('fields')})?(?:\s+WITH\s+PERWORKER\s+PARALLELISM\s+OF\s+(?P<parallelism>\d+))?{_WHERE}(?P<async_>\s+ASYNC(?:\s+MODE)?)?", prewarm),
             (rf"DESCRIBE\s+{_KIND}\s+PREWARM\s+JOBS", jobs),
             (rf"DESCRIBE\s+{_KIND}\s+MERGE\s+JOBS", lambda g: self.rows(self.merges, "path string, groups long, status string")),
-            (rf"WAIT\s+FOR\s+{_KIND}\s+PREWARM\s+JOBS(?:\s+JOB\s+(?P<id>'[^']+'))?(?:\s+TIMEOUT\s+(?P<seconds>\d+))?", wait),
+            (rf"WAIT\s+FOR\s+{_KIND}\s+PREWARM\s+JOBS(?:\s+(?!(?:JOB|TIMEOUT)\b){_PATH})?(?:\s+JOB\s+(?P<id>'[^']+'))?(?:\s+TIMEOUT\s+(?P<seconds>\d+))?", wait),
             (rf"(?:CHECKPOINT|COMPACT)\s+{_KIND}\s+{_PATH}", checkpoint),
             (rf"TRUNCATE\s+{_KIND}\s+TIME\s+TRAVEL\s+{_PATH}(?P<dry>\s+DRY\s+RUN)?", truncate),
-            (rf"BUILD\s+{_KIND}\s+COMPANION\s+FOR\s+(?P<kind>PARQUET|DELTA|ICEBERG)\s+{_PATH}(?:\s+INDEXING\s+MODES\s*\((?P<modes>[^)]*)\))?\s+AT\s+LOCATION\s+(?P<index>'[^']+'){_WHERE}(?:\s+WITH\s+STREAMING\s+POLL\s+INTERVAL\s+(?P<seconds>\d+)\s+(?P<unit>SECONDS?|MINUTES?))?(?P<dry>\s+DRY\s+RUN)?", build),
-            (rf"SET\s+{_KIND}\s+TABLE\s+ROOT\s+(?P<root>'[^']+')\s+(?:FOR|AT)\s+{_PATH}", root),
-            (rf"UNSET\s+{_KIND}\s+TABLE\s+ROOT\s+(?:FOR|AT)\s+{_PATH}", root),
+            (
+                rf"BUILD\s+{_KIND}\s+COMPANION\s+FOR\s+(?P<kind>PARQUET|DELTA|ICEBERG)\s+{_PATH}(?:\s+SCHEMA\s+SOURCE\s+(?P<schema>{_STRING}))?(?:\s+CATALOG\s+(?P<catalog>{_STRING})(?:\s+TYPE\s+(?P<type>{_STRING}))?)?"
+                rf"(?:\s+WAREHOUSE\s+(?P<warehouse>{_STRING}))?(?:\s+INCLUDE\s+COLUMNS\s*{_list('include')})?(?:\s+EXCLUDE\s+COLUMNS\s*{_list('exclude')})?(?:\s+INDEXING\s+MODES\s*{_list('modes')})?"
+                rf"(?:\s+FASTFIELDS\s+MODE\s+(?P<fast>HYBRID|DISABLED|PARQUET_ONLY))?(?:\s+HASHED\s+FASTFIELDS\s+(?P<hashed_how>INCLUDE|EXCLUDE)\s*{_list('hashed')})?(?:\s+TARGET\s+INPUT\s+SIZE\s+(?P<size>\w+|{_STRING}))?"
+                rf"(?:\s+WRITER\s+HEAP\s+SIZE\s+(?P<heap>\w+|{_STRING}))?(?:\s+FROM\s+VERSION\s+(?P<version>\d+))?(?:\s+FROM\s+SNAPSHOT\s+(?P<snapshot>\d+))?{_WHERE}(?P<all>\s+INVALIDATE\s+ALL\s+PARTITIONS)?"
+                rf"(?:\s+TABLE\s+ROOTS\s*{_list('roots')})?\s+AT\s+LOCATION\s+(?P<index>{_STRING})(?:\s+WHERE\s+(?P<where2>.+?))?(?P<dry>\s+DRY\s+RUN)?"
+                r"(?:\s+WITH\s+STREAMING\s+POLL\s+INTERVAL\s+(?P<seconds>\d+)\s+(?P<unit>SECONDS?|MINUTES?))?(?P<dry2>\s+DRY\s+RUN)?",
+                build,
+            ),
+            (rf"SET\s+{_KIND}\s+TABLE\s+ROOT\s+(?:(?P<name>{_STRING})\s*=\s*)?(?P<root>{_STRING})\s+(?:FOR|AT)\s+{_PATH}", root),
+            (rf"UNSET\s+{_KIND}\s+TABLE\s+ROOT\s+(?:(?P<name>{_STRING})\s+)?(?:FOR|AT)\s+{_PATH}", root),
             (rf"DESCRIBE\s+{_KIND}\s+TABLE\s+ROOTS\s+(?:FOR|AT)\s+{_PATH}", roots),
             (rf"(?P<what>ENABLE|DISABLE|DESCRIBE|RESET)\s+{_KIND}\s+PROFILER(?:\s+CACHE)?", profiler),
         ]

@@ -21,13 +21,13 @@ SOURCE = "__source"
 MODES = ("text", "string", "ip", "exact_only", "text_uuid_exactonly", "text_uuid_strip", "text_custom_exactonly", "text_custom_strip")
 
 
-def list_source(spark: SparkSession, path: str, kind: str = "parquet") -> list[tuple[str, int, int]]:
+def list_source(spark: SparkSession, path: str, kind: str = "parquet", options: dict | None = None) -> list[tuple[str, int, int]]:
     """(file, bytes, modified ms) of the source. delta and iceberg need their own jar on the class path; their files never change."""
     if kind == "parquet":
         fs = FileSystem(spark, path)
         return [(p, n, t) for p, n, t in fs.files() if p.endswith(".parquet") and not any(x.startswith(("_", ".")) for x in p.split("/"))]
     if kind in ("delta", "iceberg"):
-        files = spark.read.format(kind).load(path).inputFiles()
+        files = spark.read.format(kind).options(**(options or {})).load(path).inputFiles()
         return [(f, 0, 0) for f in files]
     raise ValueError(f"unknown source: {kind}")
 
@@ -64,22 +64,24 @@ def plan_groups(files: list[tuple[str, int]], groups: int) -> list[list[str]]:
     return [own for _, _, own in loads if own]
 
 
-def sync(spark: SparkSession, source: str, index: str, modes: dict[str, str], kind: str = "parquet", where: str | None = None, max_files_per_commit: int = 100, dry_run: bool = False, columns: list[str] | None = None, config: dict | None = None) -> dict:
+def sync(spark: SparkSession, source: str, index: str, modes: dict[str, str], kind: str = "parquet", where: str | None = None, max_files_per_commit: int = 100, dry_run: bool = False, columns: list[str] | None = None, exclude: list[str] | None = None, hashed: tuple[str, list[str]] | None = None, schema_source: str | None = None, target_bytes: int | None = None, reader_options: dict | None = None, again: bool = False, config: dict | None = None) -> dict:
     """Brings the index at ``index`` up to date with ``source``. Counts of files added (or changed), removed and kept.
 
     The log holds size and time of every file that was read, rows or not. A file of another size or time is read again, and its old rows go in the
-    commit that adds its new ones. ``columns``: what the index stores beside its own columns; all if not given.
+    commit that adds its new ones. ``columns``: what the index stores beside its own columns, all if not given, without ``exclude``. ``hashed``:
+    (INCLUDE or EXCLUDE, columns), the text columns that get a hash column for equality. ``schema_source``: a file whose schema the source is read with.
+    ``target_bytes``: source bytes a commit. ``again``: read all files again.
     """
     table = Table(spark, index)
     snap = table.snapshot() if table.exists() else None
     if snap and snap.metadata["config"].get("source") not in (None, source):
         raise TableError(f"the index belongs to {snap.metadata['config']['source']}")
-    listed = list_source(spark, source, kind)
+    listed = list_source(spark, source, kind, reader_options)
     known = [(x["path"], x["size"], x["modified"]) for x in snap.sources.values()] if snap else []
     schema, key = "file string, size long, modified long", ["file", "size", "modified"]
     now, done = spark.createDataFrame(listed, schema), spark.createDataFrame(known, schema)
-    new = [tuple(r) for r in now.join(done, key, "left_anti").collect()]  # files, not rows
-    old = {r["file"] for r in done.join(now, key, "left_anti").collect()}
+    new = list(listed) if again else [tuple(r) for r in now.join(done, key, "left_anti").collect()]  # files, not rows
+    old = {f for f, _, _ in known} if again else {r["file"] for r in done.join(now, key, "left_anti").collect()}
     gone = old - {f for f, _, _ in new}
     out = {"added": len(new), "removed": len(gone), "kept": len(listed) - len(new), "version": snap.version if snap else -1}
     if dry_run:
@@ -94,19 +96,24 @@ def sync(spark: SparkSession, source: str, index: str, modes: dict[str, str], ki
         out["version"] = table._commit(lambda now: without(now, gone))
     sizes = {f: (n, t) for f, n, t in new}
     fs = FileSystem(spark, source)
-    for group in plan_groups([(f, n) for f, n, _ in new], -(-len(new) // max_files_per_commit)) if new else []:
+    commits = max(-(-len(new) // max_files_per_commit), -(-sum(n for _, n, _ in new) // target_bytes) if target_bytes else 1)
+    given = spark.read.parquet(schema_source).schema if schema_source else None
+    for group in plan_groups([(f, n) for f, n, _ in new], commits) if new else []:
         paths = [f if "://" in f or f.startswith("/") else f"{source.rstrip('/')}/{f}" for f in group]
         reader = spark.read.option("basePath", source) if kind == "parquet" else spark.read
-        df = reader.parquet(*paths)
-        if columns is not None:
-            missing = [c for c in columns if c not in df.columns]
-            if missing:
-                raise TableError(f"columns that the source lacks: {', '.join(missing)}")
-            df = df.select(*[F.col(name(c)) for c in columns], F.col("_metadata"))
+        df = (reader.schema(given) if given else reader).parquet(*paths)
+        missing = [c for c in [*(columns or ()), *(exclude or ()), *modes, *(hashed[1] if hashed else ())] if c not in df.columns]
+        if missing:
+            raise TableError(f"columns that the source lacks: {', '.join(missing)}")
+        texts = [f.name for f in df.schema.fields if f.dataType.typeName() == "string"]
+        kept = [c for c in (columns or df.columns) if c not in (exclude or ())]
+        df = df.select(*[F.col(name(c)) for c in dict.fromkeys([*kept, *modes])], F.col("_metadata"))
         one = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
         names = spark.createDataFrame([(fs.fs.makeQualified(fs.jvm.org.apache.hadoop.fs.Path(p)).toUri().toString() if kind == "parquet" else p, f) for p, f in zip(paths, group)], f"__path string, {SOURCE} string")
         df = df.withColumn("__file", one(F.col("_metadata.file_path"))).join(F.broadcast(names.withColumn("__path", one(F.col("__path")))), F.col("__file") == F.col("__path"))  # max_files_per_commit rows
         df = apply_modes(df.drop("__file", "__path", "_metadata"), modes)
+        for c in [c for c in texts if c in df.columns and (c in hashed[1]) == (hashed[0] == "INCLUDE")] if hashed else []:
+            df = df.withColumn(f"__hash_{c}", exact_hash(c))
         if where:
             df = df.filter(where)
         seen = [{"source": {"path": f, "size": sizes[f][0], "modified": sizes[f][1]}} for f in group]
