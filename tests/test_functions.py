@@ -21,13 +21,13 @@ def test_stems():
 
 
 def test_histograms(spark):
-    df = spark.createDataFrame([(float(p), q) for p, q in zip([15, 25, 35, 55, 75, 85, 95, 150], range(8))], "price double, quantity int")
-    assert {r.bucket: r.doc_count for r in buckets.bucket_counts(df, buckets.histogram("price", 50)).collect()} == {0.0: 3, 50.0: 4, 150.0: 1}
-    filled = buckets.fill_histogram(buckets.bucket_counts(df, buckets.histogram("price", 50)), 50)
-    assert {r.bucket: r.doc_count for r in filled.collect()} == {0.0: 3, 50.0: 4, 100.0: 0, 150.0: 1}
-    assert {r.bucket for r in buckets.bucket_counts(df, buckets.histogram("price", 50, 10)).collect()} == {10.0, 60.0, 110.0}
-    tiers = buckets.range_bucket("price", ("cheap", None, 50), ("mid", 50, 100), ("dear", 100, None))
-    assert {r.bucket: r.doc_count for r in buckets.bucket_counts(df, tiers).collect()} == {"cheap": 3, "mid": 4, "dear": 1}
+    df = spark.createDataFrame([(float(d), f"s{i % 2}") for i, d in enumerate([-4, 3, 8, 11, 12, 29, 30, 61, 62, 63])], "depth double, site string")
+    assert {r.bucket: r.doc_count for r in buckets.bucket_counts(df, buckets.histogram("depth", 12)).collect()} == {-12.0: 1, 0.0: 3, 12.0: 1, 24.0: 2, 60.0: 3}
+    filled = buckets.fill_histogram(buckets.bucket_counts(df, buckets.histogram("depth", 12)), 12)
+    assert {r.bucket: r.doc_count for r in filled.collect()} == {-12.0: 1, 0.0: 3, 12.0: 1, 24.0: 2, 36.0: 0, 48.0: 0, 60.0: 3}
+    assert {r.bucket for r in buckets.bucket_counts(df, buckets.histogram("depth", 12, 5)).collect()} == {-7.0, 5.0, 29.0, 53.0}
+    zones = buckets.range_bucket("depth", ("shore", None, 8), ("shelf", 8, 30), ("slope", 30, 62))
+    assert {r.bucket: r.doc_count for r in buckets.bucket_counts(df, zones).collect()} == {"shore": 2, "shelf": 4, "slope": 2}  # 62 and 63 are in no range
     for bad in [lambda: buckets.histogram("p", 0), lambda: buckets.range_bucket("p"), lambda: buckets.range_bucket("p", ("a", 1, 5), ("b", 4, 6)), lambda: buckets.range_bucket("p", ("a", None, None)), lambda: buckets.date_histogram("t", "1y")]:
         with pytest.raises(ValueError):
             bad()

@@ -13,11 +13,11 @@ from skyquill.plans.sql_rewrite import rewrite
 @pytest.fixture(scope="module")
 def docs(spark):
     rows = [
-        (1, "Apache Spark makes machine learning at scale", "active", "tech"),
-        (2, "deep learning with ConfigurationManager", "inactive", "ai"),
-        (3, "spark streaming; Kafka config", "active", "tech"),
-        (4, "learning to cook: user@example.com", "pending", "food"),
-        (5, None, "active", None),
+        (1, "Northern lights guide harbour pilots at scale", "open", "sea"),
+        (2, "night pilots with RadarCalibrator", "closed", "air"),
+        (3, "lights streaming; Buoy radar", "open", "sea"),
+        (4, "pilots to cook: chef@galley.org", "waiting", "kitchen"),
+        (5, None, "open", None),
     ]
     return spark.createDataFrame(rows, "id int, content string, status string, category string")
 
@@ -29,10 +29,10 @@ def ids(df):
 @pytest.mark.parametrize(
     ("query", "expected"),
     [
-        ("spark", [1, 3]), ("SPARK", [1, 3]), ("learning", [1, 2, 4]), ("spark AND kafka", [3]), ("spark kafka", [3]), ("kafka OR deep", [2, 3]), ("NOT learning", [3, 5]),
-        ("(spark OR deep) AND NOT kafka", [1, 2]), ('"machine learning"', [1]), ('"learning machine"', []), ("config*", [2, 3]), ("*manager", [2]), ("con*ager", [2]), ("con?ig", [3]),
-        ("sprak~2", [1, 3]), ("kafca~1", [3]), ("user", [4]), ("user@example.com", [4]), ("", [1, 2, 3, 4, 5]), ("*", [1, 2, 3, 4, 5]), ("content:*", [1, 2, 3, 4]), ("NOT content:*", [5]),
-        ("-spark learning", [2, 4]), ("spark AND *config", [3]),
+        ("lights", [1, 3]), ("LIGHTS", [1, 3]), ("pilots", [1, 2, 4]), ("lights AND buoy", [3]), ("lights buoy", [3]), ("buoy OR night", [2, 3]), ("NOT pilots", [3, 5]),
+        ("(lights OR night) AND NOT buoy", [1, 2]), ('"harbour pilots"', [1]), ('"pilots harbour"', []), ("radar*", [2, 3]), ("*calibrator", [2]), ("rad*ator", [2]), ("ra?ar", [3]),
+        ("lihgts~2", [1, 3]), ("buoi~1", [3]), ("chef", [4]), ("chef@galley.org", [4]), ("", [1, 2, 3, 4, 5]), ("*", [1, 2, 3, 4, 5]), ("content:*", [1, 2, 3, 4]), ("NOT content:*", [5]),
+        ("-lights pilots", [2, 4]), ("lights AND *radar", [3]),
     ],
 )
 def test_text_queries(docs, query, expected):
@@ -40,13 +40,13 @@ def test_text_queries(docs, query, expected):
 
 
 def test_operators_by_kind(docs):
-    assert ids(text_search(docs, "content", "spark", text_fields=["content"])) == [1, 3]
-    assert ids(field_match(docs, "status", "active", text_fields=["content"])) == [1, 3, 5]
-    assert ids(field_match(docs, "status", "act*")) == [1, 3, 5]
+    assert ids(text_search(docs, "content", "lights", text_fields=["content"])) == [1, 3]
+    assert ids(field_match(docs, "status", "open", text_fields=["content"])) == [1, 3, 5]
+    assert ids(field_match(docs, "status", "op*")) == [1, 3, 5]
     with pytest.raises(FieldError):
-        text_search(docs, "status", "active", text_fields=["content"])
+        text_search(docs, "status", "open", text_fields=["content"])
     with pytest.raises(FieldError):
-        field_match(docs, "content", "spark", text_fields=["content"])
+        field_match(docs, "content", "lights", text_fields=["content"])
     with pytest.raises(FieldError):
         search(docs, "nosuch:x")
     with pytest.raises(FieldError):
@@ -56,8 +56,8 @@ def test_operators_by_kind(docs):
 
 
 def test_all_fields(docs):
-    assert ids(search(docs, "tech", text_fields=["content"])) == [1, 3]
-    assert ids(search(docs, "active AND spark", text_fields=["content"])) == [1, 3]
+    assert ids(search(docs, "sea", text_fields=["content"])) == [1, 3]
+    assert ids(search(docs, "open AND lights", text_fields=["content"])) == [1, 3]
     wide = docs.select("id", *[F.lit("x").alias(f"c{i}") for i in range(11)])
     with pytest.raises(FieldError):
         search(wide, "x")
@@ -98,7 +98,7 @@ def test_ip_fields(spark):
 
 def test_indexed_equals_on_read(spark, docs):
     indexed = index_fields(docs, {"content": "text"})
-    for q in ["spark", "learning AND NOT deep", "con*", '"apache spark"', "kafca~1"]:
+    for q in ["lights", "pilots AND NOT night", "rad*", '"northern lights"', "buoi~1"]:
         assert ids(search(indexed, q, "content")) == ids(search(docs, q, "content", text_fields=["content"]))
     stemmed = index_fields(docs, {"content": "text"}, {"content": "en_stem"})
     assert ids(search(stemmed, "scales streamed", "content", default_operator="OR")) == [1, 3]
@@ -107,13 +107,13 @@ def test_indexed_equals_on_read(spark, docs):
 def test_sql_operators(spark, docs):
     docs.createOrReplaceTempView("docs")
     run = lambda text: ids(search_sql(spark, text, docs, text_fields=["content"]))
-    assert run("SELECT id FROM docs WHERE content TEXTSEARCH 'spark'") == [1, 3]
-    assert run("select id from docs d where d.content textsearch 'spark' and status FIELDMATCH 'active'") == [1, 3]
-    assert run("SELECT id FROM docs WHERE NOT (content INDEXQUERY 'spark') OR id = 1") == [1, 2, 4, 5]
-    forms = ["* INDEXQUERY 'tech'", "_indexall indexquery 'tech'", "indexqueryall('tech')", "`category` FIELDMATCH 'tech'"]
+    assert run("SELECT id FROM docs WHERE content TEXTSEARCH 'lights'") == [1, 3]
+    assert run("select id from docs d where d.content textsearch 'lights' and status FIELDMATCH 'open'") == [1, 3]
+    assert run("SELECT id FROM docs WHERE NOT (content INDEXQUERY 'lights') OR id = 1") == [1, 2, 4, 5]
+    forms = ["* INDEXQUERY 'sea'", "_indexall indexquery 'sea'", "indexqueryall('sea')", "`category` FIELDMATCH 'sea'"]
     assert all(run(f"SELECT id FROM docs WHERE {f}") == [1, 3] for f in forms)
     assert run("SELECT count(*) AS id FROM docs WHERE content TEXTSEARCH 'it''s'") == [0]
-    assert run("WITH h AS (SELECT * FROM docs WHERE content TEXTSEARCH 'learning') SELECT h.id FROM h JOIN docs d ON h.id = d.id") == [1, 2, 4]
+    assert run("WITH h AS (SELECT * FROM docs WHERE content TEXTSEARCH 'pilots') SELECT h.id FROM h JOIN docs d ON h.id = d.id") == [1, 2, 4]
 
 
 def test_rewrite_leaves_literals_and_names():
@@ -144,7 +144,7 @@ def test_random_boolean_queries_match_brute_force(spark):
 
 
 def test_plan_stays_in_spark(docs):
-    plan = search(docs, "spark AND con*", "content", text_fields=["content"])._jdf.queryExecution().toString()
+    plan = search(docs, "lights AND rad*", "content", text_fields=["content"])._jdf.queryExecution().toString()
     assert "Python" not in plan and "ArrowEval" not in plan
 
 
