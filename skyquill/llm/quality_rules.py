@@ -87,13 +87,13 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return df.withColumn("n_repeat_words", covered.cast("long")).drop("_h", "_d", "_s", "_q", "_p")
 
 
-def lines_of(docs: DataFrame, id_col: str, host_col: str, text_col: str) -> DataFrame:
-    """_host, _d1, _d2 (the text), _id, _line (hash) and _words, a row for each place."""
-    df = docs.select(_host(host_col).alias("_host"), *_print(_text(text_col)), F.col(id_col).alias("_id"), _text(text_col).alias("_t"))
-    flat = F.when(F.col("_t").rlike(r"[\x09\x0B-\x0D]|\x20\x20"), F.regexp_replace("_t", r"[\x09\x0B-\x0D\x20]+", " ")).otherwise(F.col("_t"))
-    df = df.withColumn("_n", F.filter(F.transform(F.split(F.lower(flat), "\n"), lambda x: F.trim(x)), lambda x: x != ""))
+def _lines(text: str) -> Column:
+    """(_line, _words) of each normalised line of a text: its hash and its number of words."""
+    t = F.col(text)
+    flat = F.when(t.rlike(r"[\x09\x0B-\x0D]|\x20\x20"), F.regexp_replace(t, r"[\x09\x0B-\x0D\x20]+", " ")).otherwise(t)
+    lines = F.filter(F.transform(F.split(F.lower(flat), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     words = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1
-    return df.select("_host", "_d1", "_d2", "_id", F.inline(F.transform("_n", lambda x: F.struct(F.xxhash64(x).alias("_line"), words(x).alias("_words")))))
+    return F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("_line"), words(x).alias("_words")))
 
 
 def frequent_lines(lines: DataFrame, copies: DataFrame, max_docs: int, max_share: float) -> DataFrame:
@@ -119,16 +119,20 @@ def judge(
     min_left_share: float = MIN_LEFT_SHARE,
     with_key: bool = False,
 ) -> DataFrame:
-    """Statistics, n_removed_words, base_failed and kept for every row of ``docs``; ``with_key``: also _host, _d1 and _d2."""
-    lines = lines_of(docs, id_col, host_col, text_col)
+    """Statistics, n_removed_words, base_failed and kept for every row of ``docs``; ``with_key``: also _host, _d1 and _d2.
+
+    Texts are read once: their statistics and lines are written to the shared folder first, a small part of their size.
+    """
     key = ["_host", "_d1", "_d2"]
-    place = [_host(host_col).alias("_host"), *_print(_text(text_col))]
-    copies = docs.select(*place).groupBy(*key).agg(F.count(F.lit(1)).alias("_rows"))
+    texts = docs.select(F.col(id_col).alias("_id"), _text(text_col).alias("_text"), _host(host_col).alias("_host"))
+    texts = texts.select("*", *_print(F.col("_text")), _lines("_text").alias("_lines"))
+    base = materialise(text_statistics(texts, "_id", "_text", [*key, "_lines"]), "quality-lines")
+    lines = base.select(*key, F.col("doc_id").alias("_id"), F.inline("_lines"))
+    copies = base.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows"))
     often = frequent_lines(lines, copies, max_docs, max_share)
     removed = lines.join(often, ["_host", "_line"]).filter((F.col("_d1") != F.col("_k1")) | (F.col("_d2") != F.col("_k2"))).groupBy(*key).agg(F.sum("_words").alias("_removed"))
     removed = removed.join(copies, key).select(*key, F.expr("_removed div _rows").alias("_removed"))
-    stats = text_statistics(docs.select("*", *place), id_col, text_col, key)
-    out = stats.join(removed, key, "left").withColumn("n_removed_words", F.coalesce("_removed", F.lit(0)).cast("long"))
+    out = base.drop("_lines").join(removed, key, "left").withColumn("n_removed_words", F.coalesce("_removed", F.lit(0)).cast("long"))
     left = F.col("n_words") - F.col("n_removed_words")
     out = out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     kept = ~F.col("base_failed") & (left >= min_left_words) & (left >= F.col("n_words") * F.lit(min_left_share))
