@@ -7,8 +7,9 @@ goes (anti-join of the whole hashes against all prefix hashes); of equal convers
 stays. The maximal ones are rendered.
 
 Running xors are taken within blocks of ``BLOCK`` turn numbers and then across blocks, so a conversation with very many turns
-is spread over tasks; equal conversations and equal prefixes meet as partial aggregates. A conversation is rendered
-in parts of one block each: joined in the order of ``part``, they are its whole text.
+is spread over tasks; equal conversations and equal prefixes meet as partial aggregates. Only hashes are shuffled for all this; texts
+are shuffled once, those of the maximal conversations. A conversation is rendered as one row, ``part`` 0, if its turn numbers are under
+``PART``; a longer one in parts of ``PART`` turn numbers, which joined in their order are its whole text, so no task has to hold an unbounded one.
 
 Defined cases: a null conversation id is one conversation; null turns come first; a null role or text is rendered as
 ``unknown`` or empty; repeated rows count once; further columns are ignored; empty tables give empty results. ``<|`` in a
@@ -24,12 +25,17 @@ from pyspark.sql import functions as F
 from skyquill.llm.common import table
 
 BLOCK = 64
+PART = 1024
 
 
 def _rows(df: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
-    df = df.select(F.col(conv).alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).cast("string").alias("role"), F.col(text).cast("string").alias("text")).distinct()
+    df = df.select(F.col(conv).alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).cast("string").alias("role"), F.col(text).cast("string").alias("text"))
     key = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("-"))
-    return df.select(key.alias("_k"), "*", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(2**62))).cast("long").alias("_b"))
+    return df.select(key.alias("_k"), "*")
+
+
+def _block(size: int):
+    return F.coalesce(F.floor(F.col("turn") / size), F.lit(-(2**62))).cast("long")
 
 
 def maximal(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -38,7 +44,7 @@ def maximal(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str
     # nulls and field borders are told apart by what is put before each value
     mark = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
     parts = [mark("turn"), mark("role"), mark("text")]
-    rows = rows.select("_k", "conv_id", "_b", F.coalesce("turn", F.lit(-(2**62))).alias("_t"), F.xxhash64(*parts).alias("_x"), F.xxhash64(F.lit("second"), *parts).alias("_y"))
+    rows = rows.select("_k", "conv_id", _block(BLOCK).alias("_b"), F.coalesce("turn", F.lit(-(2**62))).alias("_t"), F.xxhash64(*parts).alias("_x"), F.xxhash64(F.lit("second"), *parts).alias("_y")).distinct()
     blocks = rows.groupBy("_k", "conv_id", "_b").agg(F.count(F.lit(1)).alias("_n"), F.expr("bit_xor(_x)").alias("_bx"), F.expr("bit_xor(_y)").alias("_by"))
     before = W.partitionBy("_k").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     offsets = blocks.select(
@@ -60,12 +66,11 @@ def maximal(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str
 def render(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """conv_id, part, n_rows (of the conversation), n_same, n_turns (of the part), text of the maximal conversations."""
     kept = maximal(df, conv, turn, role, text).select("_k", "n_rows", "n_same")
-    rows = _rows(df, conv, turn, role, text).join(kept, "_k")
-    clean = F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |"))
-    line = F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"), clean, F.lit("<|end|>\n"))
-    out = rows.select("_k", "conv_id", "_b", "n_rows", "n_same", F.struct("turn", "role", "text", line.alias("line")).alias("_l"))
-    out = out.groupBy("_k", "conv_id", "_b", "n_rows", "n_same").agg(F.array_sort(F.collect_list("_l")).alias("_l"))
-    return out.select("conv_id", F.col("_b").alias("part"), "n_rows", "n_same", F.size("_l").cast("long").alias("n_turns"), F.array_join("_l.line", "").alias("text"))
+    rows = _rows(df, conv, turn, role, text).withColumn("_b", _block(PART)).join(kept, "_k")
+    out = rows.groupBy("_k", "conv_id", "_b", "n_rows", "n_same").agg(F.array_sort(F.collect_set(F.struct("turn", "role", "text"))).alias("_l"))
+    clean = lambda x: F.replace(F.coalesce(x, F.lit("")), F.lit("<|"), F.lit("< |"))
+    line = lambda r: F.concat(F.lit("<|"), F.coalesce(r["role"], F.lit("unknown")), F.lit("|>\n"), clean(r["text"]), F.lit("<|end|>\n"))
+    return out.select("conv_id", F.col("_b").alias("part"), "n_rows", "n_same", F.size("_l").cast("long").alias("n_turns"), F.array_join(F.transform("_l", line), "").alias("text"))
 
 
 def op10_chat_snapshot_collapse(spark, sf_dir: str) -> DataFrame:
@@ -77,7 +82,7 @@ WITH r AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
 c AS (SELECT conv_id, count(*) AS n_rows, list({{'a': turn, 'b': role, 'c': text}} ORDER BY turn, role, text) AS l FROM r GROUP BY conv_id),
 g AS (SELECT l, any_value(n_rows) AS n_rows, min(conv_id) AS conv_id, count(*) AS n_same FROM c GROUP BY l),
 k AS (SELECT * FROM g a WHERE NOT EXISTS (SELECT 1 FROM g b WHERE b.n_rows > a.n_rows AND b.l[1] = a.l[1] AND b.l[1:a.n_rows] = a.l))
-SELECT conv_id, CAST(floor(turn / {BLOCK}.0) AS BIGINT) AS part, n_rows, n_same, count(*) AS n_turns,
+SELECT conv_id, CAST(floor(turn / {PART}.0) AS BIGINT) AS part, n_rows, n_same, count(*) AS n_turns,
        string_agg('<|' || role || '|>' || chr(10) || replace(text, '<|', '< |') || '<|end|>' || chr(10), '' ORDER BY turn, role, text) AS text
 FROM r JOIN k USING (conv_id) GROUP BY ALL
 """

@@ -112,7 +112,8 @@ def test_urls(spark):
     assert url_filter.judge_urls(df, "page_id", "url").count() == 2 and url_filter.judge_urls(df.limit(0), "page_id", "url").count() == 0
 
 
-def test_chat_keeps_maximal_conversations(spark):
+def test_chat_keeps_maximal_conversations(spark, monkeypatch):
+    monkeypatch.setattr(chat, "PART", 64)
     a = [(0, "user", "hi"), (1, "assistant", "hello"), (2, "user", "bye")]
     convs = {1: a[:2], 2: a, 3: a, 4: [(0, "user", "hi"), (1, "assistant", "other")], 5: a[:1], 6: [(None, None, None)], 7: [(i, "user", f"m{i}") for i in range(200)], 8: [(i, "user", f"m{i}") for i in range(130)], 9: [(0, "user", "x<|end|>")]}
     data = [(c, t, r, x, "extra") for c, turns in convs.items() for t, r, x in turns] * 2
@@ -124,6 +125,9 @@ def test_chat_keeps_maximal_conversations(spark):
     assert text == "".join(f"<|user|>\nm{i}<|end|>\n" for i in range(200))
     assert next(r.text for r in out if r.conv_id == 9) == "<|user|>\nx< |end|><|end|>\n" and next(r.text for r in out if r.conv_id == 6) == "<|unknown|>\n<|end|>\n"
     assert chat.render(df.limit(0)).count() == 0
+    monkeypatch.setattr(chat, "PART", 1024)
+    whole = chat.render(df).collect()
+    assert len(whole) == len({r.conv_id for r in whole}) == 5 and next(r.text for r in whole if r.conv_id == 7) == text
 
 
 def test_chat_matches_brute_force(spark):
