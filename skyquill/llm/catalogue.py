@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-from skyquill.llm import chat, decontaminate, html_text, jaccard_join, language_model, mixing, quality_model, quality_rules, toxicity, url_filter
+from skyquill.llm import chat, decontaminate, html_text, jaccard_join, language_model, mixing, pipeline, quality_model, quality_rules, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -18,7 +17,7 @@ def queries() -> dict:
         "op8_recurrent_lm": language_model.op8_recurrent_lm,
         "op9_subword_quality": quality_model.op9_subword_quality,
         "op10_chat_snapshot_collapse": chat.op10_chat_snapshot_collapse,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
     }
 
 

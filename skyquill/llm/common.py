@@ -41,15 +41,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
 
 
 def discard(df: DataFrame) -> None:
     """Delete the files of a materialised frame whose readers are done."""
     spark = df.sparkSession
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for file in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(file).getParent()
+    path = getattr(df, "_folder", None)
+    if path is not None:
+        path = jvm.org.apache.hadoop.fs.Path(path)
         path.getFileSystem(conf).delete(path, True)
 
 
