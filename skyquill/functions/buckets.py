@@ -82,9 +82,30 @@ def fill_histogram(counts: DataFrame, width: float, label: str = "bucket", bound
     return grid.join(counts, label, "left").na.fill(0, ["doc_count"])
 
 
+#: Microseconds of the units of an interval's text.
+_UNITS = {"ms": 1_000, "s": 1_000_000, "m": 60_000_000, "h": 3_600_000_000, "d": 86_400_000_000, "w": 604_800_000_000}
+
+
+def _micros(text: str) -> str:
+    """SQL for the microseconds of '15m', '1h', '-6h'; digits alone are microseconds. Catalyst folds it for literals."""
+    unit = " ".join(f"WHEN '{u}' THEN {n}" for u, n in _UNITS.items())
+    return f"(CAST(regexp_extract({text}, '^([+-]?[0-9]+)(ms|s|m|h|d|w)?$', 1) AS BIGINT) * CASE regexp_extract({text}, '^([+-]?[0-9]+)(ms|s|m|h|d|w)?$', 2) {unit} ELSE 1 END)"
+
+
 def register(spark: SparkSession) -> None:
-    """SQL functions: sq_histogram(x, width, offset), sq_date_histogram(ts, step in microseconds, offset). Catalyst inlines them."""
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION sq_histogram(x DOUBLE, width DOUBLE, off DOUBLE DEFAULT 0.0) RETURNS DOUBLE RETURN floor((x - off) / width) * width + off")
-    spark.sql(
-        "CREATE OR REPLACE TEMPORARY FUNCTION sq_date_histogram(ts TIMESTAMP, step BIGINT, off BIGINT DEFAULT 0) RETURNS TIMESTAMP RETURN timestamp_micros(unix_micros(ts) - pmod(unix_micros(ts) - off, step))"
-    )
+    """SQL functions, which Catalyst inlines.
+
+    ``sq_histogram(x, width, offset)``; ``sq_date_histogram(ts, '1h', '15m')``, with numbers in microseconds; ``sq_range_bucket(x, names, lows, highs)``, NULL bounds being
+    open; ``sq_match(text, words)`` and ``sq_match_phrase(text, words)`` on tokens; and the table function ``sq_tokens(text)``.
+    """
+    from skyquill.functions.text import token_sql
+
+    make = lambda text: spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {text}")
+    make("sq_histogram(x DOUBLE, width DOUBLE, off DOUBLE DEFAULT 0.0) RETURNS DOUBLE RETURN floor((x - off) / width) * width + off")
+    make(f"sq_date_histogram(ts TIMESTAMP, step STRING, off STRING DEFAULT '0') RETURNS TIMESTAMP RETURN timestamp_micros(unix_micros(ts) - pmod(unix_micros(ts) - {_micros('off')}, {_micros('step')}))")
+    inside = "x IS NOT NULL AND (r.lows IS NULL OR x >= r.lows) AND (r.highs IS NULL OR x < r.highs)"
+    make(f"sq_range_bucket(x DOUBLE, names ARRAY<STRING>, lows ARRAY<DOUBLE>, highs ARRAY<DOUBLE>) RETURNS STRING RETURN get(filter(arrays_zip(names, lows, highs), r -> {inside}), 0).names")
+    own, asked = token_sql("t"), token_sql("q")
+    make(f"sq_match(t STRING, q STRING) RETURNS BOOLEAN RETURN coalesce(size({asked}) > 0 AND forall({asked}, w -> array_contains({own}, w)), false)")
+    make(f"sq_match_phrase(t STRING, q STRING) RETURNS BOOLEAN RETURN coalesce(size({asked}) > 0 AND contains(concat(' ', array_join({own}, ' '), ' '), concat(' ', array_join({asked}, ' '), ' ')), false)")
+    make(f"sq_tokens(t STRING) RETURNS TABLE (token STRING) RETURN SELECT explode({own}) AS token")

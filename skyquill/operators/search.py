@@ -32,9 +32,12 @@ def condition(df: DataFrame, query: str, column: str | None = None, mode: str =
 
 
 def search(df: DataFrame, query: str, column: str | None = None, mode: str = "indexquery", max_rows: int | None = None, **options) -> DataFrame:
-    """Rows that match. ``max_rows`` is off unless asked for."""
+    """Rows that match. ``max_rows`` is off unless asked for; its first round then reads as many partitions as there are cores."""
     out = df.filter(condition(df, query, column, mode, **options))
-    return out if max_rows is None else out.limit(max_rows)
+    if max_rows is None:
+        return out
+    df.sparkSession.conf.set("spark.sql.limit.initialNumPartitions", str(df.sparkSession.sparkContext.defaultParallelism))
+    return out.limit(max_rows)
 
 
 def text_search(df: DataFrame, column: str | None, query: str, **options) -> DataFrame:

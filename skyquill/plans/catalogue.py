@@ -686,3 +686,167 @@ def stmt_companion(spark, c, table):
     from skyquill.sources.companion import exact_in_index
 
     return exact_in_index(Table(spark, index).read(), "n_name", "NATION_2").select("n_nationkey")
+
+
+# ---- further constructs of searches, functions and tables
+
+
+@query("SELECT p_partkey FROM part WHERE p_brand = 'Brand#12' OR p_size >= 45")
+def search_struct_field(spark, t):
+    """Fields of a struct."""
+    p = t("part").select("p_partkey", F.struct(F.col("p_brand").alias("b"), F.col("p_size").alias("s")).alias("info"))
+    return search(p, 'info.b:"Brand#12" OR info.s:>=45').select("p_partkey")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE (l_returnflag = 'R' OR l_linestatus = 'R') AND NOT (l_returnflag = 'O' OR l_linestatus = 'O')")
+def search_array(spark, t):
+    """Elements of an array."""
+    rows = t("lineitem").select("l_orderkey", "l_linenumber", F.array("l_returnflag", "l_linestatus").alias("flags"))
+    return search(rows, "flags:R AND NOT flags:O").select("l_orderkey", "l_linenumber")
+
+
+@query(f"SELECT conv_id, turn FROM conversations WHERE list_contains({TOK}, 'the') OR role = 'user'")
+def textsearch_all(spark, t):
+    """All tokenized fields at once."""
+    from skyquill.operators.search import text_search
+
+    return text_search(t("conversations"), None, "the OR user", text_fields=["text", "role"]).select("conv_id", "turn")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' OR c_name = 'BUILDING'")
+def fieldmatch_all(spark, t):
+    """All fields of whole values at once."""
+    from skyquill.operators.search import field_match
+
+    return field_match(t("customer"), None, "BUILDING").select("c_custkey")
+
+
+@query(f"SELECT doc_id FROM documents WHERE list_contains({TOK}, 'that') AND len(list_filter({TOK}, lambda t: t LIKE '%thless')) > 0 AND NOT len(list_filter({TOK}, lambda t: t LIKE '%ron')) > 0")
+def search_leading_wildcard(spark, t):
+    """Leading wildcards inside a boolean."""
+    return _texts(t("documents"), "that AND *thless AND NOT *ron").select("doc_id")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey < 256 AND c_custkey <> 17")
+def ip_v6(spark, t):
+    """IPv6 addresses: a block, and one address in another spelling."""
+    c = t("customer").withColumn("ip", F.concat(F.lit("2001:DB8::"), F.lower(F.hex("c_custkey"))))
+    c = c.withColumn("key", ip_key("ip"))
+    return search(c, '"2001:db8::/120" AND NOT "2001:0db8:0:0:0:0:0:11"', "ip", specs={"ip": FieldSpec("ip", key_column="key")}).select("c_custkey")
+
+
+_UUID_SQL = "substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) || '-' || substr(md5(CAST(doc_id AS VARCHAR)), 9, 4) || '-' || substr(md5(CAST(doc_id AS VARCHAR)), 13, 4) || '-' || substr(md5(CAST(doc_id AS VARCHAR)), 17, 4) || '-' || substr(md5(CAST(doc_id AS VARCHAR)), 21, 12)"
+
+
+@query(f"SELECT doc_id, {_UUID_SQL} AS id, 'call  of ' || lang AS rest FROM documents")
+def text_uuid(spark, t):
+    """Identifiers split off a text."""
+    from skyquill.functions.text import extract_pattern, strip_pattern
+
+    m = F.md5(F.col("doc_id").cast("string"))
+    parts = [F.substring(m, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+    d = t("documents").select("doc_id", F.concat(F.lit("call "), F.concat_ws("-", *parts), F.lit(" of "), F.col("lang")).alias("text"))
+    return d.select("doc_id", F.get(extract_pattern("text"), F.lit(0)).alias("id"), strip_pattern("text").alias("rest"))
+
+
+@query("SELECT doc_id FROM documents WHERE source = 'src1'")
+def exact_only(spark, t):
+    """Equality through a stored hash of a written table."""
+    from skyquill.functions.text import exact_equals, exact_hash
+
+    path = _shared(spark, "hashed")
+    t("documents").select("doc_id", "source", exact_hash("source").alias("h")).write.parquet(path)
+    return spark.read.parquet(path).filter(exact_equals("source", "h", "src1")).select("doc_id")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(props ->> '$.k' AS BIGINT) END AS k, CASE WHEN event_id % 3 = 0 THEN 'not ' || event_type END AS raw FROM events")
+def json_lenient(spark, t):
+    """Text that is not JSON is kept beside what is."""
+    from skyquill.functions.text import lenient_json
+
+    e = t("events").withColumn("props", F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("not "), F.col("event_type"))).otherwise(F.col("props"))).withColumn("v", lenient_json("props"))
+    return e.select("event_id", F.try_variant_get("v", "$.k", "bigint").alias("k"), F.try_variant_get("v", "$._raw", "string").alias("raw"))
+
+
+@query("SELECT CAST(floor(epoch_us(ts) / 3600000000.0) AS BIGINT) * 3600000000 AS hour, floor(value / 25) * 25 AS level, event_type, count(*) AS doc_count FROM events GROUP BY ALL")
+def hist_two_buckets(spark, t):
+    """Two buckets and a key in one GROUP BY."""
+    e = t("events").withColumn("level", buckets.histogram("value", 25))
+    out = buckets.bucket_counts(e, buckets.date_histogram("ts", "1h", "0ms"), keys=("level", "event_type"), label="hour")
+    return out.withColumn("hour", F.unix_micros("hour"))
+
+
+@query("SELECT CAST(floor((epoch_us(ts) - 900000000) / 7200000000.0) AS BIGINT) * 7200000000 + 900000000 AS start, CASE WHEN value < 10 THEN 'low' WHEN value >= 10 AND value < 60 THEN 'mid' WHEN value >= 60 THEN 'high' END AS tier, count(*) AS n FROM events GROUP BY ALL")
+def buckets_sql(spark, t):
+    """Bucket functions in SQL: an interval's text, and named ranges."""
+    buckets.register(spark)
+    t("events").select(F.col("ts").cast("timestamp").alias("ts"), "value").createOrReplaceTempView("sq_ev")
+    return spark.sql("SELECT unix_micros(sq_date_histogram(ts, '2h', '15m')) AS start, sq_range_bucket(value, array('low', 'mid', 'high'), array(NULL, 10, 60), array(10, 60, NULL)) AS tier, count(*) AS n FROM sq_ev GROUP BY ALL")
+
+
+@query(f"SELECT lang, count(*) AS n, count(*) FILTER (WHERE contains(' ' || array_to_string({TOK}, ' ') || ' ', ' of the ')) AS phrase FROM documents WHERE list_contains({TOK}, 'the') AND list_contains({TOK}, 'er') GROUP BY lang")
+def search_sql_function(spark, t):
+    """Search as SQL functions, which Catalyst inlines."""
+    buckets.register(spark)
+    t("documents").createOrReplaceTempView("sq_docs")
+    return spark.sql("SELECT lang, count(*) AS n, count_if(sq_match_phrase(text, 'Of the')) AS phrase FROM sq_docs WHERE sq_match(text, 'the er') GROUP BY lang")
+
+
+@query(f"SELECT token, count(*) AS n FROM (SELECT unnest({TOK.replace('text', 'p_name')}) AS token FROM part) GROUP BY token")
+def tokens_table_function(spark, t):
+    """A table function: a row for each token."""
+    buckets.register(spark)
+    t("part").createOrReplaceTempView("sq_parts")
+    return spark.sql("SELECT token, count(*) AS n FROM sq_parts, LATERAL sq_tokens(p_name) GROUP BY token")
+
+
+@query("SELECT c AS \"column\", low AS min, high AS max, nulls, (SELECT count(*) FROM orders) AS rows FROM (SELECT 'o_orderkey' AS c, CAST(min(o_orderkey) AS VARCHAR) AS low, CAST(max(o_orderkey) AS VARCHAR) AS high, count(*) - count(o_orderkey) AS nulls FROM orders UNION ALL SELECT 'o_orderstatus', min(o_orderstatus), max(o_orderstatus), 0 FROM orders)")
+def log_statistics(spark, t):
+    """Rows, bounds and nulls by the log alone."""
+    table = _written(spark, t("orders").select("o_orderkey", "o_orderstatus").repartitionByRange(4, "o_orderkey"))
+    return table.statistics().drop("bytes")
+
+
+@query("SELECT * FROM nation")
+def checkpoint_read(spark, t):
+    """A state that is read from a checkpoint and the versions after it."""
+    table = _written(spark, t("nation").limit(0))
+    for k in range(11):
+        table.write(t("nation").filter(F.col("n_nationkey") % 11 == k).coalesce(1))
+    assert table.last_checkpoint() == 10
+    return Table(spark, table.path).read()
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey, 2::BIGINT AS times FROM nation")
+def stream_duplicates(spark, t):
+    """Equal rows of different batches all stay, in a partitioned table."""
+    from skyquill.streaming.ingest import write_stream
+
+    source, path, state = _shared(spark, "source"), _shared(spark, "table"), _shared(spark, "state")
+    for _ in range(2):
+        t("nation").coalesce(1).write.mode("append").parquet(source)
+        write_stream(spark.readStream.schema(t("nation").schema).parquet(source), path, state, "nation", partition_by=["n_regionkey"]).awaitTermination()
+    return Table(spark, path).read([("n_regionkey", ">=", 0)]).groupBy("n_nationkey", "n_name", "n_regionkey").agg(F.count(F.lit(1)).alias("times"))
+
+
+@query("SELECT user_id, sum(value) AS total, count(*) AS n FROM (SELECT user_id, CAST(round(value * 100) AS BIGINT) AS value FROM events) GROUP BY user_id")
+def stream_stateful(spark, t):
+    """A state for each key in a stream, in pandas."""
+    import pandas as pd
+
+    source, out, state = _shared(spark, "source"), _shared(spark, "out"), _shared(spark, "state")
+    events = t("events").select("user_id", F.round(F.col("value") * 100).cast("long").alias("value"))
+    events.repartition(3).write.parquet(source)
+
+    def add(key, frames, kept):
+        total, n = kept.get if kept.exists else (0, 0)
+        for frame in frames:
+            total, n = total + int(frame["value"].sum()), n + len(frame)
+        kept.update((total, n))
+        yield pd.DataFrame({"user_id": [key[0]], "total": [total], "n": [n]})
+
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(source)
+    totals = stream.groupBy("user_id").applyInPandasWithState(add, "user_id long, total long, n long", "total long, n long", "update", "NoTimeout")
+    keep = lambda batch, number: batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(out)
+    totals.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).groupBy("user_id").agg(F.max_by("total", "batch").alias("total"), F.max_by("n", "batch").alias("n"))

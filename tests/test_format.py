@@ -121,3 +121,36 @@ def test_merges_tell_what_came_of_them(spark, tmp_path, wide, monkeypatch):
     monkeypatch.setattr(t, "_write_files", slow)
     report = maintenance.compact(t)
     assert [(r["merged"], r["into"], r["status"]) for r in report] == [(0, 0, "another writer came first")] and t.read().count() == 1
+
+
+def test_write_hooks_sizes_and_statistics(spark, tmp_path, wide):
+    t = Table(spark, f"file://{tmp_path}/t")
+    t.write(wide.coalesce(1), target_bytes=4000)
+    assert len(t.snapshot().files) > 1  # by a sample, as there is no history
+    for _ in range(4):
+        t.write(wide.limit(10).coalesce(1), merge_above=3, merge_in_background=True)
+        t.merging.join()
+    assert t.read().count() == 340 and len(t.snapshot().files) <= 3
+    t._write_files(wide.limit(1), [])  # never committed
+    stray = lambda: len([p for p, *_ in t.fs.files() if p.endswith(".parquet") and p not in t.snapshot().files and p not in t.snapshot().removed])
+    assert stray() == 1
+    from skyquill.sources import table as module
+
+    seen = []
+    kept, maintenance.purge = maintenance.purge, lambda table, *a, **k: seen.append(table.snapshot().version)
+    try:
+        for _ in range(6):
+            t.write(wide.limit(1), purge_every=3)
+    finally:
+        maintenance.purge = kept
+    assert len(seen) == 2 and all(v % 3 == 2 for v in seen) and module.SAMPLED > 0
+    stats = {r.column: r for r in t.statistics().collect()}
+    assert stats["id"].min == "0" and stats["id"].max == "299" and stats["id"].rows == 346 and stats["m"].nulls > 0 and stats["d"].max is None and stats["a"].min is None
+
+
+def test_public_names():
+    import skyquill
+
+    assert skyquill.Table is Table and all(callable(getattr(skyquill, n)) for n in skyquill.__all__)
+    with pytest.raises(AttributeError):
+        skyquill.nothing
