@@ -28,6 +28,9 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Letters and digits; bytes of other scripts count as letters.
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _TABLE = np.random.default_rng(20240117).integers(1, 2**64 - 1, 256, dtype=np.uint64)
 _powers: dict[str, np.ndarray] = {}
 
@@ -84,6 +87,15 @@ class Chunk:
     def word_hash(self) -> np.ndarray:
         return self.span_hash(self.starts, self.ends)
 
+    def bare_words(self) -> tuple[np.ndarray, np.ndarray]:
+        """(row, hash) of every word without the marks around it; words without a letter or digit are left out."""
+        n = len(self.data)
+        place, letter = np.arange(n), _LETTER[self.data]
+        last = np.maximum.accumulate(np.where(letter, place, -1)) if n else place
+        first = np.minimum.accumulate(np.where(letter, place, n)[::-1])[::-1] if n else place
+        keep = np.flatnonzero(first[self.starts] < self.ends) if len(self.starts) else np.zeros(0, np.int64)
+        return self.row[keep], self.span_hash(first[self.starts[keep]], last[self.ends[keep] - 1] + 1)
+
 
 def text_column(batch: pa.RecordBatch, name: str) -> pa.Array:
     """The column as a string array without nulls."""

@@ -1,6 +1,6 @@
 """Toxicity by a classifier chain.
 
-Categories are predicted one after another by linear models over the presence of words (A-Z lower-cased). Each later
+Categories are predicted one after another by linear models over the presence of words (A-Z lower-cased, without the marks around them). Each later
 model also sees the probabilities of the earlier categories; to train it, those are out-of-fold predictions, so it
 learns from probabilities of the quality that it meets on new documents. A document is toxic when the probability of the
 last category reaches a threshold chosen on out-of-fold predictions.
@@ -103,9 +103,9 @@ class Chain:
     def known_words(self, chunk: A.Chunk) -> tuple[np.ndarray, np.ndarray]:
         """(row, hash) of the distinct words that any model of the chain knows."""
         known = np.unique(np.concatenate([m.words for m in self.models] or [np.zeros(0, np.uint64)]))
-        words = chunk.word_hash()
+        rows, words = chunk.bare_words()
         hit = known[np.minimum(np.searchsorted(known, words), len(known) - 1)] == words if len(known) else np.zeros(len(words), bool)
-        return A.row_sets(chunk.row[hit], words[hit], chunk.n_rows)[:2]
+        return A.row_sets(rows[hit], words[hit], chunk.n_rows)[:2]
 
     def predict(self, rows: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
         """A column of probabilities for each category."""
@@ -183,7 +183,7 @@ def fit_sets(rows: np.ndarray, hashes: np.ndarray, labels: np.ndarray, names: tu
 
 def fit_chain(texts: list[str], labels: np.ndarray, names: tuple[str, ...]) -> Chain:
     """A chain from texts at hand."""
-    got = [(r + at, h) for at, end, c in A.chunks(pa.array(texts, pa.string()), lower=True) for r, h, _ in [A.row_sets(c.row, c.word_hash(), end - at)]]
+    got = [(r + at, h) for at, end, c in A.chunks(pa.array(texts, pa.string()), lower=True) for r, h, _ in [A.row_sets(*c.bare_words(), end - at)]]
     rows, hashes = (np.concatenate(x) for x in zip(*got)) if got else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
     return fit_sets(rows, hashes, labels, names, np.arange(len(texts)) % FOLDS)
 
@@ -194,7 +194,7 @@ def _word_sets(rows: DataFrame, label_cols: list[str]) -> DataFrame:
     def run(batches):
         for batch in batches:
             for start, end, chunk in A.chunks(A.text_column(batch, "_t"), lower=True):
-                _, hashes, sizes = A.row_sets(chunk.row, chunk.word_hash(), end - start)
+                _, hashes, sizes = A.row_sets(*chunk.bare_words(), end - start)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(hashes.view(np.int64)))
                 part = batch.slice(start, end - start)
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(part.num_columns - 1)], lists], names=["_h", "_d", *label_cols, "words"])

@@ -59,6 +59,8 @@ def test_toxicity_on_frames(spark):
     out = tx.classify(docs, chain)
     assert out.columns == ["doc_id", "p_kind_1", "p_kind_2", "p_toxic", "is_toxic"]
     got = [(r.doc_id, r.is_toxic) for r in out.collect()]
+    loud = spark.createDataFrame([(1, "TREE!! (ZARG!!) HOUSE"), (2, "tree, -- house!")], "doc_id long, text string")
+    assert [r.is_toxic for r in tx.classify(loud, chain).orderBy("doc_id").collect()] == [True, False]
     assert dict(got)[902] and not dict(got)[900] and not dict(got)[901] and dict(got)[None] and len(got) == 206
     assert sum(t == (i % 4 == 0) for i, t in got if i is not None and i < 200) >= 198
     kept = tx.remove_toxic(docs, chain)
