@@ -26,5 +26,6 @@ def oracle_sql() -> dict:
         "op4_poisson_mixing": mixing.ORACLE,
         "op5_quality_line_frequency": quality_rules.ORACLE,
         "op6_url_vocabulary": url_filter.ORACLE,
+        "op7_adaptive_prefix_join": jaccard_join.ORACLE,
         "op10_chat_snapshot_collapse": chat.ORACLE,
     }

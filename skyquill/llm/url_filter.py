@@ -4,7 +4,8 @@ A term counts where the characters before and after it are not ASCII letters or
 term, or ``soft_limit`` different soft terms, block the url. Rules go before the vocabulary: a rule fits its host
 and all subdomains of it if the path of the url starts with the rule's path, and the longest rule wins.
 
-Term and rule lists are parameters held by every task; their size does not depend on the table.
+Term and rule lists are parameters held by every task; their size does not depend on the table. The built-in ones are an example;
+read_lists() takes real ones from a text file of ``strict``, ``soft``, ``block`` or ``allow``, white space and a term or rule on each line.
 
 Defined cases: a null url or one without ``://`` has an empty host and path, fits no rule, and its text is still
 searched for terms (null: as an empty text, allowed). Repeated rows are judged alike, further columns are
@@ -16,6 +17,7 @@ from __future__ import annotations
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from skyquill.llm.common import table
 
@@ -23,6 +25,7 @@ RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 STRICT = ["adult", "casino", "escort", "hentai", "porn", "viagra", "xxx"]
 SOFT = ["ads", "bet", "bets", "bonus", "cheap", "click", "deals", "farm", "free", "loan", "pills", "poker", "spam", "track", "win"]
 SOFT_LIMIT = 2
+MAX_LINES = 2_000_000
 
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -82,6 +85,25 @@ class UrlJudge:
         return host, path, rule, verdict or ("block" if strict or len(soft) >= self.soft_limit else "allow"), len(strict), len(soft)
 
 
+def read_lists(spark, path: str) -> dict:
+    """rules, strict and soft for judge_urls, from the lines of a file; empty lines and those that begin with # are passed over."""
+    line = F.trim(F.col("value"))
+    lines = spark.read.text(path).filter((line != "") & ~line.startswith("#"))
+    if lines.count() > MAX_LINES:
+        raise ValueError(f"more than {MAX_LINES} lines in {path}")
+    out: dict = {"rules": [], "strict": [], "soft": []}
+    for (text,) in lines.distinct().orderBy("value").collect():  # MAX_LINES at most
+        kind, _, what = text.strip().partition(" ") if " " in text.strip() else text.strip().partition("\t")
+        kind, what = kind.lower(), what.strip()
+        if kind in ("block", "allow") and "/" in what:
+            out["rules"].append((kind, what.partition("/")[0].translate(_LOWER) + "/" + what.partition("/")[2]))
+        elif kind in ("strict", "soft") and what:
+            out[kind].append(what.translate(_LOWER))
+        else:
+            raise ValueError(f"cannot read the line {text!r}")
+    return out
+
+
 def judge_urls(df: DataFrame, id_col: str, url_col: str, rules=RULES, strict=STRICT, soft=SOFT, soft_limit: int = SOFT_LIMIT) -> DataFrame:
     """id_col, host, path, rule, verdict, n_strict and n_soft of every row."""
     df = df.select(id_col, url_col)

@@ -112,6 +112,17 @@ def test_urls(spark):
     assert url_filter.judge_urls(df, "page_id", "url").count() == 2 and url_filter.judge_urls(df.limit(0), "page_id", "url").count() == 0
 
 
+def test_url_lists_from_a_file(spark, tmp_path):
+    (tmp_path / "lists.txt").write_text("# ours\nstrict Bad-Word\nsoft one\n\nsoft\ttwo\nblock Evil.example/x/\nallow ok.example/\nsoft one\n")
+    lists = url_filter.read_lists(spark, f"file://{tmp_path}/lists.txt")
+    assert lists == {"rules": [("allow", "ok.example/"), ("block", "evil.example/x/")], "strict": ["bad-word"], "soft": ["one", "two"]}
+    df = spark.createDataFrame([(1, "http://a.b/bad-word"), (2, "http://a.b/one"), (3, "http://a.b/one-two"), (4, "http://q.evil.example/x/y"), (5, "http://ok.example/bad-word")], "page_id long, url string")
+    assert {r.page_id: r.verdict for r in url_filter.judge_urls(df, "page_id", "url", **lists).collect()} == {1: "block", 2: "allow", 3: "block", 4: "block", 5: "allow"}
+    (tmp_path / "bad.txt").write_text("nonsense")
+    with pytest.raises(ValueError):
+        url_filter.read_lists(spark, f"file://{tmp_path}/bad.txt")
+
+
 def test_chat_keeps_maximal_conversations(spark, monkeypatch):
     monkeypatch.setattr(chat, "PART", 64)
     a = [(0, "user", "hi"), (1, "assistant", "hello"), (2, "user", "bye")]
