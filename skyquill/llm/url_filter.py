@@ -92,8 +92,8 @@ def read_lists(spark, path: str) -> dict:
     if lines.count() > MAX_LINES:
         raise ValueError(f"more than {MAX_LINES} lines in {path}")
     out: dict = {"rules": [], "strict": [], "soft": []}
-    for (text,) in lines.distinct().orderBy("value").collect():  # MAX_LINES at most
-        kind, _, what = text.strip().partition(" ") if " " in text.strip() else text.strip().partition("\t")
+    for (text,) in lines.distinct().collect():  # MAX_LINES at most
+        kind, what = [*text.split(None, 1), ""][:2]
         kind, what = kind.lower(), what.strip()
         if kind in ("block", "allow") and "/" in what:
             out["rules"].append((kind, what.partition("/")[0].translate(_LOWER) + "/" + what.partition("/")[2]))
@@ -101,7 +101,7 @@ def read_lists(spark, path: str) -> dict:
             out[kind].append(what.translate(_LOWER))
         else:
             raise ValueError(f"cannot read the line {text!r}")
-    return out
+    return {k: sorted(set(v)) for k, v in out.items()}
 
 
 def judge_urls(df: DataFrame, id_col: str, url_col: str, rules=RULES, strict=STRICT, soft=SOFT, soft_limit: int = SOFT_LIMIT) -> DataFrame:
