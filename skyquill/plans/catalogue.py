@@ -850,3 +850,115 @@ def stream_stateful(spark, t):
     keep = lambda batch, number: batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(out)
     totals.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out).groupBy("user_id").agg(F.max_by("total", "batch").alias("total"), F.max_by("n", "batch").alias("n"))
+
+
+# ---- what is refused, guards and reports
+
+
+def _refused(run) -> bool:
+    from skyquill.plans.query_language import FieldError, QuerySyntaxError
+    from skyquill.sources.table import TableError
+
+    try:
+        run()
+    except (FieldError, QuerySyntaxError, TableError, ValueError):
+        return True
+    return False
+
+
+_BAD = ["((", "a AND", "OR b", '"open', "title^2", "/a.*b/", '"two words"~3', "doc_id:[1 TO", "nosuch:term", "n_chars:many"]
+
+
+@query("SELECT unnest(['" + "', '".join(_BAD) + "']) AS q, true AS refused UNION ALL SELECT 'that', false")
+def search_refused(spark, t):
+    """Bad syntax, regular expressions, proximity, boosts, unknown fields and values of the wrong kind."""
+    d = t("documents")
+    return spark.createDataFrame([(q, _refused(lambda q=q: condition(d, q, text_fields=["text"]))) for q in [*_BAD, "that"]], "q string, refused boolean")
+
+
+@query("SELECT unnest([5, 10, 11, 12]) AS width, unnest([false, false, true, true]) AS refused")
+def search_width_guard(spark, t):
+    """A query without fields over more fields than the limit."""
+    wide = lambda n: t("nation").select(*[F.col("n_name").alias(f"c{i}") for i in range(n)])
+    return spark.createDataFrame([(n, _refused(lambda n=n: condition(wide(n), "x"))) for n in (5, 10, 11, 12)], "width int, refused boolean")
+
+
+@query(f"SELECT least(7, count(*)) AS n FROM documents WHERE list_contains({TOK}, 'that')")
+def search_max_rows(spark, t):
+    """The opt-in limit."""
+    return search(t("documents"), "that", "text", text_fields=["text"], max_rows=7).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT unnest(['schema', 'reader', 'writer', 'exists', 'partition']) AS attempt, true AS refused")
+def table_refused(spark, t):
+    """Writes and reads that the schema, the protocol or the mode forbid."""
+    n, table = t("nation"), _written(spark, t("nation"))
+    out = [("schema", _refused(lambda: table.write(n.drop("n_name")))), ("exists", _refused(lambda: table.write(n, "error"))), ("partition", _refused(lambda: drop_partitions(table, [("n_name", "=", "x")])))]
+    table.upgrade_protocol(1, 9)
+    out.append(("writer", _refused(lambda: table.write(n))))
+    other = _written(spark, n)
+    other.upgrade_protocol(9, 1)
+    out.append(("reader", _refused(lambda: Table(spark, other.path).read())))
+    return spark.createDataFrame(out, "attempt string, refused boolean")
+
+
+@query("SELECT * FROM orders")
+def write_modes(spark, t):
+    """Rows dealt by partition, balanced, and by a target size."""
+    o = t("orders")
+    table = _written(spark, o.filter("o_orderkey % 3 = 0"), partition_by=["o_orderstatus"], write_mode="hash")
+    table.write(o.filter("o_orderkey % 3 = 1"), write_mode="balanced")
+    table.write(o.filter("o_orderkey % 3 = 2"), target_bytes=100_000)
+    return table.read().select(*o.columns)
+
+
+@query("SELECT *, 1::BIGINT AS files FROM nation")
+def merge_and_purge_on_write(spark, t):
+    """Compaction in the background of a write, then a purge of what it replaced."""
+    n = t("nation")
+    table = _written(spark, n.filter("n_regionkey = 0").coalesce(1))
+    for k in range(1, 5):
+        table.write(n.filter(F.col("n_regionkey") == k).coalesce(1), merge_above=4, merge_in_background=True)
+    table.merging.join()
+    return table.read().withColumn("files", F.lit(len(table.snapshot().files)).cast("long"))
+
+
+@query("SELECT 8::BIGINT AS considered, 4::BIGINT AS by_partition, 3::BIGINT AS by_stats, 1::BIGINT AS read")
+def scan_report(spark, t):
+    """What a read left out, and why."""
+    o = t("orders").select("o_orderkey", (F.col("o_orderkey") % 2).cast("int").alias("odd"))
+    low = o.agg(F.min("o_orderkey")).first()[0]
+    table = _written(spark, o.repartitionByRange(4, "o_orderkey"), partition_by=["odd"])
+    table.read([("odd", "=", low % 2), ("o_orderkey", "=", low)]).count()
+    r = table.last_scan
+    return spark.createDataFrame([(r.considered, r.by_partition, r.by_stats, r.read)], "considered long, by_partition long, by_stats long, read long")
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_regionkey <> 0 AND lower(n_name) LIKE 'nation%'")
+def companion_polling(spark, t):
+    """A source that grows and shrinks between the rounds of a polling sync."""
+    from skyquill.sources.companion import search_index
+    from skyquill.streaming.ingest import poll_sync
+
+    source, index = _shared(spark, "source"), _shared(spark, "index")
+    n = t("nation").select("n_nationkey", "n_name", "n_regionkey")
+    n.filter("n_regionkey = 0").write.parquet(source)
+    poll_sync(spark, source, index, {"n_name": "text"}, interval_seconds=0.1, rounds=1)
+    n.filter("n_regionkey <> 0").repartition(3).write.mode("overwrite").parquet(source)
+    poll_sync(spark, source, index, {"n_name": "text"}, interval_seconds=0.1, rounds=2)
+    return search_index(spark, index, "nation*", "n_name").select("n_nationkey", "n_name")
+
+
+@statement("SELECT unnest(['FLUSH TABLE SEARCHER CACHE', 'FLUSH TABLE DISK CACHE', 'DESCRIBE TABLE DISK CACHE', 'DESCRIBE TABLE STORAGE STATS', 'DESCRIBE TABLE PREWARM JOBS', 'DESCRIBE TABLE MERGE JOBS']) AS said, unnest([1, 1, 1, 0, 1, 1])::BIGINT AS n")
+def stmt_caches(spark, c, table):
+    """Caches and jobs, described and flushed."""
+    c.sql("MERGE SPLITS sq_nations TARGET SIZE 10M")
+    c.sql("PREWARM TABLE CACHE sq_nations ON FIELDS (n_name)")
+    rows = [(s, c.sql(s).count()) for s in ("DESCRIBE TABLE DISK CACHE", "FLUSH TABLE SEARCHER CACHE", "FLUSH TABLE DISK CACHE", "DESCRIBE TABLE STORAGE STATS", "DESCRIBE TABLE PREWARM JOBS", "DESCRIBE TABLE MERGE JOBS")]
+    return spark.createDataFrame(rows, "said string, n long")
+
+
+@statement(f"SELECT n_regionkey, count(*) AS n FROM {_NATIONS} WHERE n_name = 'NATION_1' OR n_regionkey = 2 GROUP BY n_regionkey")
+def stmt_passthrough(spark, c, table):
+    """A statement that is no command: SQL with a search operator over a registered table."""
+    return c.sql("SELECT n_regionkey, count(*) AS n FROM sq_nations WHERE n_name FIELDMATCH 'NATION_1' OR n_regionkey = 2 GROUP BY n_regionkey")
