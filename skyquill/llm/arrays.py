@@ -1,6 +1,6 @@
 """Whole-batch tokenising and hashing over Arrow string buffers.
 
-Texts arrive as Arrow batches. A batch is cut into chunks of a few megabytes,
+Texts arrive as Arrow batches. A batch is cut into chunks of half a megabyte,
 and each chunk is handled as one flat byte array: word borders, word hashes and
 shingle hashes come from a handful of numpy passes, so no Python code runs per
 word. A word is a run of bytes other than ``\\x20`` and ``\\x09``-``\\x0D``; these
@@ -12,13 +12,14 @@ followed by an avalanche step. Null texts count as empty.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 BATCH_ROWS = 512
 
 _U = np.uint64
@@ -97,6 +98,22 @@ class Chunk:
         return self.row[keep], self.span_hash(first[self.starts[keep]], last[self.ends[keep] - 1] + 1)
 
 
+def task(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over a task's batches, which gives its memory back at the end: a worker waits for its next task without it."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):
+                pass  # another C library, which has its own way
+
+    return whole
+
+
 def text_column(batch: pa.RecordBatch, name: str) -> pa.Array:
     """The column as a string array without nulls."""
     column = batch.column(batch.schema.get_field_index(name))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from skyquill.llm.arrays import BATCH_ROWS
 
 SPACES = " \t\n\x0b\f\r"
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -220,7 +220,7 @@ def template_windows(df: DataFrame, id_col: str, text_col: str, id_name: str, he
                         yield rows(tokens.row[at], number, tokens.place[at], tokens.place[at], tokens.place[at] + n - 1, h, [[]] * len(at))
 
     kind = df.schema[id_name].dataType.simpleString()
-    return df.mapInArrow(run, f"`{id_name}` {kind}, reading int, place int, first int, last int, window long, slots array<struct<at:int,kind:int,value:long>>")
+    return df.mapInArrow(A.task(run), f"`{id_name}` {kind}, reading int, place int, first int, last int, window long, slots array<struct<at:int,kind:int,value:long>>")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text") -> DataFrame:

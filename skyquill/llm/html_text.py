@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skyquill.llm import arrays as A
 from skyquill.llm.common import small_batches, table
 
 BUCKETS = 1 << 12
@@ -470,7 +471,7 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, F.col(url_col).cast("string"), F.col(html_col).cast("string")).mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return df.select(id_col, F.col(url_col).cast("string"), F.col(html_col).cast("string")).mapInArrow(A.task(run), f"page_id {kind}, url string, text string, n_chars long")
 
 
 def op3_tree_model_extraction(spark, sf_dir: str) -> DataFrame:

@@ -123,7 +123,7 @@ def describe(docs: DataFrame) -> DataFrame:
             yield flush(*counts())
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n long, f long, g long, words array<long>, times array<long>")
+    return docs.mapInArrow(A.task(run), f"doc_id {kind}, n long, f long, g long, words array<long>, times array<long>")
 
 
 def _ordered(rows, hashes, sizes, heavy, level, estimate):
@@ -246,7 +246,7 @@ def prefixes(docs: DataFrame, reps: DataFrame, heavy: np.ndarray, estimate: np.n
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     longs = ", ".join(f"{c} long" for c in LONGS)
-    found = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", _place("doc_id").alias("p")).mapInArrow(run, f"node {kind}, n int, ell int, prefix array<long>, sketch binary, {longs}")
+    found = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", _place("doc_id").alias("p")).mapInArrow(A.task(run), f"node {kind}, n int, ell int, prefix array<long>, sketch binary, {longs}")
     return found.join(reps, "node", "left_semi"), end
 
 
@@ -270,7 +270,7 @@ def _needed_sets(docs: DataFrame, needed: DataFrame, marks: Marks) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), pa.array([raw[a:b] for a, b in zip(cut[:-1], cut[1:])], pa.binary())], names=["doc_id", "tokens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sets = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", _place("doc_id").alias("p")).mapInArrow(run, f"doc_id {kind}, tokens binary")
+    sets = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", _place("doc_id").alias("p")).mapInArrow(A.task(run), f"doc_id {kind}, tokens binary")
     return sets.join(F.broadcast(needed) if needed.count() <= NEEDED else needed, "doc_id").drop("doc_id")
 
 
@@ -296,7 +296,7 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     right = _needed_sets(docs, hubs, of_hubs).withColumnRenamed("tokens", "tb")
     both = left.join(right, "b").select("a", "b", "ta", "tb")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = materialise(both.mapInArrow(run, f"a {kind}, b {kind}").distinct(), "jaccard-links")
+    out = materialise(both.mapInArrow(A.task(run), f"a {kind}, b {kind}").distinct(), "jaccard-links")
     of_members.destroy()
     of_hubs.destroy()
     discard(hubs)
@@ -370,7 +370,7 @@ def _sketched(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     sketch = lambda node: nodes.select(F.col("node").alias(node), F.col("n").alias(f"n{node}"), F.col("sketch").alias(f"s{node}"))
     wide = pairs.select("a", "na", "b", "nb").join(sketch("b"), ["b", "nb"]).join(sketch("a"), ["a", "na"]).select("a", "na", "b", "nb", "sa", "sb")
     kind = nodes.schema["node"].dataType.simpleString()
-    return wide.mapInArrow(run, f"a {kind}, b {kind}, apart long")
+    return wide.mapInArrow(A.task(run), f"a {kind}, b {kind}, apart long")
 
 
 def _stars(posts: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -498,7 +498,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 yield rest.filter(pa.array(hit == marked))
 
         wide = docs.select(*[F.col(f"`{n}`") for n in names], F.col(id_col).isNotNull().alias("_has"), _place(id_col).alias("_place"))
-        return wide.mapInArrow(run, schema)
+        return wide.mapInArrow(A.task(run), schema)
 
     maybe = part(True)
     maybe = maybe.join(drop, maybe[id_col] == drop["_drop"], "left_anti")

@@ -94,7 +94,7 @@ def count_words(docs: DataFrame, text_col: str) -> DataFrame:
         if held:
             yield out(*merged())
 
-    parts = docs.select(text_col).mapInArrow(run, "word long, tail int, n long")
+    parts = docs.select(text_col).mapInArrow(A.task(run), "word long, tail int, n long")
     return parts.groupBy("word").agg(F.first("tail").alias("tail"), F.sum("n").alias("n"))
 
 
@@ -325,7 +325,7 @@ def _models(docs: DataFrame, flat: np.ndarray, lexicon: Lexicon) -> DataFrame:
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([own.flat.tobytes()], pa.binary())], names=["n", "flat"])
 
-    return _training(docs).select("text").mapInArrow(run, "n long, flat binary")
+    return _training(docs).select("text").mapInArrow(A.task(run), "n long, flat binary")
 
 
 def _learn(docs: DataFrame, lexicon: Lexicon) -> np.ndarray:
@@ -436,7 +436,7 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, held_out boolean, fp long, n_tokens long, known long, base double, part double, tail_word array<long>, tail_n array<int>"
-    part = materialise(docs.mapInArrow(run, schema), "lm-parts")
+    part = materialise(docs.mapInArrow(A.task(run), schema), "lm-parts")
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id")
     far = part.select(key, "fp", F.explode(F.arrays_zip("tail_word", "tail_n")).alias("e")).select("id", "fp", F.col("e.tail_word").alias("word"), F.col("e.tail_n").alias("m"))
     far = far.join(counts.select("word", "n"), "word", "left")

@@ -124,8 +124,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
             yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([float(model["bias"][1] - model["bias"][0])])], names=["score", "bias"])
 
     sample = labelled_rows(docs, labels, id_col, text_col, [label_col], FIT_ROWS).select("_h", "_d", F.col(label_col).alias("label"), "_t")
-    sample = sample.mapInArrow(read, "_h long, _d long, label int, bucket array<int>, times array<int>")
-    found = sample.repartition(1).sortWithinPartitions("_h", "_d").mapInArrow(learn, "score binary, bias double").first()  # FIT_ROWS rows, one model
+    sample = sample.mapInArrow(A.task(read), "_h long, _d long, label int, bucket array<int>, times array<int>")
+    found = sample.repartition(1).sortWithinPartitions("_h", "_d").mapInArrow(A.task(learn), "score binary, bias double").first()  # FIT_ROWS rows, one model
     if found is None:
         return {"score": np.zeros(BUCKETS, np.float32), "bias": np.zeros(1)}
     return {"score": np.frombuffer(found["score"], np.float32), "bias": np.array([found["bias"]])}
@@ -149,7 +149,7 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_id",
                 out[start:end] = 1 / (1 + np.exp(-np.clip(total / np.maximum(count, 1) + bias, -50, 50)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=[id_col, "score"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double")
+    return docs.select(id_col, text_col).mapInArrow(A.task(run), f"`{id_col}` {kind}, score double")
 
 
 def op9_subword_quality(spark, sf_dir: str) -> DataFrame:

@@ -199,7 +199,7 @@ def _word_sets(rows: DataFrame, label_cols: list[str]) -> DataFrame:
                 part = batch.slice(start, end - start)
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(part.num_columns - 1)], lists], names=["_h", "_d", *label_cols, "words"])
 
-    return rows.select("_h", "_d", *label_cols, "_t").mapInArrow(run, f"_h long, _d long, {', '.join(f'`{c}` int' for c in label_cols)}, words array<long>")
+    return rows.select("_h", "_d", *label_cols, "_t").mapInArrow(A.task(run), f"_h long, _d long, {', '.join(f'`{c}` int' for c in label_cols)}, words array<long>")
 
 
 def _telling_words(sets: DataFrame, label_cols: list[str]) -> DataFrame:
@@ -264,7 +264,7 @@ def classify(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays, pa.array(out[:, -1] >= model.threshold)], names=[id_col, *names, "is_toxic"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, {schema}, is_toxic boolean")
+    return docs.select(id_col, text_col).mapInArrow(A.task(run), f"`{id_col}` {kind}, {schema}, is_toxic boolean")
 
 
 def remove_toxic(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
@@ -280,7 +280,7 @@ def remove_toxic(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataF
                 toxic[start:end] = model.predict(*model.known_words(chunk), end - start)[:, -1] >= model.threshold
             yield batch.filter(pa.array(~toxic))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(A.task(run), docs.schema)
 
 
 def training_labels(spark, sf_dir: str) -> DataFrame:

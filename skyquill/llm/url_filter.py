@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skyquill.llm import arrays as A
 from skyquill.llm.common import table
 
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -117,7 +118,7 @@ def judge_urls(df: DataFrame, id_col: str, url_col: str, rules=RULES, strict=STR
             arrays = [pa.array(list(c), type=t) for c, t in zip(cols, [pa.string()] * 4 + [pa.int32()] * 2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=[id_col, "host", "path", "rule", "verdict", "n_strict", "n_soft"])
 
-    return df.mapInArrow(run, f"`{id_col}` {kind}, host string, path string, rule string, verdict string, n_strict int, n_soft int")
+    return df.mapInArrow(A.task(run), f"`{id_col}` {kind}, host string, path string, rule string, verdict string, n_strict int, n_soft int")
 
 
 def op6_url_vocabulary(spark, sf_dir: str) -> DataFrame:
