@@ -300,9 +300,9 @@ def _training(docs: DataFrame) -> DataFrame:
     return docs.filter(~F.col("held_out"))
 
 
-def _models(docs: DataFrame, flat: np.ndarray, lexicon: Lexicon) -> DataFrame:
-    """n and flat: of each partition, the tokens it learnt from, which are all of its training documents, and its model."""
-    start = docs.sparkSession.sparkContext.broadcast((flat, lexicon))
+def _models(docs: DataFrame, flat: np.ndarray, lexicon: Lexicon, start=None) -> DataFrame:
+    """n and flat: of each partition, the tokens it learnt from, which are all of its training documents, and its model. ``start``: a broadcast of both."""
+    start = start or docs.sparkSession.sparkContext.broadcast((flat, lexicon))
 
     def run(batches):
         flat, lex = start.value
@@ -350,7 +350,9 @@ def _learn(docs: DataFrame, lexicon: Lexicon) -> np.ndarray:
             total += k * np.frombuffer(flat, dtype=np.float32)
         return pd.DataFrame({"n": [n], "flat": [(total / n).astype(np.float32).tobytes()]})
 
-    models = materialise(_models(docs, net.flat, lexicon), "lm-models")
+    start = docs.sparkSession.sparkContext.broadcast((net.flat, lexicon))
+    models = materialise(_models(docs, net.flat, lexicon, start), "lm-models")
+    start.destroy()
     while (n := models.count()) > FAN:
         old, groups = models, -(-n // FAN)
         key = F.pmod(F.xxhash64("flat"), F.lit(groups)).alias("k")
@@ -437,6 +439,7 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, held_out boolean, fp long, n_tokens long, known long, base double, part double, tail_word array<long>, tail_n array<int>"
     part = materialise(docs.mapInArrow(A.task(run), schema), "lm-parts")
+    held.destroy()
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id")
     far = part.select(key, "fp", F.explode(F.arrays_zip("tail_word", "tail_n")).alias("e")).select("id", "fp", F.col("e.tail_word").alias("word"), F.col("e.tail_n").alias("m"))
     far = far.join(counts.select("word", "n"), "word", "left")
