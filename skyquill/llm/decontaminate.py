@@ -13,7 +13,8 @@ alignment: a value of the item always stands for the same value of the document,
 some alignment does so and covers ``RUN`` tokens of it, or all its windows; or if the windows without any changed value alone cover as
 much. So a question with other numbers and names is found like a verbatim one, and one whose names or numbers do not go together is not.
 
-Items without a template window (short ones, or hardly a plain word) are compared by their words alone, values included: items of
+Items are also compared by their words alone, values included, whatever their case: in windows of ``WINDOW`` tokens, so that capitals or small
+letters throughout hide no copy. For items without a template window (short ones, or hardly a plain word) that is the only way: items of
 ``SHORT`` tokens and more anywhere in a document, in windows of up to ``WINDOW`` tokens; items of fewer tokens with whole documents.
 
 The join is on the hash in either case. If the benchmark has at most ``HELD`` windows (a checked bound), tasks also hold
@@ -168,7 +169,7 @@ class Reading:
 def template_windows(df: DataFrame, id_col: str, text_col: str, id_name: str, held: np.ndarray | None = None, exact: list[int] | None = None) -> DataFrame:
     """id_name, reading, place in it, first and last token, window (hash) and slots (kind and value of each placeholder, by place) of every window.
 
-    ``exact``: the readings of EXACT and WHOLE to add. None for items: windows need LITERALS plain words, and a text without any gets its exact reading.
+    ``exact``: the readings of EXACT and WHOLE to add. None for items: windows need LITERALS plain words, and each text gets its exact reading, too, if it has WINDOW tokens or no window.
     ``held``: hashes of the windows that are wanted.
     """
     small_batches(df.sparkSession)
@@ -212,7 +213,7 @@ def template_windows(df: DataFrame, id_col: str, text_col: str, id_name: str, he
                 for number in [*EXACT.values(), *WHOLE.values()] if exact is None else exact:
                     at, h, n = tokens.exact(number)
                     if exact is None:
-                        use = bare[tokens.row[at]] & (size[tokens.row[at]] == n)
+                        use = (bare[tokens.row[at]] | (number == EXACT[WINDOW])) & (size[tokens.row[at]] == n)
                         at, h = at[use], h[use]
                     if shared is not None:
                         at, h = wanted(at, h)

@@ -173,6 +173,13 @@ def test_names_that_begin_sentences_or_have_more_words_are_found(spark):
     assert (got[1, 1].first_token, got[1, 1].last_token) == (0, 14) and (got[2, 2].first_token, got[2, 2].last_token) == (0, 15)
 
 
+def test_capitals_and_small_letters_hide_no_copy(spark):
+    docs = [(1, ITEM.upper()), (2, "so " + ITEM.lower() + " then"), (3, ITEM.upper().replace("ANNA", "CARL")), (4, ITEM.title())]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    got = {r.doc_id: r for r in dc.find_leaks(df, bench).collect()}
+    assert {1, 2, 4} <= set(got) and got[1].n_changed == 0 and got[1].n_matched == got[1].n_windows
+
+
 def test_both_ways_of_the_join_agree(spark, monkeypatch):
     rng = random.Random(1)
     words = ["v" + str(i) for i in range(50)]
