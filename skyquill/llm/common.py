@@ -76,7 +76,7 @@ def fold(column: Column, n: int) -> Column:
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_cols: list[str], rows: int) -> DataFrame:
-    """_h, _d (hashes of id and text), _t (whole text) and labels, all 0 or 1, of the first ``rows`` labelled documents in the order of a hash.
+    """_h, _d (hashes of id and text), _t (whole text) and labels, all 0 or 1, of the documents of the first ``rows`` labelled ids in the order of a hash.
 
     The ids are chosen among the labels alone, and their number is the bound; an id that is labelled twice takes part with its least labels, and rows
     that share id and text are one. Only chosen documents leave their tasks.

@@ -125,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
 
     sample = labelled_rows(docs, labels, id_col, text_col, [label_col], FIT_ROWS).select("_h", "_d", F.col(label_col).alias("label"), "_t")
     sample = sample.mapInArrow(A.task(read), "_h long, _d long, label int, bucket array<int>, times array<int>")
-    found = sample.repartition(1).sortWithinPartitions("_h", "_d").mapInArrow(A.task(learn), "score binary, bias double").first()  # FIT_ROWS rows, one model
+    found = sample.orderBy("_h", "_d").limit(FIT_ROWS).mapInArrow(A.task(learn), "score binary, bias double").first()  # FIT_ROWS rows, one model
     if found is None:
         return {"score": np.zeros(BUCKETS, np.float32), "bias": np.zeros(1)}
     return {"score": np.frombuffer(found["score"], np.float32), "bias": np.array([found["bias"]])}

@@ -227,7 +227,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """A chain from a bounded sample of the labelled rows; the last of ``label_cols`` is the verdict's. A single label gets ``kinds`` before it."""
     names = list(label_cols)
     small_batches(docs.sparkSession)
-    sets = materialise(_word_sets(labelled_rows(docs, labels, id_col, text_col, names, FIT_ROWS), names), "toxic-sets")
+    sets = _word_sets(labelled_rows(docs, labels, id_col, text_col, names, FIT_ROWS), names).orderBy("_h", "_d").limit(FIT_ROWS)  # an id may have many texts
+    sets = materialise(sets, "toxic-sets")
     telling = _telling_words(sets, names)
     rows = sets.select("_h", "_d", *names).orderBy("_h", "_d", *names).toArrow()  # FIT_ROWS rows of numbers, repeated ids apart
     found = sets.select("_h", "_d", F.explode("words").alias("word")).join(telling, "word").toArrow()
