@@ -807,6 +807,15 @@ def log_statistics(spark, t):
     return table.statistics().drop("bytes")
 
 
+@query("SELECT o_orderkey, true AS skipped FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1995-02-01' AND (o_totalprice > 1000 OR o_orderstatus = 'F')")
+def skip_any_condition(spark, t):
+    """Files skipped by an ordinary condition in SQL."""
+    o = t("orders").withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp"))
+    table = _written(spark, o.repartitionByRange(8, "o_orderdate"))
+    out = table.filter("TIMESTAMP '1995-01-01' <= o_orderdate AND o_orderdate < DATE '1995-02-01' AND (o_totalprice > 1000 OR o_orderstatus = 'F')").select("o_orderkey")
+    return out.withColumn("skipped", F.lit(table.last_scan.by_stats >= 6))
+
+
 @query("SELECT * FROM nation")
 def checkpoint_read(spark, t):
     """A state that is read from a checkpoint and the versions after it."""
