@@ -43,6 +43,7 @@ FAN = 8
 SCORE_WINDOW, SCORE_STATES = 24, 8192
 SCORE_TOKENS = 2_000_000
 SMOOTH = 0.1
+CHUNK = 1 << 21
 END = np.uint64(0x0E0F_E0F0_1234_5678)
 
 _U = np.uint64
@@ -82,7 +83,7 @@ def count_words(docs: DataFrame, text_col: str) -> DataFrame:
             return u, t[first], np.bincount(inverse, weights=n, minlength=len(u)).astype(np.int64)
 
         for batch in batches:
-            for _, _, chunk in A.chunks(A.text_column(batch, text_col), lower=True):
+            for _, _, chunk in A.chunks(A.text_column(batch, text_col), lower=True, limit=CHUNK):
                 _, h, t = _tokens(chunk)
                 u, first, n = np.unique(h, return_index=True, return_counts=True)
                 held.append((u, t[first], n))
@@ -308,7 +309,7 @@ def _models(docs: DataFrame, flat: np.ndarray, lexicon: Lexicon, start=None) ->
         flat, lex = start.value
         own, n, pending, size = Network(flat), 0, [], 0
         for batch in batches:
-            for _, _, chunk in A.chunks(A.text_column(batch, "text"), lower=True):
+            for _, _, chunk in A.chunks(A.text_column(batch, "text"), lower=True, limit=CHUNK):
                 _, h, t = _tokens(chunk)
                 pending.append(lex.symbols(h, t))
                 size += len(h)
@@ -337,7 +338,7 @@ def _learn(docs: DataFrame, lexicon: Lexicon) -> np.ndarray:
 
     def read(texts: pa.Array) -> np.ndarray:
         parts = []
-        for _, _, chunk in A.chunks(texts, lower=True):
+        for _, _, chunk in A.chunks(texts, lower=True, limit=CHUNK):
             _, h, t = _tokens(chunk)
             parts.append(lexicon.symbols(h, t))
         return np.concatenate(parts) if parts else np.zeros(0, np.int64)
@@ -406,7 +407,7 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
         kind = None
         for batch in batches:
             kind = batch.schema.field(0).type
-            for start, end, chunk in A.chunks(A.text_column(batch, "text"), lower=True):
+            for start, end, chunk in A.chunks(A.text_column(batch, "text"), lower=True, limit=CHUNK):
                 n = end - start
                 row, h, t = _tokens(chunk)
                 s = lex.symbols(h, t)
